@@ -180,8 +180,9 @@ def disease_rows(raw: DataFrame) -> DataFrame:
 
 def unresolved_seeds(seeds: DataFrame, raw_diseases: DataFrame) -> DataFrame:
     """Requested ids without a payload."""
-    found = raw_diseases.select(F.translate("ontology_id", ":", "_").alias("wanted")).distinct()
-    return seeds.withColumn("wanted", F.translate("ontology_id", ":", "_")).join(found, "wanted", "left_anti").drop("wanted")
+    wanted = ids.ontology_key(F.col("ontology_id")).alias("wanted")
+    found = raw_diseases.select(wanted).distinct()
+    return seeds.select("*", wanted).join(found, "wanted", "left_anti").drop("wanted")
 
 
 def build_diseases(raw: DataFrame, ws: Workspace, seeds: DataFrame | None = None) -> Built:

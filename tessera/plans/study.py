@@ -12,7 +12,19 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import build, candidates, features, fusion, ranking, registry
+from tessera.constants import MODEL_COLUMNS
+from tessera.operators import (
+    build,
+    candidates,
+    features,
+    fusion,
+    graph,
+    model,
+    narrative,
+    ranking,
+    registry,
+    resolve,
+)
 from tessera.operators.candidates import Bridge
 from tessera.operators.conform import ledger
 from tessera.sources.given import GivenTables
@@ -212,3 +224,139 @@ class Study:
     @cached_property
     def fused_without_model(self) -> DataFrame:
         return fusion.fuse(self.features)
+
+    # --- model ------------------------------------------------------------------------
+    @cached_property
+    def training(self) -> DataFrame:
+        rows = model.labelled(self.features, self.tables["diseases"], self.raw["raw_known_pairs"])
+        return self.ws.store("training", rows)
+
+    @cached_property
+    def stats(self) -> DataFrame:
+        return self.ws.store("column_stats", model.column_stats(self.training))
+
+    def linear(self, shift: int = 7) -> DataFrame:
+        """Scores of a linear model whose coefficients follow a rule; stands in for a
+        stored model wherever results must be comparable with SQL."""
+        name = f"linear_{shift}"
+        if name not in self._linear:
+            rows = model.linear_score(self.features, rule_coefficients(shift), RULE_INTERCEPT, self.stats)
+            self._linear[name] = self.ws.store(name, model.top_names(rows))
+        return self._linear[name]
+
+    @cached_property
+    def _linear(self) -> dict[str, DataFrame]:
+        return {}
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """Predictions for most pairs; drugs whose number ends in 7 were not scored."""
+        scored = self.linear().filter(~F.col("drug_id").endswith("7"))
+        return scored.select(
+            "disease_id", "drug_id", "model_output", "baseline_output",
+            F.lit("logistic_regression").alias("model_name"), "top_feature_names",
+        )
+
+    @cached_property
+    def rule_scores(self) -> DataFrame:
+        """Two rule models scored on the training rows with their held-out fold."""
+        folds = model.folds(self.training)
+        rows = self.training.select("disease_id", "drug_id", "label").join(folds, "disease_id")
+        parts = [
+            rows.join(
+                self.linear(k).select("disease_id", "drug_id", F.col("model_output").alias("score")),
+                ["disease_id", "drug_id"],
+            ).withColumn("model", F.lit(f"linear_{k}"))
+            for k in RULE_SHIFTS
+        ]
+        return parts[0].unionByName(parts[1])
+
+    @cached_property
+    def cv_scores(self) -> DataFrame:
+        return model.cross_validate(self.training, self.ws)
+
+    @cached_property
+    def forest(self) -> model.Fitted:
+        return model.fit(self.training, "random_forest")
+
+    @cached_property
+    def logistic(self) -> model.Fitted:
+        return model.fit(self.training, "logistic_regression")
+
+    # --- scores, ranks, narratives, graphs -----------------------------------------------
+    @cached_property
+    def fused(self) -> DataFrame:
+        return self.ws.store("fused", fusion.fuse(self.features, self.predictions))
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return self.ws.store("ranked", ranking.rank(self.fused, self.ws))
+
+    @cached_property
+    def rollups(self) -> DataFrame:
+        return candidates.rollups(self.gene_matches, self.pathway_matches)
+
+    @cached_property
+    def top(self) -> DataFrame:
+        """The published pairs: top ten per disease with their matched ids."""
+        best = self.ranked.filter(F.col("rank") <= TOP_N)
+        only = best.select("disease_id", "drug_id")
+        pair = ["disease_id", "drug_id"]
+        ids = candidates.rollups(
+            self.gene_matches.join(only, pair, "left_semi"), self.pathway_matches.join(only, pair, "left_semi")
+        )
+        return self.ws.store("top", narrative.with_rollups(best, ids))
+
+    @cached_property
+    def narratives(self) -> DataFrame:
+        return self.ws.store("narratives", narrative.narratives(self.top))
+
+    @cached_property
+    def _graph_inputs(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        best = self.top.filter(F.col("rank") <= GRAPH_TOP_N)
+        genes = self.ws.store("graph_genes", graph.gene_reasons(self.gene_matches, best))
+        paths = self.ws.store("graph_pathways", graph.pathway_reasons(self.pathway_matches, best))
+        return best, genes, paths, self.narratives.filter(F.col("rank") <= GRAPH_TOP_N)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return self.ws.store("nodes", graph.first_seen(graph.nodes(*self._graph_inputs)))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self.ws.store("edges", graph.first_seen(graph.edges(*self._graph_inputs)))
+
+    # --- resolution -------------------------------------------------------------------------
+    @cached_property
+    def aliases(self) -> DataFrame:
+        return resolve.read_aliases(self.raw["raw_aliases"])
+
+    @cached_property
+    def disease_keys(self) -> DataFrame:
+        keys = resolve.disease_keys(self.tables["diseases"], self.identifiers, self.aliases)
+        return self.ws.store("disease_keys", keys)
+
+    @cached_property
+    def drug_keys(self) -> DataFrame:
+        return self.ws.store("drug_keys", resolve.drug_keys(self.tables["drugs"], self.identifiers))
+
+    @cached_property
+    def resolved_diseases(self) -> DataFrame:
+        q = self.raw["raw_disease_queries"]
+        return self.ws.store("resolved_diseases", resolve.resolve_diseases(q, self.disease_keys, self.tables["diseases"]))
+
+    @cached_property
+    def resolved_drugs(self) -> DataFrame:
+        q = self.raw["raw_drug_queries"]
+        return self.ws.store("resolved_drugs", resolve.resolve_drugs(q, self.drug_keys, self.tables["drugs"]))
+
+
+# fixed values: the rule models and how much is published
+RULE_SHIFTS = [7, 5]
+RULE_INTERCEPT = -1.0
+TOP_N = 10
+GRAPH_TOP_N = 5
+
+
+def rule_coefficients(shift: int) -> list[float]:
+    return [((i * shift) % 13 - 6) / 10 for i in range(len(MODEL_COLUMNS))]
