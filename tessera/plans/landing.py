@@ -58,7 +58,7 @@ class Landing:
         )
 
     def _species(self) -> Column:
-        return F.when(F.crc32(F.col("reactome_id")) % 7 == 0, "Mus musculus").otherwise(HUMAN)
+        return F.when(F.col("reactome_id").endswith("3"), "Mus musculus").otherwise(HUMAN)
 
     def _pathway_names(self, p: str) -> str:
         r = self.raw["raw_pathway_names"]

@@ -29,7 +29,7 @@ def _file_order() -> Column:
 def read_lines(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
     """(seq, value) per line; ``spread`` repartitions after an unsplittable file."""
     lines = spark.read.text(path).select(_file_order().alias("seq"), "value")
-    return lines.repartition() if spread else lines
+    return lines.repartition("seq") if spread else lines
 
 
 def read_tsv(spark: SparkSession, path: str, columns: Sequence[str], spread: bool = False) -> DataFrame:
