@@ -450,7 +450,7 @@ CTES["nodes"] = f"""
       union all select disease_id, 'drug:' || drug_id, 'drug', drug_name, rank, 1, 0, null, null, null, null, null, null from g_top
       union all select disease_id, 'disease_gene:' || disease_gene_id, 'disease_gene', coalesce(gene_symbol, hgnc_id), rank, 2, place, hgnc_id, disease_gene_ensembl_id, disease_gene_source, null, null, null from g_genes
       union all select disease_id, 'drug_target:' || drug_target_id, 'drug_target', coalesce(drug_target_name, hgnc_id), rank, 2, place, hgnc_id, drug_target_uniprot_id, drug_action_type, null, null, null from g_genes
-      union all select disease_id, 'pathway:' || reactome_id, 'pathway', coalesce(pathway_name, reactome_id), rank, 3, place, reactome_id, null, null, null, drug_supporting_target_count, disease_gene_support_count from g_paths
+      union all select disease_id, 'pathway:' || reactome_id, 'pathway', coalesce(pathway_name, reactome_id), rank, 3, place, reactome_id, null, null, drug_supporting_target_count, disease_gene_support_count, null from g_paths
       union all select disease_id, 'evidence:' || drug_id || ':' || component, 'evidence_component', component || ' evidence', rank, 4, o, null, null, null, value, effective_weight, contribution_points from g_components
       union all select disease_id, 'prediction:' || drug_id, 'prediction', coalesce(model_name, 'model') || ' prediction', rank, 5, 0, model_name, null, null, model_output, null, null from g_top where ml_value is not null
       union all select disease_id, 'score:' || drug_id, 'score', {r.fixed('repurposing_score', 1)} || '/100', rank, 6, 0, null, null, null, repurposing_score, null, null from g_top

@@ -223,12 +223,12 @@ def fit(rows: DataFrame, name: str, trees: int = 400) -> Fitted:
     if name == "logistic_regression":
         est = LogisticRegression(
             weightCol="weight", maxIter=2000, elasticNetParam=0.0, regParam=1.0 / s["n_rows"],
-            standardization=False, tol=1e-8,
+            standardization=False, tol=1e-6,
         )
     else:
         est = RandomForestClassifier(
             numTrees=trees, maxDepth=6, minInstancesPerNode=10, featureSubsetStrategy="sqrt",
-            weightCol="weight", seed=SEED, maxBins=64, maxMemoryInMB=1024,
+            weightCol="weight", seed=SEED, maxMemoryInMB=1024,
         )
     return Fitted(name, est.fit(train), list(first["means"]), list(first["scales"]), s)
 
@@ -306,7 +306,7 @@ def forest_nodes(f: Fitted, ws: Workspace) -> DataFrame:
         F.col("treeID").alias("tree"),
         F.col(f"{n}.id").alias("id"),
         F.col(f"{n}.split.featureIndex").alias("feature"),
-        F.col(f"{n}.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get(f"{n}.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
         F.col(f"{n}.leftChild").alias("left"),
         F.col(f"{n}.rightChild").alias("right"),
         F.when(total > 0, stats[1] / total).otherwise(0.0).alias("rate"),

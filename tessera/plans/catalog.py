@@ -1114,9 +1114,9 @@ def _responses(s: Study) -> DataFrame:
     def text(c) -> "F.Column":
         return F.concat(q, c, q)
 
-    rank_text = F.when(k == 5, "null").when(k == 6, text(F.lit("x"))).when(k == 7, F.col("rank") + 1).when(
+    rank_text = F.when(k == 5, "null").when(k == 6, text(F.lit("x"))).when(k == 7, (F.col("rank") + 1).cast("string")).when(
         k == 8, F.concat(F.col("rank").cast("string"), F.lit(".7"))
-    ).when(k == 9, text(F.concat(F.lit(" "), "rank"))).otherwise(F.col("rank"))
+    ).when(k == 9, text(F.concat(F.lit(" "), "rank"))).otherwise(F.col("rank").cast("string"))
     score_text = F.when(k == 10, text(F.lit("high"))).when(k == 11, numbers.tidy(score + 0.04, 4).cast("decimal(12,4)").cast("string")).when(
         k == 12, numbers.tidy(score + 1.0, 4).cast("decimal(12,4)").cast("string")
     ).otherwise(score.cast("decimal(12,4)").cast("string"))

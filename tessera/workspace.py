@@ -9,6 +9,7 @@ automatic broadcast decision.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,16 +30,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Named stage tables of one run."""
+    """Stage tables of one run. Every table gets a path of its own, so a table that
+    is built again never pulls the files from under a plan that reads the first one."""
 
     def __init__(self, spark: SparkSession, run: str, root: str | None = None) -> None:
         self.spark = spark
         self.root = f"{root or shared_folder(spark)}/tessera/{run}"
+        self._made = itertools.count()
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        return f"{self.root}/{next(self._made):05d}-{name}"
 
     def store(self, name: str, df: DataFrame) -> DataFrame:
         path = self.path(name)
-        df.write.mode("overwrite").parquet(path)
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
