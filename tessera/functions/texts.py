@@ -37,9 +37,9 @@ def _phrase(phrase: str) -> str:
 
 
 _ANY_BANNED = (
-    r"(?iu)(?<![" + WORD + r"])(?:"
+    rf"(?iu)(?<![{WORD}])(?:"
     + "|".join(rf"[{SPACE}]+".join(p.split()) for p in BANNED_PHRASES)
-    + r")(?![" + WORD + r"])"
+    + rf")(?![{WORD}])"
 )
 
 
@@ -48,13 +48,22 @@ def has_banned(c: Column) -> Column:
 
 
 def banned_phrase(c: Column) -> Column:
-    """The first phrase of the list that occurs as whole words, else null."""
-    first = reduce(
+    """The first phrase of the list that occurs as whole words, else null.
+
+    One pass finds all occurrences. A longer phrase that hides a shorter one comes
+    first in the list, so the earliest listed occurrence is the answer. Letters that
+    only fold to a phrase's letters are left to one search per phrase."""
+    found = F.regexp_extract_all(c, F.lit(_ANY_BANNED), F.lit(0))
+    plain = F.transform(found, lambda m: F.lower(F.regexp_replace(m, rf"[{SPACE}]+", " ")))
+    listed = F.array(*[F.lit(p) for p in BANNED_PHRASES])
+    first = F.get(F.array_intersect(listed, plain), F.lit(0))
+    one_by_one = reduce(
         lambda acc, p: F.when(c.rlike(_phrase(p)), F.lit(p)).otherwise(acc),
         reversed(BANNED_PHRASES),
         F.lit(None).cast("string"),
     )
-    return F.when(has_banned(c), first)
+    odd = F.size(F.array_except(plain, listed)) > 0
+    return F.when(odd, one_by_one).otherwise(first)
 
 
 # --- numbers in text ------------------------------------------------------------------

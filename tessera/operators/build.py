@@ -12,7 +12,7 @@ from tessera.functions import ids
 from tessera.functions.numbers import tidy
 from tessera.operators.conform import conform, rejections, split_valid, to_contract
 from tessera.operators.ordering import first_per_key, top_per_group
-from tessera.operators.registry import mint, xref
+from tessera.operators.registry import mint, xrefs
 from tessera.workspace import Workspace
 
 
@@ -69,6 +69,7 @@ def build_drugs(raw_names: DataFrame, raw_map: DataFrame, ws: Workspace) -> Buil
             F.lit("sider").alias("source"),
         )
     )
+    full = ws.store("drug_rows", full)
     clean, rejected = conform(full, "drugs")
     bad = rejections(rows.filter("reason is not null"), "build:drugs", F.col("reason"), F.col("stitch_id"))
     name = F.col("drug_name")
@@ -77,9 +78,16 @@ def build_drugs(raw_names: DataFrame, raw_map: DataFrame, ws: Workspace) -> Buil
         registry,
         [bad, rejected],
         [
-            xref(full, "drug", "drug_id", F.col("cid"), "sider", name, primary=True),
-            xref(full, "drug", "drug_id", cid_ref, "pubchem", name),
-            xref(full, "drug", "drug_id", F.col("chembl_id"), "chembl"),
+            xrefs(
+                full,
+                "drug",
+                "drug_id",
+                [
+                    (F.col("cid"), "sider", name, True),
+                    (cid_ref, "pubchem", name, False),
+                    (F.col("chembl_id"), "chembl", None, False),
+                ],
+            )
         ],
     )
 
@@ -157,15 +165,7 @@ def build_drug_side_effects(raw: DataFrame, drug_registry: DataFrame, ws: Worksp
         )
     )
     names = [
-        xref(
-            full,
-            "side_effect",
-            "side_effect_id",
-            F.col("cui"),
-            "sider",
-            F.col("side_effect_name"),
-            primary=True,
-        )
+        xrefs(full, "side_effect", "side_effect_id", [(F.col("cui"), "sider", F.col("side_effect_name"), True)])
     ]
     return Built(to_contract(full, "drug_side_effects"), registry, rejected, names)
 
@@ -203,7 +203,7 @@ def build_diseases(raw: DataFrame, ws: Workspace, seeds: DataFrame | None = None
             )
         )
     names = [
-        xref(full, "disease", "disease_id", F.col("ontology_id"), "opentargets", F.col("disease_name"), primary=True)
+        xrefs(full, "disease", "disease_id", [(F.col("ontology_id"), "opentargets", F.col("disease_name"), True)])
     ]
     return Built(clean, registry, bad, names)
 
@@ -257,7 +257,7 @@ def build_disease_genes(raw: DataFrame, disease_registry: DataFrame, ws: Workspa
         rejections(bad, stage, F.col("reason"), F.to_json(F.struct("disease_id", "gene_id"))),
     ]
     names = [
-        xref(full, "gene", "gene_id", F.col("ensembl_id"), "opentargets", ids.name_key(F.col("gene_name")), primary=True)
+        xrefs(full, "gene", "gene_id", [(F.col("ensembl_id"), "opentargets", ids.name_key(F.col("gene_name")), True)])
     ]
     return Built(to_contract(good_rows, "disease_genes"), registry, rejected, names)
 
@@ -282,8 +282,12 @@ def target_dimension(raw: DataFrame, ws: Workspace) -> Built:
     dimension = last.join(ids_of, "tcid").select("tcid", "target_id", "target_name", "target_type", "uniprot_id")
     seen = rows.join(ids_of, "tcid")
     names = [
-        xref(seen, "target", "target_id", F.col("tcid"), "chembl", F.col("target_name"), primary=True),
-        xref(seen, "target", "target_id", F.col("uniprot_id"), "uniprot"),
+        xrefs(
+            seen,
+            "target",
+            "target_id",
+            [(F.col("tcid"), "chembl", F.col("target_name"), True), (F.col("uniprot_id"), "uniprot", None, False)],
+        )
     ]
     return Built(dimension, registry, [], names)
 
@@ -303,7 +307,7 @@ def first_drug_per_chembl(raw_names: DataFrame, raw_map: DataFrame, drug_registr
     )
 
 
-def build_drug_targets(raw: DataFrame, claims: DataFrame, dimension: DataFrame) -> Built:
+def build_drug_targets(raw: DataFrame, claims: DataFrame, dimension: DataFrame, ws: Workspace) -> Built:
     """Mechanism rows are reduced to one per (molecule, target) before the two joins."""
     pairs = raw.select(
         "seq",
@@ -322,6 +326,7 @@ def build_drug_targets(raw: DataFrame, claims: DataFrame, dimension: DataFrame)
         .join(dimension, "tcid", "left")
         .select("*", F.col("f.seq").alias("seq"), F.col("f.action_type").alias("action_type"))
     )
+    joined = ws.store("mechanism_pairs", joined)
     known, described = F.col("drug_id").isNotNull(), F.col("target_id").isNotNull()
     stage = "build:drug_targets"
     full = joined.filter(known & described).withColumn("source", F.lit("chembl"))
@@ -414,6 +419,6 @@ def build_disease_pathways(
         )
     ]
     names_seen = [
-        xref(full, "pathway", "pathway_id", F.col("reactome_id"), "reactome", F.col("pathway_name"), primary=True)
+        xrefs(full, "pathway", "pathway_id", [(F.col("reactome_id"), "reactome", F.col("pathway_name"), True)])
     ]
     return Built(to_contract(full, "disease_pathways"), registry, rejected, names_seen)

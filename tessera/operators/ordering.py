@@ -36,17 +36,28 @@ def number_rows(
     placed = ws.store(name, placed)
     by = ["_slice", *group]
     slices = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    if not group:
+        return _numbered(placed, _before_each_slice(slices), by, out)
     earlier = (
-        Window.partitionBy(*(group or [F.lit(0)]))
-        .orderBy("_slice")
-        .rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = slices.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    return (
-        placed.join(offsets, by)
-        .withColumn(out, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("long"))
-        .drop("_at", "_slice", "_first", "_before")
-    )
+    return _numbered(placed, offsets, by, out)
+
+
+def _before_each_slice(slices: DataFrame) -> DataFrame:
+    """Rows before each slice when there is one group: one number per slice, so the
+    list is as short as the partition list and is worked out once."""
+    rows, before = [], 0
+    for r in sorted(slices.collect(), key=lambda r: r["_slice"]):
+        rows.append((r["_slice"], r["_first"], before))
+        before += r["_n"]
+    return slices.sparkSession.createDataFrame(rows, "_slice long, _first long, _before long")
+
+
+def _numbered(placed: DataFrame, offsets: DataFrame, by: list[str], out: str) -> DataFrame:
+    position = (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("long")
+    return placed.join(offsets, by).withColumn(out, position).drop("_at", "_slice", "_first", "_before")
 
 
 def top_per_group(

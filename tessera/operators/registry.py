@@ -26,25 +26,32 @@ def mint(seen: DataFrame, entity: str, ws: Workspace) -> DataFrame:
     return numbered.select("key", "seq", text.alias("internal_id"))
 
 
-def xref(
+def xrefs(
     df: DataFrame,
     entity: str,
     internal_id: str,
-    external_id: Column,
-    source: str,
-    name: Column | None = None,
-    primary: bool = False,
+    entries: list[tuple[Column, str, Column | None, bool]],
     seq: str = "seq",
 ) -> DataFrame:
-    """One crosswalk observation per row; rows without an external id drop out."""
+    """Crosswalk observations ``(external id, source, name, primary)`` of every row, in
+    one pass; entries without an external id drop out."""
+    none = F.lit(None).cast("string")
+    rows = F.array(
+        *[
+            F.struct(
+                external.alias("external_id"),
+                F.lit(source).alias("external_source"),
+                (none if name is None else name).alias("name"),
+                F.lit(primary).alias("is_primary"),
+            )
+            for external, source, name, primary in entries
+        ]
+    )
     return df.select(
         F.lit(entity).alias("entity_type"),
         F.col(internal_id).alias("internal_id"),
-        external_id.alias("external_id"),
-        F.lit(source).alias("external_source"),
-        (name if name is not None else F.lit(None)).cast("string").alias("name"),
-        F.lit(primary).alias("is_primary"),
         F.col(seq).cast("string").alias("seq"),
+        F.inline(rows),
     ).filter(F.coalesce("external_id", F.lit("")) != "")
 
 

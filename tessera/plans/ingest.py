@@ -52,7 +52,7 @@ def build_all(
     made: dict[str, build.Built] = {}
 
     def keep(name: str, b: build.Built) -> build.Built:
-        b.table, b.registry = ws.store(f"in_{name}", b.table), ws.store(f"in_ids_{name}", b.registry)
+        b.table = ws.store(f"in_{name}", b.table)
         made[name] = b
         return b
 
@@ -73,7 +73,7 @@ def build_all(
         dimension = keep("targets", build.target_dimension(files.read_targets(spark, paths["targets"], multiline), ws))
         claims = build.first_drug_per_chembl(names, cmap, drugs.registry)
         mech = files.read_mechanisms(spark, paths["mechanisms"], multiline)
-        keep("drug_targets", build.build_drug_targets(mech, claims, dimension.table))
+        keep("drug_targets", build.build_drug_targets(mech, claims, dimension.table, ws))
     if "disease_pathways" in builds:
         edges = build.gene_pathway_edges(files.read_gene_pathways(spark, paths["gene_pathways"]))
         support = ws.store("in_support", build.pathway_support(made["disease_genes"].table, edges))

@@ -7,6 +7,7 @@ everything else stays a lazy plan for Catalyst to prune and fuse.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,31 @@ def study(spark: SparkSession, folder: str) -> "Study":
     return _OPEN[key]
 
 
+class Tables(Mapping[str, DataFrame]):
+    """The six tables by name; asking for one builds it and what it needs."""
+
+    _BUILT = {
+        "drugs": "built_drugs",
+        "diseases": "built_diseases",
+        "drug_targets": "built_drug_targets",
+        "drug_side_effects": "built_side_effects",
+        "disease_genes": "built_genes",
+        "disease_pathways": "built_pathways",
+    }
+
+    def __init__(self, owner: "Study") -> None:
+        self._owner = owner
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self._owner, self._BUILT[name]).table
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._BUILT)
+
+    def __len__(self) -> int:
+        return len(self._BUILT)
+
+
 class Study:
     def __init__(self, spark: SparkSession, folder: str, ws: Workspace | None = None) -> None:
         self.spark = spark
@@ -85,7 +111,7 @@ class Study:
         claims = build.first_drug_per_chembl(
             self.raw["raw_drug_names"], self.raw["raw_chembl_map"], self.built_drugs.registry
         )
-        b = build.build_drug_targets(self.raw["raw_mechanisms"], claims, self.built_targets.table)
+        b = build.build_drug_targets(self.raw["raw_mechanisms"], claims, self.built_targets.table, self.ws)
         return self._keep("drug_targets", b)
 
     @cached_property
@@ -105,19 +131,11 @@ class Study:
 
     def _keep(self, name: str, b: build.Built) -> build.Built:
         b.table = self.ws.store(name, b.table)
-        b.registry = self.ws.store(f"ids_{name}", b.registry)
         return b
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        return {
-            "drugs": self.built_drugs.table,
-            "diseases": self.built_diseases.table,
-            "drug_targets": self.built_drug_targets.table,
-            "drug_side_effects": self.built_side_effects.table,
-            "disease_genes": self.built_genes.table,
-            "disease_pathways": self.built_pathways.table,
-        }
+    def tables(self) -> "Tables":
+        return Tables(self)
 
     @property
     def built(self) -> list[build.Built]:

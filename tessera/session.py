@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # call-site capture costs more than building the expressions themselves
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
