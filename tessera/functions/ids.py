@@ -10,6 +10,7 @@ from tessera.constants import ONTOLOGY_PREFIXES
 # --- fixed values: character classes and patterns -----------------------------
 # every character that counts as white space in a Unicode text
 SPACE = r"\s\x0B\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACE_POINTS = [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 WORD = r"\p{L}\p{N}_"
 EDGE = rf"""^[{SPACE}"'`(\[{{]+|[{SPACE}"'`)\]}}.,;:!?]+\z"""
 PROTEIN = r"^(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})\z"
@@ -24,7 +25,7 @@ CID_QUERY = r"(?i)^(?:CID[:_]?)?([0-9]+)\z"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.btrim(c, F.lit("".join(map(chr, SPACE_POINTS))))
 
 
 def squeeze(c: Column) -> Column:

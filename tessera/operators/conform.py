@@ -15,6 +15,7 @@ from tessera.constants import (
     UNIT_RANGE,
 )
 from tessera.operators.ordering import first_per_key, top_per_group
+from tessera.workspace import Workspace
 
 
 def to_contract(df: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -90,13 +91,16 @@ def rejections(
     )
 
 
-def ledger(parts: list[DataFrame]) -> DataFrame:
-    """Count per (stage, reason) and the first five distinct examples by first sight."""
+def ledger(parts: list[DataFrame], ws: Workspace) -> DataFrame:
+    """Count per (stage, reason) and the first five distinct examples by first sight.
+
+    The examples are reduced and written once; counts and examples both read that."""
     seen = (
         reduce(DataFrame.unionByName, parts)
         .groupBy("stage", "reason", "example")
-        .agg(F.sum("n").alias("n"), F.min(F.struct(F.length("seq"), F.col("seq"))).alias("at"))
+        .agg(F.sum("n").alias("n"), F.min(F.struct(F.length("seq").alias("l"), F.col("seq"))).alias("at"))
     )
+    seen = ws.store("rejections", seen)
     counts = seen.groupBy("stage", "reason").agg(F.sum("n").alias("n_rejected"))
     shown = top_per_group(
         seen, ["stage", "reason"], [F.col("at"), F.col("example")], EXAMPLES_PER_REASON

@@ -84,7 +84,7 @@ def build_all(
     seen = [o for b in made.values() for o in b.observations]
     lost = [r for b in made.values() for r in b.rejected]
     report = spark.createDataFrame(plan, "table_name string, built boolean, note string")
-    result = Ingested(tables, registry.crosswalk(seen) if seen else None, ledger(lost) if lost else None, report)
+    result = Ingested(tables, registry.crosswalk(seen) if seen else None, ledger(lost, ws) if lost else None, report)
     result.registries = {n: b.registry for n, b in made.items()}
     if tables:
         result.identifiers = ws.store("in_identifiers", result.identifiers)

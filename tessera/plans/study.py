@@ -166,7 +166,7 @@ class Study:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return ledger(self.rejections)
+        return ledger(self.rejections, self.ws)
 
     # --- links ---------------------------------------------------------------------
     @cached_property
