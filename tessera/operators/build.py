@@ -11,7 +11,7 @@ from tessera.constants import GENES_PER_DISEASE, MIN_PATHWAY_GENES
 from tessera.functions import ids
 from tessera.functions.numbers import tidy
 from tessera.operators.conform import conform, rejections, split_valid, to_contract
-from tessera.operators.ordering import first_per_key, top_per_group
+from tessera.operators.ordering import first_per_key, left_join_spread, top_per_group
 from tessera.operators.registry import mint, xrefs
 from tessera.workspace import Workspace
 
@@ -123,7 +123,7 @@ def build_drug_side_effects(raw: DataFrame, drug_registry: DataFrame, ws: Worksp
     )
     pairs = ws.store(
         "side_effect_pairs",
-        pairs.join(_by_key(drug_registry, "cid", "drug_id"), "cid", "left"),
+        left_join_spread(pairs, _by_key(drug_registry, "cid", "drug_id"), "cid", "cui"),
     )
     stage = "build:drug_side_effects"
     known = F.col("drug_id").isNotNull()
@@ -321,11 +321,8 @@ def build_drug_targets(raw: DataFrame, claims: DataFrame, dimension: DataFrame,
         F.count(F.lit(1)).alias("n"),
         F.min(F.struct("seq", "action_type", "raw_mol", "raw_target")).alias("f"),
     )
-    joined = (
-        pairs.join(claims, "mol", "left")
-        .join(dimension, "tcid", "left")
-        .select("*", F.col("f.seq").alias("seq"), F.col("f.action_type").alias("action_type"))
-    )
+    pairs = pairs.select("*", F.col("f.seq").alias("seq"), F.col("f.action_type").alias("action_type"))
+    joined = left_join_spread(left_join_spread(pairs, claims, "mol", "seq"), dimension, "tcid", "seq")
     joined = ws.store("mechanism_pairs", joined)
     known, described = F.col("drug_id").isNotNull(), F.col("target_id").isNotNull()
     stage = "build:drug_targets"

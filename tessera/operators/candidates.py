@@ -130,8 +130,7 @@ def gene_target_matches(genes: DataFrame, targets: DataFrame) -> DataFrame:
     return g.join(t, "hgnc_id")
 
 
-def pathway_matches(disease_pathways: DataFrame, by_drug: DataFrame) -> DataFrame:
-    """One row per (disease pathway, drug) that share a pathway id, with both supports."""
+def _pathway_sides(disease_pathways: DataFrame, by_drug: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = disease_pathways.filter("reactome_id is not null").select(
         "reactome_id",
         "disease_id",
@@ -146,11 +145,24 @@ def pathway_matches(disease_pathways: DataFrame, by_drug: DataFrame) -> DataFram
         F.col("pathway_name").alias("_drug_name"),
         F.col("supporting_target_count").alias("drug_supporting_target_count"),
     )
-    return (
-        d.join(p, "reactome_id")
-        .withColumn("pathway_name", F.coalesce("_name", "_drug_name"))
-        .drop("_name", "_drug_name")
-    )
+    return d, p
+
+
+def _named(matches: DataFrame) -> DataFrame:
+    return matches.withColumn("pathway_name", F.coalesce("_name", "_drug_name")).drop("_name", "_drug_name")
+
+
+def pathway_matches(disease_pathways: DataFrame, by_drug: DataFrame) -> DataFrame:
+    """One row per (disease pathway, drug) that share a pathway id, with both supports."""
+    d, p = _pathway_sides(disease_pathways, by_drug)
+    return _named(d.join(p, "reactome_id"))
+
+
+def pathway_matches_of(pairs: DataFrame, disease_pathways: DataFrame, by_drug: DataFrame) -> DataFrame:
+    """The same facts for given pairs only: start from the pairs, not from the pathways,
+    so that a pathway shared by many drugs costs nothing for the pairs left out."""
+    d, p = _pathway_sides(disease_pathways, by_drug)
+    return _named(pairs.select(*PAIR).join(p, "drug_id").join(d, ["disease_id", "reactome_id"]))
 
 
 # --- pairs -----------------------------------------------------------------------------

@@ -40,12 +40,11 @@ def labelled(features: DataFrame, diseases: DataFrame, known: DataFrame) -> Data
     Only diseases with an ontology id take part; a drug without a ChEMBL id is 0."""
     onto = diseases.filter("ontology_id is not null").select("disease_id", "ontology_id")
     hits = known.select("ontology_id", "chembl_id").distinct().withColumn("_hit", F.lit(1))
-    return (
-        features.join(onto, "disease_id")
-        .join(hits, ["ontology_id", "chembl_id"], "left")
-        .withColumn("label", F.coalesce("_hit", F.lit(0)))
-        .drop("_hit")
-    )
+    rows = features.join(onto, "disease_id")
+    # drugs without a ChEMBL id match nothing; their own id keeps them apart
+    rows = rows.withColumn("_mol", F.coalesce("chembl_id", F.concat(F.lit("\x00"), "drug_id")))
+    joined = rows.join(hits.withColumnRenamed("chembl_id", "_mol"), ["ontology_id", "_mol"], "left")
+    return joined.withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit", "_mol")
 
 
 def training_summary(rows: DataFrame) -> DataFrame:
@@ -83,10 +82,26 @@ def column_stats(rows: DataFrame) -> DataFrame:
     return m.agg(mean, scale)
 
 
-def standardize(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    """Add ``z``, the standardised vector; ``stats`` has one row."""
-    centred = F.zip_with(_x(), "means", lambda x, m: x - m)
-    return rows.join(stats).withColumn("z", F.zip_with(centred, "scales", lambda d, s: d / s)).drop("means", "scales")
+@dataclass
+class Stats:
+    """Means and scales of the model columns: two short lists of numbers."""
+
+    means: list[float]
+    scales: list[float]
+
+    @classmethod
+    def of(cls, rows: DataFrame) -> "Stats":
+        r = column_stats(rows).first()
+        return cls(list(r["means"]), list(r["scales"]))
+
+
+def standardized(i: int, stats: Stats) -> Column:
+    return (number(MODEL_COLUMNS[i]) - stats.means[i]) / stats.scales[i]
+
+
+def standardize(rows: DataFrame, stats: Stats) -> DataFrame:
+    """Add ``z``, the standardised vector."""
+    return rows.withColumn("z", F.array(*[standardized(i, stats) for i in range(len(MODEL_COLUMNS))]))
 
 
 def class_weights(rows: DataFrame) -> DataFrame:
@@ -184,8 +199,7 @@ def select_model(summary: DataFrame, order: list[str] = MODELS) -> DataFrame:
 class Fitted:
     name: str
     model: LogisticRegressionModel | RandomForestClassificationModel
-    means: list[float]
-    scales: list[float]
+    stats: Stats
     metadata: dict
 
 
@@ -205,21 +219,19 @@ def _weighted(rows: DataFrame, s: dict) -> DataFrame:
     return rows.withColumn("weight", w)
 
 
-def _vector(rows: DataFrame, name: str, stats: DataFrame) -> DataFrame:
+def _vector(rows: DataFrame, name: str, stats: Stats) -> DataFrame:
     """``features`` vector: standardised for the linear model, plain for the forest."""
     if name == "logistic_regression":
-        z = standardize(rows, stats)
-        cols = {f"_z{i}": F.col("z")[i] for i in range(len(MODEL_COLUMNS))}
-        out = VectorAssembler(inputCols=list(cols), outputCol="features").transform(z.withColumns(cols))
-        return out.drop(*cols, "z")
+        cols = {f"_z{i}": standardized(i, stats) for i in range(len(MODEL_COLUMNS))}
+        out = VectorAssembler(inputCols=list(cols), outputCol="features").transform(rows.withColumns(cols))
+        return out.drop(*cols)
     return VectorAssembler(inputCols=MODEL_COLUMNS, outputCol="features").transform(matrix(rows))
 
 
 def fit(rows: DataFrame, name: str, trees: int = 400) -> Fitted:
     s = guard(rows)
-    first = column_stats(rows).first()
-    stats = _stats_frame(rows.sparkSession, first["means"], first["scales"])
-    train = _vector(_weighted(rows, s), name, stats).select("features", "label", "weight")
+    stats = Stats.of(rows)
+    train = _vector(_weighted(rows, s), name, stats).select("features", "label", "weight").persist()
     if name == "logistic_regression":
         est = LogisticRegression(
             weightCol="weight", maxIter=2000, elasticNetParam=0.0, regParam=1.0 / s["n_rows"],
@@ -230,21 +242,16 @@ def fit(rows: DataFrame, name: str, trees: int = 400) -> Fitted:
             numTrees=trees, maxDepth=6, minInstancesPerNode=10, featureSubsetStrategy="sqrt",
             weightCol="weight", seed=SEED, maxMemoryInMB=1024,
         )
-    return Fitted(name, est.fit(train), list(first["means"]), list(first["scales"]), s)
-
-
-def _stats_frame(spark: SparkSession, means: list[float], scales: list[float]) -> DataFrame:
-    return spark.range(1).select(
-        F.array(*[F.lit(float(m)) for m in means]).alias("means"),
-        F.array(*[F.lit(float(v)) for v in scales]).alias("scales"),
-    )
+    fitted = est.fit(train)
+    train.unpersist()
+    return Fitted(name, fitted, stats, s)
 
 
 def save(fitted: Fitted, path: str, spark: SparkSession) -> None:
     fitted.model.write().overwrite().save(f"{path}/model")
     meta = {
         **fitted.metadata, "model_name": fitted.name, "model_version": MODEL_VERSION,
-        "feature_columns": MODEL_COLUMNS, "means": fitted.means, "scales": fitted.scales,
+        "feature_columns": MODEL_COLUMNS, "means": fitted.stats.means, "scales": fitted.stats.scales,
     }
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
@@ -255,13 +262,12 @@ def load(path: str, spark: SparkSession) -> Fitted:
     except Exception as e:
         raise NotTrained(f"no trained model under {path}") from e
     kind = LogisticRegressionModel if meta["model_name"] == "logistic_regression" else RandomForestClassificationModel
-    return Fitted(meta["model_name"], kind.load(f"{path}/model"), meta["means"], meta["scales"], meta)
+    return Fitted(meta["model_name"], kind.load(f"{path}/model"), Stats(meta["means"], meta["scales"]), meta)
 
 
 # --- scoring -----------------------------------------------------------------------------------
 def score(rows: DataFrame, f: Fitted) -> DataFrame:
-    stats = _stats_frame(rows.sparkSession, f.means, f.scales)
-    out = f.model.transform(_vector(rows, f.name, stats))
+    out = f.model.transform(_vector(rows, f.name, f.stats))
     p = vector_to_array("probability")[1]
     return out.withColumn("model_output", tidy(p, 6)).drop("features", "rawPrediction", "probability", "prediction")
 
@@ -274,14 +280,13 @@ def baseline(f: Fitted, ws: Workspace) -> float:
 
 
 # --- attribution: linear -------------------------------------------------------------------------
-def linear_attribution(rows: DataFrame, coefficients: list[float], stats: DataFrame) -> DataFrame:
+def linear_attribution(rows: DataFrame, coefficients: list[float], stats: Stats) -> DataFrame:
     """Add ``contributions``: coefficient times standardised value, per model column."""
-    coef = F.array(*[F.lit(float(c)) for c in coefficients])
-    z = standardize(rows, stats)
-    return z.withColumn("contributions", F.zip_with("z", coef, lambda v, c: v * c)).drop("z")
+    parts = [standardized(i, stats) * float(c) for i, c in enumerate(coefficients)]
+    return rows.withColumn("contributions", F.array(*parts))
 
 
-def linear_score(rows: DataFrame, coefficients: list[float], intercept: float, stats: DataFrame) -> DataFrame:
+def linear_score(rows: DataFrame, coefficients: list[float], intercept: float, stats: Stats) -> DataFrame:
     """Probability and contributions of a linear model with known coefficients."""
     out = linear_attribution(rows, coefficients, stats)
     margin = F.aggregate("contributions", F.lit(float(intercept)), lambda a, c: a + c)

@@ -60,6 +60,14 @@ def _numbered(placed: DataFrame, offsets: DataFrame, by: list[str], out: str) ->
     return placed.join(offsets, by).withColumn(out, position).drop("_at", "_slice", "_first", "_before")
 
 
+def left_join_spread(left: DataFrame, right: DataFrame, key: str, spread_by: str) -> DataFrame:
+    """Left join on a text key that is often null. Null keys match nothing; they get a
+    key of their own row, so they do not meet in one task."""
+    own = F.concat(F.lit("\x00"), F.col(spread_by).cast("string"))
+    keyed = left.withColumn("_key", F.coalesce(F.col(key), own))
+    return keyed.join(right.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
+
 def top_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, out: str | None = None
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import ID_PREFIX, ID_WIDTH
-from tessera.operators.ordering import number_rows
+from tessera.operators.ordering import left_join_spread, number_rows
 from tessera.workspace import Workspace
 
 
@@ -76,7 +76,8 @@ def crosswalk(observations: list[DataFrame]) -> DataFrame:
 def lookup(keys: DataFrame, registry: DataFrame, key: str, out: str = "internal_id") -> DataFrame:
     """Internal id per key; null where the key was never minted."""
     ids = registry.select(F.col("key").alias(key), F.col("internal_id").alias(out))
-    return keys.join(ids, key, "left")
+    spread = keys.withColumn("_row", F.monotonically_increasing_id())
+    return left_join_spread(spread, ids, key, "_row").drop("_row")
 
 
 def entity_counts(registries: dict[str, DataFrame]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.constants import SUGGESTION_LIMIT
 from tessera.functions import ids
-from tessera.operators.ordering import top_per_group
+from tessera.operators.ordering import left_join_spread, top_per_group
 
 GRAM = 3
 
@@ -160,7 +160,7 @@ def _resolve(queries: DataFrame, texts: DataFrame, keys: DataFrame, names: DataF
         F.when(F.col("b.n") == 1, F.col("b.entity_id")).alias("match_id"),
         F.coalesce("b.n", F.lit(0)).alias("n_matches"),
     )
-    answered = answered.join(names, "match_id", "left")
+    answered = left_join_spread(answered, names, "match_id", "text")
     return queries.withColumn("text", F.coalesce("query", F.lit(""))).join(answered, "text").drop("text")
 
 

@@ -158,11 +158,11 @@ def s15_known_drugs(s: Study) -> DataFrame:
 
 
 def _stored(s: Study) -> str:
-    root = s.ws.path("processed")
     if not hasattr(s, "_stored_at"):
+        root = s.ws.path("processed")
         files.write_tables({**s.tables, files.CROSSWALK: s.identifiers}, root)
         s._stored_at = root
-    return root
+    return s._stored_at
 
 
 @query

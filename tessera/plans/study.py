@@ -250,8 +250,8 @@ class Study:
         return self.ws.store("training", rows)
 
     @cached_property
-    def stats(self) -> DataFrame:
-        return self.ws.store("column_stats", model.column_stats(self.training))
+    def stats(self) -> model.Stats:
+        return model.Stats.of(self.training)
 
     def linear(self, shift: int = 7) -> DataFrame:
         """Scores of a linear model whose coefficients follow a rule; stands in for a
@@ -320,11 +320,12 @@ class Study:
         best = self.ranked.filter(F.col("rank") <= TOP_N)
         only = best.select("disease_id", "drug_id")
         pair = ["disease_id", "drug_id"]
-        ids = candidates.rollups(
-            self.gene_matches.join(only, pair, "left_semi"), self.pathway_matches.join(only, pair, "left_semi")
-        )
+        ids = candidates.rollups(self.gene_matches.join(only, pair, "left_semi"), self._pathways_of(only))
         return self.ws.store("top", narrative.with_rollups(best, ids))
 
+    def _pathways_of(self, pairs: DataFrame) -> DataFrame:
+        return candidates.pathway_matches_of(pairs, self.tables["disease_pathways"], self.drug_pathways)
+
     @cached_property
     def narratives(self) -> DataFrame:
         return self.ws.store("narratives", narrative.narratives(self.top))
@@ -333,7 +334,7 @@ class Study:
     def _graph_inputs(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
         best = self.top.filter(F.col("rank") <= GRAPH_TOP_N)
         genes = self.ws.store("graph_genes", graph.gene_reasons(self.gene_matches, best))
-        paths = self.ws.store("graph_pathways", graph.pathway_reasons(self.pathway_matches, best))
+        paths = self.ws.store("graph_pathways", graph.pathway_reasons(self._pathways_of(best.select("disease_id", "drug_id")), best))
         return best, genes, paths, self.narratives.filter(F.col("rank") <= GRAPH_TOP_N)
 
     @cached_property
