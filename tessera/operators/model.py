@@ -228,9 +228,13 @@ def _vector(rows: DataFrame, name: str, stats: Stats) -> DataFrame:
     return VectorAssembler(inputCols=MODEL_COLUMNS, outputCol="features").transform(matrix(rows))
 
 
-def fit(rows: DataFrame, name: str, trees: int = 400) -> Fitted:
-    s = guard(rows)
-    stats = Stats.of(rows)
+def fit(
+    rows: DataFrame, name: str, trees: int = 400, counts: dict | None = None, with_stats: bool = True
+) -> Fitted:
+    """Fit one classifier. ``counts`` are the training counts when they are known already;
+    the forest needs the column statistics for its record only."""
+    s = counts or guard(rows)
+    stats = Stats.of(rows) if with_stats or name == "logistic_regression" else Stats([], [])
     train = _vector(_weighted(rows, s), name, stats).select("features", "label", "weight").persist()
     if name == "logistic_regression":
         est = LogisticRegression(
@@ -425,7 +429,8 @@ def cross_validate(rows: DataFrame, ws: Workspace, models: list[str] = MODELS, t
             continue
         train, test = by_fold.filter(F.col("fold") != r["fold"]), by_fold.filter(F.col("fold") == r["fold"])
         for name in models:
-            scored = score(test, fit(train, name, trees)).select(
+            known = {"n_rows": n - r["n"], "n_positive": p - r["p"]}
+            scored = score(test, fit(train, name, trees, known, with_stats=False)).select(
                 F.lit(name).alias("model"), "fold", *PAIR, "label", F.col("model_output").alias("score")
             )
             parts.append(ws.store(f"cv_{name}_{r['fold']}", scored))
