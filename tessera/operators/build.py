@@ -348,15 +348,16 @@ def build_drug_targets(raw: DataFrame, claims: DataFrame, dimension: DataFrame,
 
 
 # --- disease pathways (derived) -------------------------------------------------------
-def gene_pathway_edges(raw: DataFrame) -> DataFrame:
-    return (
-        raw.select(
-            ids.gene_key(F.col("ensembl_id")).alias("ensembl_id"),
-            ids.reactome_key(F.col("reactome_id")).alias("reactome_id"),
-        )
-        .dropna()
-        .distinct()
-    )
+def gene_pathway_edges(raw: DataFrame, genes: DataFrame | None = None) -> DataFrame:
+    """Distinct (gene, pathway). With ``genes(ensembl_id)`` only their edges are kept,
+    before the distinct shuffles anything."""
+    edges = raw.select(
+        ids.gene_key(F.col("ensembl_id")).alias("ensembl_id"),
+        ids.reactome_key(F.col("reactome_id")).alias("reactome_id"),
+    ).dropna()
+    if genes is not None:
+        edges = edges.join(genes.select("ensembl_id").distinct(), "ensembl_id", "left_semi")
+    return edges.distinct()
 
 
 def pathway_names(raw: DataFrame) -> DataFrame:

@@ -77,17 +77,18 @@ def bridge_coverage(drug_targets: DataFrame, bridged: DataFrame) -> DataFrame:
 
 
 # --- pathways of a drug --------------------------------------------------------------
-def protein_pathways(raw: DataFrame) -> DataFrame:
-    """Distinct (protein, pathway, name); rows with a missing side drop out."""
-    return (
-        raw.select(
-            no_blank(F.upper(strip(F.col("uniprot")))).alias("uniprot_id"),
-            no_blank(strip(F.col("reactome_id"))).alias("reactome_id"),
-            "pathway_name",
-        )
-        .filter("uniprot_id is not null and reactome_id is not null")
-        .distinct()
-    )
+def protein_pathways(raw: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Distinct (protein, pathway, name); rows with a missing side drop out. With
+    ``targets(uniprot_id)`` only their proteins are kept, before the distinct."""
+    rows = raw.select(
+        no_blank(F.upper(strip(F.col("uniprot")))).alias("uniprot_id"),
+        no_blank(strip(F.col("reactome_id"))).alias("reactome_id"),
+        "pathway_name",
+    ).filter("uniprot_id is not null and reactome_id is not null")
+    if targets is not None:
+        used = targets.select(F.upper("uniprot_id").alias("uniprot_id")).dropna().distinct()
+        rows = rows.join(used, "uniprot_id", "left_semi")
+    return rows.distinct()
 
 
 def drug_protein_pathways(drug_targets: DataFrame, index: DataFrame) -> DataFrame:
@@ -219,15 +220,13 @@ def rollups(gene: DataFrame, pathway: DataFrame) -> DataFrame:
     """Distinct sorted ids per pair. A pair holds at most the capped genes of one
     disease and the pathways of one drug; values are made distinct before the shuffle."""
 
-    def ids(df: DataFrame, kind: str, column: str) -> DataFrame:
-        return df.select(*PAIR, F.lit(kind).alias("kind"), F.col(column).alias("value"))
+    def ids(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+        entries = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in kinds.items()]
+        return df.select(*PAIR, F.inline(F.array(*entries)))
 
     long = (
-        ids(gene, "hgnc", "hgnc_id")
-        .unionByName(ids(gene, "symbol", "gene_symbol"))
-        .unionByName(ids(gene, "gene", "disease_gene_id"))
-        .unionByName(ids(gene, "target", "drug_target_id"))
-        .unionByName(ids(pathway, "pathway", "reactome_id"))
+        ids(gene, {"hgnc": "hgnc_id", "symbol": "gene_symbol", "gene": "disease_gene_id", "target": "drug_target_id"})
+        .unionByName(ids(pathway, {"pathway": "reactome_id"}))
         .filter(F.coalesce("value", F.lit("")) != "")
     )
 

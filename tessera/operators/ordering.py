@@ -42,7 +42,7 @@ def number_rows(
         Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = slices.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    return _numbered(placed, offsets, by, out)
+    return _numbered(placed, ws.store(f"{name}_offsets", offsets), by, out)
 
 
 def _before_each_slice(slices: DataFrame) -> DataFrame:

@@ -75,8 +75,9 @@ def build_all(
         mech = files.read_mechanisms(spark, paths["mechanisms"], multiline)
         keep("drug_targets", build.build_drug_targets(mech, claims, dimension.table, ws))
     if "disease_pathways" in builds:
-        edges = build.gene_pathway_edges(files.read_gene_pathways(spark, paths["gene_pathways"]))
-        support = ws.store("in_support", build.pathway_support(made["disease_genes"].table, edges))
+        genes = made["disease_genes"].table
+        edges = build.gene_pathway_edges(files.read_gene_pathways(spark, paths["gene_pathways"]), genes)
+        support = ws.store("in_support", build.pathway_support(genes, edges))
         titles = build.pathway_names(files.read_pathway_names(spark, paths["pathway_names"]))
         keep("disease_pathways", build.build_disease_pathways(support, titles, ws))
 

@@ -120,9 +120,9 @@ class Study:
 
     @cached_property
     def support(self) -> DataFrame:
-        return self.ws.store(
-            "pathway_support", build.pathway_support(self.built_genes.table, self.gene_pathways)
-        )
+        genes = self.built_genes.table
+        edges = build.gene_pathway_edges(self.raw["raw_gene_pathways"], genes)
+        return self.ws.store("pathway_support", build.pathway_support(genes, edges))
 
     @cached_property
     def built_pathways(self) -> build.Built:
@@ -188,14 +188,11 @@ class Study:
         t = candidates.bridged_targets(self.tables["drug_targets"], self.bridge)
         return self.ws.store("bridged_targets", t)
 
-    @cached_property
-    def protein_pathways(self) -> DataFrame:
-        return candidates.protein_pathways(self.raw["raw_gene_pathways"])
-
     @cached_property
     def drug_protein_pathways(self) -> DataFrame:
-        t = candidates.drug_protein_pathways(self.tables["drug_targets"], self.protein_pathways)
-        return self.ws.store("drug_protein_pathways", t)
+        targets = self.tables["drug_targets"]
+        index = candidates.protein_pathways(self.raw["raw_gene_pathways"], targets)
+        return self.ws.store("drug_protein_pathways", candidates.drug_protein_pathways(targets, index))
 
     @cached_property
     def drug_pathways(self) -> DataFrame:
@@ -304,11 +301,13 @@ class Study:
     # --- scores, ranks, narratives, graphs -----------------------------------------------
     @cached_property
     def fused(self) -> DataFrame:
-        return self.ws.store("fused", fusion.fuse(self.features, self.predictions))
+        """A plan, not a table: one join of two written tables, and ranking writes its rows anyway."""
+        return fusion.fuse(self.features, self.predictions)
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return self.ws.store("ranked", ranking.rank(self.fused, self.ws))
+        """Ranking writes the rows in rank order; the rank itself is a small join on top."""
+        return ranking.rank(self.fused, self.ws)
 
     @cached_property
     def rollups(self) -> DataFrame:
@@ -316,8 +315,8 @@ class Study:
 
     @cached_property
     def top(self) -> DataFrame:
-        """The published pairs: top ten per disease with their matched ids."""
-        best = self.ranked.filter(F.col("rank") <= TOP_N)
+        """The published pairs: top ten per disease with their matched ids. They need no full ranking."""
+        best = self.ws.store("best", ranking.top_n(self.fused, TOP_N))
         only = best.select("disease_id", "drug_id")
         pair = ["disease_id", "drug_id"]
         ids = candidates.rollups(self.gene_matches.join(only, pair, "left_semi"), self._pathways_of(only))
