@@ -316,6 +316,14 @@ FINAL: dict[str, str] = {
     "s16_load_tables": " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in [*_ALL, "identifiers"]),
     "s17_csv_copies": " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in [*_ALL, "identifiers"]),
     "s18_run_report": "select check_name, severity, passed, detail from checks_stored",
+    "s19_coverage": """select t.table_name, a.absent, not list_contains(t.needs, a.absent) as built, case when list_contains(t.needs, a.absent) then t.note else '' end as note,
+        case when list_contains(t.needs, a.absent) then 0 else t.n end as n_rows from (values ('none'), ('sider'), ('chembl'), ('opentargets'), ('reactome')) a(absent) cross join (
+          select 'drugs' as table_name, ['sider'] as needs, 'requires SIDER' as note, (select count(*) from drugs) as n
+          union all select 'drug_side_effects', ['sider'], 'requires SIDER+drugs', (select count(*) from drug_side_effects)
+          union all select 'diseases', ['opentargets'], 'requires Open Targets', (select count(*) from diseases)
+          union all select 'disease_genes', ['opentargets'], 'requires Open Targets', (select count(*) from disease_genes)
+          union all select 'drug_targets', ['chembl', 'sider'], 'requires ChEMBL+drugs', (select count(*) from drug_targets)
+          union all select 'disease_pathways', ['reactome', 'opentargets'], 'requires Reactome + disease_genes', (select count(*) from disease_pathways)) t""",
     # rules
     "f1_name_keys": f"select id, length(k)::int as n_chars, md5(k) as key_md5 from (select id, {r.name_key('text')} as k from all_texts)",
     "f2_compound_ids": _norm("compound", "select stitch_id as value from raw_drug_names union all select ' 00' || pubchem_cid from raw_chembl_map", "value", r.compound("value")),
@@ -362,6 +370,14 @@ FINAL: dict[str, str] = {
     "b14_rejections": """select stage, reason, sum(n)::bigint as n_rejected, string_agg(example, ' ; ' order by l, s, example) filter (where place <= 5) as examples from (
         select *, row_number() over (partition by stage, reason order by l, s, example) as place from (
           select stage, reason, substr(coalesce(example, ''), 1, 200) as example, sum(n) as n, min({'l': length(seq), 's': seq}).l as l, min({'l': length(seq), 's': seq}).s as s from rejects group by 1, 2, 3)) group by 1, 2""",
+    "b15_ingestion": """with landed_drugs as (select distinct cid from good_drugs where seq % 70 <> 0), landed_genes as (select * from gene_rows where ontology_id in (select ontology_id from raw_diseases where seq % 9 < 7)),
+        landed_edges as (select distinct ensembl_id, reactome_id from raw_gene_pathways where length(pathway_name) % 2 = 1 and right(reactome_id, 1) <> '3')
+        select 'drugs' as table_name, (select count(*) from landed_drugs) as n_rows
+        union all select 'drug_side_effects', (select count(*) from (select distinct s.drug_id, s.cui from se_good s join ids_drug i on i.internal_id = s.drug_id where i.key in (select cid from landed_drugs)))
+        union all select 'diseases', (select count(*) from raw_diseases where seq % 9 < 7)
+        union all select 'disease_genes', (select count(*) from (select distinct disease_id, gene from landed_genes))
+        union all select 'drug_targets', (select count(*) from (select distinct m.drug_id, m.target_id from mech_rows m join ids_drug i on i.internal_id = m.drug_id where m.target_id is not null and m.seq % 13 <> 0 and i.key in (select cid from landed_drugs)))
+        union all select 'disease_pathways', (select count(*) from (select g.disease_id, e.reactome_id from landed_genes g join landed_edges e on e.ensembl_id = g.gene group by 1, 2 having count(distinct g.gene) >= 3))""",
     "v1_to_contract": f"select {_DG} from dirty",
     "v2_violations": "select seq, disease_id, gene_id, reason from dirty_tagged where reason is not null",
     "v3_conformed": f"select {_DG} from dirty_tagged where reason is null qualify row_number() over (partition by disease_id, gene_id order by seq) = 1",
@@ -392,6 +408,14 @@ FINAL: dict[str, str] = {
           from (select *, row_number() over (partition by disease_id order by association_score desc nulls last, gene_name nulls last, gene_id) as pos from disease_genes) group by 1) g using (disease_id)
         left join (select disease_id, count(*) as n, string_agg(pathway_name, '|' order by pos) filter (where pos <= 15) as names
           from (select *, row_number() over (partition by disease_id order by gene_support_count desc nulls last, association_score desc nulls last, pathway_name nulls last, pathway_id) as pos from disease_pathways) group by 1) p using (disease_id)""",
+    "e10_disease_profiles": """select d.disease_id, d.disease_name, d.ontology_id, g.n::int as n_genes, p.n::int as n_pathways, g.first_gene, p.first_pathway, (select count(*) from identifiers i where i.internal_id = d.disease_id)::int as n_external, g.n >= 200 as genes_truncated
+        from diseases d left join (select disease_id, count(*) as n, max(gene_name) filter (where pos = 1) as first_gene from (select *, row_number() over (partition by disease_id order by association_score desc nulls last, gene_name nulls last, gene_id) as pos from disease_genes) group by 1) g using (disease_id)
+        left join (select disease_id, count(*) as n, max(pathway_name) filter (where pos = 1) as first_pathway from (select *, row_number() over (partition by disease_id order by gene_support_count desc nulls last, association_score desc nulls last, pathway_name nulls last, pathway_id) as pos from disease_pathways) group by 1) p using (disease_id)""",
+    "e16_drug_profiles": """select d.drug_id, d.drug_name, coalesce(e.n, 0) as side_effect_count, coalesce(t.n, 0) as target_count, coalesce(t.u, 0) > 0 as pathway_context_available, coalesce(t.m, 0)::int as n_mechanisms, least(coalesce(p.n, 0), 100)::int as n_pathways, e.first_effect, t.first_mechanism
+        from drugs d left join (select drug_id, count(*) as n, max(side_effect_name) filter (where pos = 1) as first_effect from (select *, row_number() over (partition by drug_id order by side_effect_name, side_effect_id) as pos from drug_side_effects) group by 1) e using (drug_id)
+        left join (select drug_id, count(*) as n, count(distinct uniprot_id) as u, count(distinct target_id || '|' || coalesce(action_type, '')) as m, max(case when action_type is null then 'acts on ' else lower(action_type) || ' of ' end || coalesce(target_name, target_id)) filter (where pos = 1) as first_mechanism
+          from (select *, row_number() over (partition by drug_id order by target_name nulls last, target_id) as pos from drug_targets) group by 1) t using (drug_id)
+        left join (select drug_id, count(*) as n from drug_pathways group by 1) p using (drug_id)""",
     "e11_external_ids": "select internal_id as entity_id, external_id, external_source as source, is_primary, 'crosswalk' as origin from identifiers where entity_type in ('disease', 'drug') union all select disease_id, ontology_id, source, true, 'own' from diseases union all select drug_id, chembl_id, 'chembl', false, 'own' from drugs where chembl_id is not null union all select drug_id, pubchem_cid, 'pubchem', false, 'own' from drugs",
     "e12_ordered_side_effects": "select drug_id, side_effect_id, side_effect_name, row_number() over (partition by drug_id order by side_effect_name nulls last, side_effect_id) as position from drug_side_effects",
     "e12_ordered_targets": "select drug_id, target_id, target_name, row_number() over (partition by drug_id order by target_name nulls last, target_id) as position from drug_targets",
@@ -475,6 +499,7 @@ FINAL: dict[str, str] = {
     "r4_ranking_table": f"select rank, {_PAIRS}, drug_name, repurposing_score, gene_target_value, gene_target_points, pathway_value, pathway_points, ml_value, ml_points, concat_ws(',', case when generated_by_gene_target then 'gene_target' end, case when generated_by_pathway then 'pathway' end) as generation_methods from ranked",
     "r5_run_provenance": "select disease_id, count(*) as n_input, least(40, count(*)) as n_ranked, 40::bigint as top_n_requested, least(40, count(*)) as top_n_applied, '1.0' as scoring_version, '1.0' as ranking_version from fused group by 1",
     # narratives
+    "n1_evidence_context": "select disease_id, drug_id, rank::varchar as p0, repurposing_score::varchar as p1, matched_gene_hgnc_ids[1] as p2, ml_reason as p3, model_output::varchar as p4 from top",
     "n2_evidence_status": f"select {_PAIRS}, " + ", ".join(f"{r.status(c + '_value')} as {c}_status" for c in COMPONENTS) + " from ranked",
     "n3_family_sentences": f"select {_PAIRS}, " + ", ".join(f"{c}_description" for c in COMPONENTS) + " from narratives",
     "n4_summaries": f"select {_PAIRS}, summary, limitations from narratives",
@@ -550,7 +575,10 @@ def sql(name: str) -> str:
     seen: dict[str, None] = {}
     _needed(FINAL[name], seen)
     parts = ",\n".join(f"{n} as ({CTES[n].strip()})" for n in seen)
-    return (f"with recursive {parts}\n" if parts else "") + FINAL[name].strip()
+    body = FINAL[name].strip()
+    if body.startswith("with "):
+        return f"with recursive {parts},\n{body.removeprefix('with ')}"
+    return (f"with recursive {parts}\n" if parts else "") + body
 
 
 def all_sql() -> dict[str, str]:

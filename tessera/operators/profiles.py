@@ -210,17 +210,22 @@ def drug_profiles(
 ) -> DataFrame:
     xrefs = external_ids(drugs, identifiers, "drug", "drug_id")
     e = F.struct("side_effect_name", "side_effect_id", "umls_cui", "source")
-    t = F.struct("target_name", "target_id", "target_type", "uniprot_id", "action_type", "source")
-    m = F.struct("target_name", "target_id", "action_type", "description")
+    unnamed = F.col("target_name").isNull().alias("unnamed")
+    t = F.struct(unnamed, "target_name", "target_id", "target_type", "uniprot_id", "action_type", "source")
+    m = F.struct(unnamed, "target_name", "target_id", "action_type", "description")
+
+    def by_name(c: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(c)), lambda s: s.dropFields("unnamed"))
+
     p = F.struct("position", "reactome_id", "pathway_name", "supporting_target_count", "supporting_uniprot_ids")
     parts = [
         effects.groupBy("drug_id").agg(
             F.array_sort(F.collect_list(e)).alias("side_effects"), F.count(F.lit(1)).alias("side_effect_count")
         ),
         targets.groupBy("drug_id").agg(
-            F.array_sort(F.collect_list(t)).alias("targets"), F.count(F.lit(1)).alias("target_count")
+            by_name(t).alias("targets"), F.count(F.lit(1)).alias("target_count")
         ),
-        mechanisms(targets).groupBy("drug_id").agg(F.array_sort(F.collect_list(m)).alias("mechanisms")),
+        mechanisms(targets).groupBy("drug_id").agg(by_name(m).alias("mechanisms")),
         capped_pathways(by_drug, facts).groupBy("drug_id").agg(F.array_sort(F.collect_list(p)).alias("pathways")),
         xrefs.groupBy("drug_id").agg(
             F.array_sort(F.collect_list(F.struct("source", "external_id", "is_primary"))).alias("external_identifiers")
