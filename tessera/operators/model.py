@@ -59,9 +59,9 @@ def training_summary(rows: DataFrame) -> DataFrame:
 
 # --- matrix ----------------------------------------------------------------------------
 def number(c: str) -> Column:
+    """The value as a double; null, NaN and infinity (none of them below infinity) are 0."""
     v = F.col(c).cast("double")
-    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    return F.when(bad, 0.0).otherwise(v)
+    return F.when(F.abs(v) < float("inf"), v).otherwise(0.0)
 
 
 def matrix(rows: DataFrame) -> DataFrame:
@@ -329,33 +329,33 @@ def _tree_arrays(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
     return trees
 
 
-def _walk(x: np.ndarray, t: dict[str, np.ndarray], out: np.ndarray) -> None:
-    """Add the rate change along every row's path through one tree, level by level."""
-    at = np.zeros(len(x), dtype=np.int64)
-    live = np.flatnonzero(t["left"][at] >= 0)
-    while len(live):
-        node = at[live]
-        feat = t["feature"][node]
-        step = np.where(x[live, feat] <= t["threshold"][node], t["left"][node], t["right"][node])
-        np.add.at(out, (live, feat), t["rate"][step] - t["rate"][node])
-        at[live] = step
-        live = live[t["left"][step] >= 0]
-
-
 def forest_attribution(rows: DataFrame, f: Fitted, ws: Workspace) -> DataFrame:
     """Add ``contributions``. The node table has at most trees * 2^(depth+1) rows, so
     it is broadcast; rows stay where they are and are walked in Arrow batches."""
     trees = ws.spark.sparkContext.broadcast(_tree_arrays(forest_nodes(f, ws).toPandas()))
     keep = rows.withColumn("x", _x())
-    width = len(MODEL_COLUMNS)
+    width, pair = len(MODEL_COLUMNS), list(PAIR)
+
+    # nested, so that workers need nothing but numpy and pandas
+    def walk(x: np.ndarray, t: dict[str, np.ndarray], out: np.ndarray) -> None:
+        """Add the rate change along every row's path through one tree, level by level."""
+        at = np.zeros(len(x), dtype=np.int64)
+        live = np.flatnonzero(t["left"][at] >= 0)
+        while len(live):
+            node = at[live]
+            feat = t["feature"][node]
+            step = np.where(x[live, feat] <= t["threshold"][node], t["left"][node], t["right"][node])
+            np.add.at(out, (live, feat), t["rate"][step] - t["rate"][node])
+            at[live] = step
+            live = live[t["left"][step] >= 0]
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             x = np.vstack(part["x"].to_numpy()) if len(part) else np.zeros((0, width))
             total = np.zeros((len(x), width))
             for t in trees.value:
-                _walk(x, t, total)
-            yield part[PAIR].assign(contributions=list(total / max(len(trees.value), 1)))
+                walk(x, t, total)
+            yield part[pair].assign(contributions=list(total / max(len(trees.value), 1)))
 
     shares = keep.select(*PAIR, "x").mapInPandas(
         batches, "disease_id string, drug_id string, contributions array<double>"

@@ -38,7 +38,7 @@ def test_signal_is_learned_and_attribution_adds_up(spark, planted, ws):
 
 
 def test_cross_validation_holds_out_whole_diseases(spark, planted, ws):
-    scores = model.cross_validate(planted, ws, trees=5)
+    scores = model.cross_validate(planted, ws, ["random_forest"], trees=5)
     per = scores.groupBy("model", "disease_id").agg(F.count_distinct("fold").alias("n"), F.count(F.lit(1)).alias("rows"))
     assert {(r["n"], r["rows"]) for r in per.collect()} == {(1, 40)}
     best = model.select_model(model.cv_summary(model.fold_metrics(scores))).first()
