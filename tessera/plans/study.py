@@ -219,10 +219,12 @@ class Study:
     # --- features and scores --------------------------------------------------------
     @cached_property
     def disease_dim(self) -> DataFrame:
+        """Written, so that its measured size decides whether the pairs must move for it."""
         t = self.tables
-        return features.disease_dimension(
+        d = features.disease_dimension(
             t["diseases"], t["disease_genes"], self.bridged_genes, t["disease_pathways"]
         )
+        return self.ws.store("disease_dim", d)
 
     @cached_property
     def drug_dim(self) -> DataFrame:
