@@ -5,13 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, quality, urls
+from tessera.llm import bpe, line_dedup, pii, quality, urls
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+def word_bpe_path() -> str:
+    """The vocabulary file of the encoding query; every executor has it with the library."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = word_bpe_path()
+    encoded = bpe.encode(_read(spark, folder, "documents"), path)
+    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), path))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(_read(spark, folder, "documents"))
+    of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    base = F.filter("spans", lambda s: s["kind"].isin(list(pii.BASE)))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.written(base), 256).alias("base_sha256"),
+        pii.written(F.col("spans")).alias("spans"),
+    )
+
+
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_read(spark, folder, "pages"))
 
@@ -30,6 +61,8 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op3_pii": op3_pii,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
