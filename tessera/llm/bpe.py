@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shipping import ship
+
 #: Words that a worker remembers; beyond it the older half is forgotten.
 REMEMBERED = 400_000
 #: Text handed to the index at once, in code points.
@@ -305,6 +307,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), listed], ["key", "ids"])
                 at = end
 
+    ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
