@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, line_dedup, pii, quality, urls
+from tessera.llm import bpe, jaccard, line_dedup, pii, quality, urls
+from tessera.workspace import Workspace
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
+def _workspace(spark: SparkSession, name: str) -> Workspace:
+    """A folder of its own for each run, so that no run reads what another wrote."""
+    return Workspace(spark, f"{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex[:8]}")
+
+
 def word_bpe_path() -> str:
     """The vocabulary file of the encoding query; every executor has it with the library."""
     import public_tokenizers
@@ -60,10 +68,16 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    ws = _workspace(spark, "jaccard")
+    return jaccard.classes(_read(spark, folder, "documents").select("doc_id", "text"), ws)
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op3_pii": op3_pii,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
