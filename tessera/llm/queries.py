@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, line_dedup, pii, quality, urls
+from tessera.llm import bpe, jaccard, line_dedup, pii, quality, toxicity, urls
 from tessera.workspace import Workspace
 
 
@@ -39,6 +39,20 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    fold = lambda key: F.crc32(F.col(key).cast("string").cast("binary")) % 5
+    labels = _read(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(docs, labels.filter(fold("doc_id") != 0), _workspace(spark, "toxicity"))
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold("doc_id") == 0, F.lit(True)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(_read(spark, folder, "documents"))
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
@@ -75,6 +89,7 @@ def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
