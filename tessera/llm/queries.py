@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, line_dedup, pii, quality, toxicity, urls
+from tessera.llm import bpe, covertree, jaccard, line_dedup, mixing, pii, quality, toxicity, urls, warc
 from tessera.workspace import Workspace
 
 
@@ -65,6 +65,11 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _read(spark, folder, "embeddings").select("vec_id", "embedding")
+    return covertree.top_k(vectors, k=10, every=100)
+
+
 def op5_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(_read(spark, folder, "pages"))
 
@@ -82,17 +87,30 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    rows = mixing.mixed(docs, _workspace(spark, "mixing"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     ws = _workspace(spark, "jaccard")
     return jaccard.classes(_read(spark, folder, "documents").select("doc_id", "text"), ws)
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.derive(warc.as_responses(_read(spark, folder, "pages")))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
     "op3_pii": op3_pii,
+    "op4_exact_topk": op4_exact_topk,
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op8_mixing": op8_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_warc": op10_warc,
 }
