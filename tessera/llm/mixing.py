@@ -99,54 +99,80 @@ def uniform(key: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(h, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mixed(
+def _placed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, key, cell, n_tokens): each document whole, with its cell."""
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(f"`{key}`").alias("key"),
+        known("source").alias("source"),
+        known("lang").alias("lang"),
+        topic(F.col(f"`{text}`")).alias("topic"),
+        F.size(words(F.col(f"`{text}`"))).cast("long").alias("n_tokens"),
+    )
+
+
+def chances(
     docs: DataFrame,
     ws: Workspace,
     targets: Mapping[str, DataFrame] | None = None,
     key: str = "doc_id",
     text: str = "text",
 ) -> DataFrame:
-    """One row per document: key, cell, ``n_tokens``, ``weight`` (its cell's raked share),
-    ``probability`` and ``kept``.
-
-    The probability is the ratio of raked to original share, scaled so that the largest
-    is 1: no document is repeated, and as many as the targets allow stay. Null sources and
-    languages form the value "unknown"; null and empty texts have no tokens, add
-    nothing and are kept with probability 0. Rows with equal keys share their fate within a
-    cell. Columns other than key, text, source and lang are not read.
-    """
-    source = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
-    rows = docs.select(
-        F.col(f"`{key}`").alias(key),
-        source("source").alias("source"),
-        source("lang").alias("lang"),
-        topic(F.col(f"`{text}`")).alias("topic"),
-        F.size(words(F.col(f"`{text}`"))).cast("long").alias("n_tokens"),
-    )
-    rows = ws.store("counted", rows)
-    cells = ws.store("tokens", cells_of(rows))
+    """(source, lang, topic, weight, probability): the raked share of every cell, and the
+    chance of its documents: the ratio of raked to original share, scaled so that the
+    largest is 1. No document is repeated, and as many as the targets allow stay."""
+    cells = ws.store("tokens", cells_of(_placed(docs, key, text)))
     wanted = targets or {d: ws.store(f"target_{d}", flattened_targets(cells, d)) for d in DIMENSIONS}
     fitted = raked(cells, wanted, ws)
     original = cells.agg(F.sum("tokens").cast("double").alias("all"))
+    change = F.when(F.col("tokens") > 0, F.col("weight") * F.col("all") / F.col("tokens"))
     ratio = fitted.join(F.broadcast(original)).select(  # one row
-        *DIMENSIONS,
-        "weight",
-        F.when(F.col("tokens") > 0, F.col("weight") * F.col("all") / F.col("tokens")).otherwise(0.0).alias("_ratio"),
+        *DIMENSIONS, "weight", change.alias("ratio")
     )
     ratio = ws.store("ratios", ratio)
-    most = ratio.agg(F.max("_ratio").alias("most"))
-    chance = ratio.join(F.broadcast(most)).select(  # one row
-        *DIMENSIONS,
-        "weight",
-        F.when(F.col("most") > 0, F.col("_ratio") / F.col("most")).otherwise(0.0).alias("probability"),
-    )
-    placed = rows.join(chance, list(DIMENSIONS), "left")
-    probability = F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(0.0)
-    return placed.select(
-        key,
-        *DIMENSIONS,
-        "n_tokens",
-        "weight",
-        probability.alias("probability"),
-        (uniform(F.coalesce(F.col(key).cast("string"), F.lit(""))) < probability).alias("kept"),
+    most = ratio.agg(F.max("ratio").alias("most"))
+    chance = F.when(F.col("most") > 0, F.col("ratio") / F.col("most"))
+    return ratio.join(F.broadcast(most)).select(  # one row
+        *DIMENSIONS, "weight", F.coalesce(chance, F.lit(0.0)).alias("probability")
     )
+
+
+def _drawn(docs: DataFrame, table: DataFrame, key: str, text: str) -> DataFrame:
+    rows = _placed(docs, key, text).join(table, list(DIMENSIONS), "left")
+    rows = rows.withColumn("probability", F.when(F.col("n_tokens") > 0, F.col("probability")).otherwise(0.0))
+    named = F.coalesce(F.col("key").cast("string"), F.lit(""))
+    return rows.withColumn("kept", uniform(named) < F.col("probability"))
+
+
+def mixed(
+    docs: DataFrame,
+    ws: Workspace,
+    targets: Mapping[str, DataFrame] | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """One row per document: key, cell, ``n_tokens``, ``weight`` (its cell's raked share),
+    ``probability`` and ``kept``.
+
+    Null sources and languages form the value "unknown"; null and empty texts have no
+    tokens, add nothing and have probability 0. Rows with equal keys share their fate
+    within a cell, null keys count as one. Columns other than key, text, source and lang are
+    not read. An empty table gives an empty one.
+    """
+    docs = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"), "source", "lang")
+    drawn = _drawn(docs, chances(docs, ws, targets, key, text), key, text)
+    names = (*DIMENSIONS, "n_tokens", "weight", "probability", "kept")
+    return drawn.select(F.col("key").alias(key), *names)
+
+
+def sampled(
+    docs: DataFrame,
+    ws: Workspace,
+    targets: Mapping[str, DataFrame] | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` that ``mixed`` keeps, with their own columns. The table of cells is
+    joined to the rows, so their texts stay where they are while it is small."""
+    return _drawn(docs, chances(docs, ws, targets, key, text), key, text).filter("kept").select("row.*")
