@@ -19,15 +19,16 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shipping import ship
 
 #: Words that a worker remembers; beyond it the older half is forgotten.
-REMEMBERED = 400_000
-#: Text handed to the index at once, in code points.
-BATCH_CHARS = 16_000_000
+REMEMBERED = 300_000
+#: Text handed to the index at once.
+BATCH_BYTES = 3_000_000
 # fixed values: words of the vocabulary's own splitting rule
 _CONTRACTED = "'s|'t|'re|'ve|'m|'ll|'d"
 _WORD = re.compile(_CONTRACTED + r"|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -282,8 +283,24 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key and ``ids`` (array of int) of every whole text; null counts as empty.
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of a column of at most BATCH_BYTES each, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > BATCH_BYTES:
+            yield at, i - at
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes) - at
+
+
+def encode(
+    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", decoded: bool = False
+) -> DataFrame:
+    """Key and ``ids`` (array of int) of every whole text; null counts as empty. With
+    ``decoded`` also the text that the ids decode to, in the same pass.
 
     ``path`` names a vocabulary file that every executor has. Rows stay where they are, so
     there is no shuffle; repeated rows give repeated rows, an empty table an empty one, and
@@ -293,24 +310,23 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, chars = at, 0
-                while end < len(texts) and (end == at or chars < BATCH_CHARS):
-                    texts[end] = texts[end] or ""
-                    chars += len(texts[end])
-                    end += 1
-                ids, counts = encoder.encode(texts[at:end])
+            for at, size in _pieces(batch.column(1)):
+                texts = [t or "" for t in batch.column(1).slice(at, size).to_pylist()]
+                ids, counts = encoder.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), listed], ["key", "ids"])
-                at = end
+                columns = [batch.column(0).slice(at, size), listed]
+                if decoded:
+                    bounds = zip(offsets.tolist(), offsets[1:].tolist(), strict=False)
+                    columns.append(pa.array([decode_ids(ids[i:j], encoder.v) for i, j in bounds], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
+    schema = f"key {kind}, ids array<int>" + (", decoded string" if decoded else "")
+    names = ["key", "ids", *(["decoded"] if decoded else [])]
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def decode(ids: Column, path: str) -> Column:
@@ -320,15 +336,13 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("string")
     def joined(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokens = vocabulary(path).tokens
-        one = lambda x: "" if x is None else " ".join(_named(tokens, x))
+        v = vocabulary(path)
         for s in parts:
-            yield s.map(one)
+            yield s.map(lambda x: decode_ids(np.asarray([] if x is None else x, dtype=np.int64), v))
 
     return joined(ids)
 
 
-def _named(tokens: np.ndarray, ids: np.ndarray) -> list[str]:
-    ids = np.asarray(ids, dtype=np.int64)
-    named = tokens[ids[(ids >= 0) & (ids < len(tokens))]]
-    return [t for t in named.tolist() if t is not None]
+def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
+    named = v.tokens[ids[(ids >= 0) & (ids < len(v.tokens))]]
+    return " ".join(t for t in named.tolist() if t is not None)

@@ -21,7 +21,7 @@ DIMENSIONS = ("source", "lang", "topic")
 TOLERANCE = 1e-9
 ROUNDS = 60
 #: Power of the token shares that serves as target where the caller gives none.
-FLATTENING = 0.7
+FLATTENING = 0.9
 UNKNOWN = "unknown"
 
 

@@ -28,10 +28,8 @@ def word_bpe_path() -> str:
 
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    path = word_bpe_path()
-    encoded = bpe.encode(_read(spark, folder, "documents"), path)
-    decoded = encoded.withColumn("decoded", bpe.decode(F.col("ids"), path))
-    return decoded.select(
+    encoded = bpe.encode(_read(spark, folder, "documents"), word_bpe_path(), decoded=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
