@@ -34,37 +34,42 @@ class Kind:
     prior: float
 
 
+def _near(*words: str) -> str:
+    """A pattern that finds one of these words, in any case."""
+    return rf"(?i)(?:^|[^a-z])(?:{'|'.join(words)})(?:[^a-z]|$)"
+
+
 # fixed values: base kinds in their order, then the added kinds
 KINDS = (
     Kind(
         "email",
         r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-        "@", True, r"(?i)\b(?:e-?mail|mail|contact|write)\b", 0.9,
+        "@", True, _near("e-?mail", "mail", "contact", "write"), 0.9,
     ),
     Kind(
         "ip",
         r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-        r"[0-9]\.[0-9]", True, r"(?i)\b(?:ip|address|host|server)\b", 0.7,
+        r"[0-9]\.[0-9]", True, _near("ip", "address", "host", "server"), 0.7,
     ),
     Kind(
         "card",
         r"[0-9](?:[ -]?[0-9])++",
-        r"[0-9](?:[ -]?[0-9]){13}", True, r"(?i)\b(?:card|visa|credit|payment|account)\b", 0.7,
+        r"[0-9](?:[ -]?[0-9]){13}", True, _near("card", "visa", "credit", "payment", "account"), 0.7,
     ),
     Kind(
         "phone",
         r"\+[0-9][ ().0-9-]+[0-9]",
-        r"\+[0-9]", True, r"(?i)\b(?:phone|tel|call|mobile|fax)\b", 0.7,
+        r"\+[0-9]", True, _near("phone", "tel", "call", "mobile", "fax"), 0.7,
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-        r"[A-Z]{2}[0-9]{2}", False, r"(?i)\b(?:iban|bank|account|transfer)\b", 0.6,
+        r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+        r"[A-Z]{2}[0-9]{2}", False, _near("iban", "bank", "account", "transfer"), 0.6,
     ),
     Kind(
         "ssn",
-        r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-        r"[0-9]{3}-[0-9]{2}-", False, r"(?i)\b(?:ssn|social|security|insurance)\b", 0.3,
+        r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+        r"[0-9]{3}-[0-9]{2}-", False, _near("ssn", "social", "security", "insurance"), 0.3,
     ),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
@@ -155,8 +160,11 @@ def _spans(rank: int, kind: Kind) -> tuple[Column, Callable[[], Column]]:
         ).rlike(kind.context)
         score = F.least(F.lit(1.0), F.lit(kind.prior) + F.when(near, 0.3).otherwise(0.0))
         good = _confirmed(kind.name, m)
-        if not kind.base:
-            good = good & (score >= LEAST_SCORE)
+        if not kind.base:  # stands alone, and likely enough
+            joined = F.right(F.get(pieces, i), F.lit(1)).rlike("[A-Za-z0-9]") | F.left(
+                F.get(pieces, i + 1), F.lit(1)
+            ).rlike("[A-Za-z0-9]")
+            good = good & ~joined & (score >= LEAST_SCORE)
         return F.when(
             good,
             F.struct(
