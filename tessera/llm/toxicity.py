@@ -36,7 +36,7 @@ SMOOTHING = 1.0
 #: Characters to which matches are related.
 DENSE = 400.0
 REGULARIZATION = 0.0005
-_CHUNK_CHARS = 2_000_000
+_CHUNK_CHARS = 250_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
