@@ -18,7 +18,7 @@ from tessera.workspace import Workspace
 DIMENSIONS = ("source", "lang", "topic")
 #: Raking ends when no margin is off by more than this share of all tokens, or after so
 #: many rounds if the targets contradict each other.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-13
 ROUNDS = 60
 #: Power of the token shares that serves as target where the caller gives none.
 FLATTENING = 0.9

@@ -170,7 +170,7 @@ def _op8() -> str:
         )
     parts.append("r0 as materialized (select source, lang, topic, tokens, tokens / total as w from c, s)")
     step = 0
-    for _ in range(14):
+    for _ in range(24):
         for dim in dims:
             parts.append(
                 f"r{step + 1} as materialized (select r.source, r.lang, r.topic, r.tokens, "
