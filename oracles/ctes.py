@@ -74,9 +74,10 @@ CTES["strongest"] = f"""
     from (select *, {r.ontology('ontology_id')} as onto, {r.gene('ensembl_id')} as gene from raw_disease_genes)
     qualify place <= 200
 """
-CTES["gene_rows"] = """
-    select s.*, s.onto || '|' || printf('%06d', s.place) as seq, i.internal_id as disease_id
-    from strongest s join ids_disease i on s.onto = i.key where s.gene is not null
+CTES["gene_rows"] = f"""
+    select s.*, i.internal_id as disease_id
+    from (select *, {r.ontology('ontology_id')} as onto, {r.gene('ensembl_id')} as gene from raw_disease_genes) s
+    join ids_disease i on s.onto = i.key where s.gene is not null
 """
 CTES["ids_gene"] = mint("GENE", "gene_rows", "gene")
 CTES["disease_genes"] = """
@@ -291,7 +292,6 @@ CTES["top_features"] = f"""
 CTES["predictions"] = """
     select l.disease_id, l.drug_id, model_output, baseline_output, 'logistic_regression' as model_name, t.names as top_feature_names
     from linear_7 l join (select disease_id, drug_id, list(feature_name order by place) as names from top_features where place <= 3 group by 1, 2) t using (disease_id, drug_id)
-    where not ends_with(l.drug_id, '7')
 """
 CTES["sizes"] = "select disease_id, count(*) as n, row_number() over (order by count(*) desc, disease_id) as i from training group by 1"
 _lightest = "case least(l0, l1, l2, l3, l4) when l0 then 0 when l1 then 1 when l2 then 2 when l3 then 3 else 4 end"

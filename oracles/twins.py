@@ -259,7 +259,7 @@ CTES["links"] = """
     union all select graph_id, 'ancestor', id, target, source from edges
 """
 CTES["reached"] = """
-    select graph_id, id as seed, w.way, id from nodes, (values ('descendant'), ('ancestor')) w(way)
+    select graph_id, id as seed, w.way, id from nodes, (values ('descendant'), ('ancestor')) w(way) where type in ('disease', 'drug')
     union select r.graph_id, r.seed, r.way, l.b from reached r join links l on l.graph_id = r.graph_id and l.way = r.way and l.a = r.id
 """
 _ORDER = "['disease','disease_gene','drug_target','pathway','drug','prediction','evidence_component','score','rank','explanation']"
@@ -270,7 +270,7 @@ CTES["entered"] = "select n.graph_id, n.id, s.step from nodes n join steps s usi
 CTES["visible"] = """
     select *, row_number() over (partition by graph_id, type order by relevance desc, at_rank, at_section, at_place, id) as row from (
       select *, case type when 'evidence_component' then coalesce(v3, v1) when 'pathway' then coalesce(v1, v2) else 0 end::double as relevance from nodes)
-    qualify row <= 4
+    qualify row <= 14
 """
 
 # --- text tables --------------------------------------------------------------------------------------
@@ -308,7 +308,7 @@ FINAL: dict[str, str] = {
     "s9_compound_map": "select pubchem_cid, chembl_id from raw_chembl_map",
     "s9_first_synonym": """select s_suppkey::varchar as pubchem_cid, case when s_suppkey % 4 <> 0 then 'CHEMBL' || s_suppkey else 'CHEMBL9' || s_suppkey end as chembl_id from supplier where s_suppkey % 5 <> 0""",
     "s10_diseases": f"select ontology_id, disease_name from {_PAYLOAD}",
-    "s11_disease_genes": f"select s.ontology_id, s.ensembl_id, s.gene_symbol, 'gene ' || s.gene_symbol as gene_full_name, s.association_score from strongest s join {_PAYLOAD} p on s.ontology_id = p.ontology_id",
+    "s11_disease_genes": f"select s.ontology_id, s.ensembl_id, s.gene_symbol, 'gene ' || s.gene_symbol as gene_full_name, s.association_score from raw_disease_genes s join {_PAYLOAD} p on s.ontology_id = p.ontology_id",
     "s12_unresolved_seeds": f"select distinct ontology_id from raw_seeds where upper(ontology_id) not in (select upper(ontology_id) from {_PAYLOAD})",
     "s13_seeds": "select distinct ontology_id from raw_seeds",
     "s14_aliases": "select alias, ontology from aliases",
@@ -421,7 +421,7 @@ FINAL: dict[str, str] = {
     "e12_ordered_targets": "select drug_id, target_id, target_name, row_number() over (partition by drug_id order by target_name nulls last, target_id) as position from drug_targets",
     "e13_mechanisms": f"select drug_id, target_id, target_name, action_type, case when coalesce(action_type, '') <> '' then lower({r.strip('action_type')}) || ' of ' else 'acts on ' end || coalesce(target_name, target_id) as description, source from drug_targets",
     "e14_drug_pathways": """select k.drug_id, k.reactome_id, k.pathway_name, k.supporting_target_count, k.position, string_agg(distinct d.uniprot_id, '|' order by d.uniprot_id) as supporting_uniprot_ids
-        from (select *, row_number() over (partition by drug_id order by supporting_target_count desc, pathway_name, reactome_id) as position from drug_pathways qualify position <= 3) k
+        from (select *, row_number() over (partition by drug_id order by supporting_target_count desc, pathway_name, reactome_id) as position from drug_pathways qualify position <= 100) k
         join dpp d using (drug_id, reactome_id) group by all""",
     "e15_context_availability": """select d.drug_id, coalesce(t.n, 0) as n_proteins, case when run = 'missing' then 0 else coalesce(p.n, 0) end as n_pathways, run = 'given' and coalesce(t.n, 0) > 0 as pathway_context_available,
         case when run = 'disabled' then 'pathway enrichment disabled for this call' when coalesce(t.n, 0) = 0 then 'drug has no target with a UniProt accession'
@@ -540,7 +540,7 @@ FINAL: dict[str, str] = {
     "k14_step_subgraph": "select graph_id, id, 'node' as what from entered where step <= 4 union all select e.graph_id, e.id, 'edge' from edges e join entered a on a.graph_id = e.graph_id and a.id = e.source join entered b on b.graph_id = e.graph_id and b.id = e.target where a.step <= 4 and b.step <= 4",
     "k15_visible_nodes": "select graph_id, id, type, row, relevance from visible",
     "k15_visible_edges": "select e.graph_id, e.id as edge_id from edges e join visible a on a.graph_id = e.graph_id and a.id = e.source join visible b on b.graph_id = e.graph_id and b.id = e.target",
-    "k15_overflow": "select graph_id, type, count(*) as n_nodes, greatest(count(*) - 4, 0) as overflow_count from nodes group by 1, 2",
+    "k15_overflow": "select graph_id, type, count(*) as n_nodes, greatest(count(*) - 14, 0) as overflow_count from nodes group by 1, 2",
     "k16_dangling_edges": "select e.graph_id, e.id as edge_id, e.source as id from edges e where right(e.source, 1) = '5' union all select e.graph_id, e.id, e.target from edges e where right(e.target, 1) = '5'",
     # reports
     "p1_disease_runs": "select q.query_id, q.status, q.match_id as disease_id, r.rank, r.drug_id, r.drug_name, r.repurposing_score from resolved_diseases q left join (select * from ranked where rank <= 10) r on r.disease_id = q.match_id",
@@ -551,8 +551,8 @@ FINAL: dict[str, str] = {
         count(gene_target_value) filter (where rank <= 10) as n_with_gene_target_evidence, count(pathway_value) filter (where rank <= 10) as n_with_pathway_evidence, count(ml_value) filter (where rank <= 10) as n_with_ml_evidence
         from diseases d left join ranked r using (disease_id) group by 1""",
     "p3_found_pairs": "select disease_id, drug_id, case when rank <= 10 then rank end as rank, case when rank <= 10 then repurposing_score end as repurposing_score, rank <= 10 as found from ranked",
-    "p4_predictions": "select q.query_id, t.disease_id, t.drug_id, t.place::int as place, t.feature_name, t.contribution from resolved_diseases q join top_features t on t.disease_id = q.match_id where q.status = 'resolved' and t.place <= 3",
-    "p4_explanations": "select q.query_id, n.disease_id, n.drug_id, n.rank, n.summary from resolved_diseases q join narratives n on n.disease_id = q.match_id where q.status = 'resolved' and n.rank <= 3",
+    "p4_predictions": "select q.query_id, t.disease_id, t.drug_id, t.place::int as place, t.feature_name, t.contribution from resolved_diseases q join top_features t on t.disease_id = q.match_id where q.status = 'resolved'",
+    "p4_explanations": "select q.query_id, n.disease_id, n.drug_id, n.rank, n.summary from resolved_diseases q join narratives n on n.disease_id = q.match_id where q.status = 'resolved'",
 }
 
 _WORD = re.compile(r"[a-z_][a-z_0-9]*")

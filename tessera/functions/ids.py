@@ -50,7 +50,7 @@ def name_key(c: Column) -> Column:
 
 def compound_key(c: Column) -> Column:
     s = _shout(c)
-    digits = F.when(s.rlike(COMPOUND), F.substring(s, 5, 1 << 20)).when(s.rlike(DIGITS), s)
+    digits = F.when(s.rlike(COMPOUND), F.substr(s, F.lit(5))).when(s.rlike(DIGITS), s)
     return no_leading_zeros(digits)
 
 

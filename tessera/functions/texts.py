@@ -108,6 +108,6 @@ def shown_status(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     words = F.split(F.translate(c, "_", " "), " ")
     return F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))),
+        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))),
         " ",
     )

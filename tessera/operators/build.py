@@ -208,24 +208,32 @@ def build_diseases(raw: DataFrame, ws: Workspace, seeds: DataFrame | None = None
     return Built(clean, registry, bad, names)
 
 
-def strongest_genes(raw: DataFrame, k: int = GENES_PER_DISEASE) -> DataFrame:
-    """The ``k`` strongest associations of every disease, with their place."""
-    keyed = raw.withColumns(
+def _gene_keys(raw: DataFrame) -> DataFrame:
+    return raw.withColumns(
         {
             "onto": ids.ontology_key(F.col("ontology_id")),
             "gene": ids.gene_key(F.col("ensembl_id")),
         }
     )
+
+
+def strongest_genes(raw: DataFrame, k: int = GENES_PER_DISEASE) -> DataFrame:
+    """The ``k`` strongest associations of every disease, with their place."""
+    keyed = _gene_keys(raw)
     order = [F.col("association_score").desc_nulls_last(), F.col("gene"), F.col("ensembl_id")]
     return top_per_group(keyed, ["onto"], order, k, out="place")
 
 
-def build_disease_genes(raw: DataFrame, disease_registry: DataFrame, ws: Workspace) -> Built:
-    """``raw`` holds the landed rows, already cut to the strongest per disease."""
+def build_disease_genes(
+    raw: DataFrame, disease_registry: DataFrame, ws: Workspace, genes_per_disease: int | None = None
+) -> Built:
+    """Every landed association, in the order of ``seq``; with ``genes_per_disease`` only the
+    strongest of each disease."""
+    if genes_per_disease is not None:
+        raw = strongest_genes(raw, genes_per_disease).drop("place")
+    else:
+        raw = _gene_keys(raw)
     rows = raw.join(_by_key(disease_registry, "onto", "disease_id"), "onto", "left").withColumn(
-        "seq", F.format_string("%s|%06d", "onto", "place")
-    )
-    rows = rows.withColumn(
         "reason",
         F.when(F.col("disease_id").isNull(), "disease_not_in_diseases").when(
             F.col("gene").isNull(), "unmappable_ensembl_id"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -322,7 +323,7 @@ def shared_pathways(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     )
 
 
-def reach(edge_table: DataFrame, seeds: DataFrame, ws: Workspace, name: str = "reach", max_steps: int = 50) -> tuple[DataFrame, DataFrame]:
+def reach(edge_table: DataFrame, seeds: DataFrame, ws: Workspace, name: str = "reach") -> tuple[DataFrame, DataFrame]:
     """All ancestors and descendants of every seed and the edges walked.
 
     ``seeds(graph_id, id)``. Each round joins the frontier with the edges and keeps
@@ -336,13 +337,13 @@ def reach(edge_table: DataFrame, seeds: DataFrame, ws: Workspace, name: str = "r
     start = seeds.select("graph_id", F.col("id").alias("seed"), "id").withColumn("way", F.explode(F.array(F.lit("descendant"), F.lit("ancestor"))))
     key = ["graph_id", "seed", "way", "id"]
     frontier, seen, walked = start, start.select(*key), None
-    for step in range(max_steps):
+    for step in itertools.count():
         moves = frontier.join(links, ["graph_id", "way", "id"]).select("graph_id", "seed", "way", "edge_id", F.col("next").alias("id"))
         moves = ws.store(f"{name}_{step}", moves)
         if moves.isEmpty():
             break
         walked = moves if walked is None else walked.unionByName(moves)
-        frontier = moves.select(*key).distinct().join(seen, key, "left_anti")
+        frontier = ws.store(f"{name}_new_{step}", moves.select(*key).distinct().join(seen, key, "left_anti"))
         seen = seen.unionByName(frontier)
     nodes_out = seen.filter("id <> seed").distinct()
     empty = frontier.select("graph_id", "seed", "way", F.lit("").alias("edge_id")).limit(0)

@@ -133,7 +133,7 @@ def s10_diseases(s: Study) -> DataFrame:
 
 @query
 def s11_disease_genes(s: Study) -> DataFrame:
-    return files.payload_genes(_payloads(s))
+    return files.payload_genes(_payloads(s)).drop("seq")
 
 
 @query
@@ -700,7 +700,7 @@ def e13_mechanisms(s: Study) -> DataFrame:
 
 @query
 def e14_drug_pathways(s: Study) -> DataFrame:
-    d = profiles.capped_pathways(s.drug_pathways, s.drug_protein_pathways, limit=3)
+    d = profiles.capped_pathways(s.drug_pathways, s.drug_protein_pathways)
     return d.withColumns({"supporting_uniprot_ids": F.array_join("supporting_uniprot_ids", "|"), "position": F.col("position").cast("long")})
 
 
@@ -1277,14 +1277,19 @@ def k12_shared_pathways(s: Study) -> DataFrame:
     return graph.shared_pathways(s.nodes, s.edges).withColumn("provenances", F.array_join("provenances", "|"))
 
 
+def _ends(s: Study) -> DataFrame:
+    """The nodes a reader traces from: the disease of a graph and its drugs."""
+    return s.nodes.filter(F.col("type").isin("disease", "drug")).select("graph_id", "id")
+
+
 @query
 def k13_reachable_nodes(s: Study) -> DataFrame:
-    return graph.reach(s.edges, s.nodes.select("graph_id", "id"), s.ws)[0]
+    return graph.reach(s.edges, _ends(s), s.ws)[0]
 
 
 @query
 def k13_walked_edges(s: Study) -> DataFrame:
-    return graph.reach(s.edges, s.nodes.select("graph_id", "id"), s.ws, "walk")[1]
+    return graph.reach(s.edges, _ends(s), s.ws, "walk")[1]
 
 
 @query
@@ -1300,17 +1305,17 @@ def k14_step_subgraph(s: Study) -> DataFrame:
 
 @query
 def k15_visible_nodes(s: Study) -> DataFrame:
-    return graph.visible_nodes(s.nodes, 4).select("graph_id", "id", "type", F.col("row").cast("long").alias("row"), "relevance")
+    return graph.visible_nodes(s.nodes).select("graph_id", "id", "type", F.col("row").cast("long").alias("row"), "relevance")
 
 
 @query
 def k15_visible_edges(s: Study) -> DataFrame:
-    return graph.induced(s.edges, graph.visible_nodes(s.nodes, 4)).select("graph_id", F.col("id").alias("edge_id"))
+    return graph.induced(s.edges, graph.visible_nodes(s.nodes)).select("graph_id", F.col("id").alias("edge_id"))
 
 
 @query
 def k15_overflow(s: Study) -> DataFrame:
-    return graph.overflow(s.nodes, 4)
+    return graph.overflow(s.nodes)
 
 
 @query
@@ -1338,7 +1343,7 @@ def p3_found_pairs(s: Study) -> DataFrame:
 
 @query
 def p4_predictions(s: Study) -> DataFrame:
-    d = model.top_features(s.linear(), 3)
+    d = model.top_features(s.linear())
     asked = s.resolved_diseases.filter("status = 'resolved'").select("query_id", F.col("match_id").alias("disease_id"))
     return asked.join(d, "disease_id").select("query_id", "disease_id", "drug_id", "place", "feature_name", "contribution")
 
@@ -1346,4 +1351,4 @@ def p4_predictions(s: Study) -> DataFrame:
 @query
 def p4_explanations(s: Study) -> DataFrame:
     asked = s.resolved_diseases.filter("status = 'resolved'").select("query_id", F.col("match_id").alias("disease_id"))
-    return asked.join(s.narratives.filter("rank <= 3"), "disease_id").select("query_id", "disease_id", "drug_id", "rank", "summary")
+    return asked.join(s.narratives, "disease_id").select("query_id", "disease_id", "drug_id", "rank", "summary")

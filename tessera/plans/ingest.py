@@ -42,7 +42,12 @@ def ready_sources(spark: SparkSession, paths: dict[str, str]) -> list[str]:
 
 
 def build_all(
-    spark: SparkSession, paths: dict[str, str], ws: Workspace, out: str | None = None, multiline: bool = True
+    spark: SparkSession,
+    paths: dict[str, str],
+    ws: Workspace,
+    out: str | None = None,
+    multiline: bool = True,
+    genes_per_disease: int | None = None,
 ) -> Ingested:
     """``paths`` maps a file name of ``REQUIRED`` (plus ``compound_map``, ``seeds``) to where
     it landed. A table whose inputs are missing is skipped and reported; the rest build."""
@@ -67,8 +72,8 @@ def build_all(
         payloads = files.read_disease_payloads(spark, paths["diseases"], multiline)
         seeds = files.read_seeds(spark, paths["seeds"]) if "seeds" in paths else None
         diseases = keep("diseases", build.build_diseases(files.payload_diseases(payloads), ws, seeds))
-        strongest = build.strongest_genes(files.payload_genes(payloads))
-        keep("disease_genes", build.build_disease_genes(ws.store("in_strongest", strongest), diseases.registry, ws))
+        genes = ws.store("in_genes", files.payload_genes(payloads))
+        keep("disease_genes", build.build_disease_genes(genes, diseases.registry, ws, genes_per_disease))
     if "drug_targets" in builds:
         dimension = keep("targets", build.target_dimension(files.read_targets(spark, paths["targets"], multiline), ws))
         claims = build.first_drug_per_chembl(names, cmap, drugs.registry)

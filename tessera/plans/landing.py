@@ -117,8 +117,8 @@ class Landing:
             F.col("ensembl_id").alias("id"), F.col("gene_symbol").alias("approvedSymbol"),
             F.concat(F.lit("gene "), "gene_symbol").alias("approvedName"),
         )
-        rows = self.s.strongest.groupBy("ontology_id").agg(
-            F.array_sort(F.collect_list(F.struct("place", F.struct(F.col("association_score").alias("score"), target.alias("target")).alias("r")))).alias("rs")
+        rows = self.raw["raw_disease_genes"].groupBy("ontology_id").agg(
+            F.array_sort(F.collect_list(F.struct("seq", F.struct(F.col("association_score").alias("score"), target.alias("target")).alias("r")))).alias("rs")
         )
         d = self.raw["raw_diseases"].join(rows, "ontology_id", "left")
         disease = F.struct(

@@ -68,8 +68,19 @@ class Tables(Mapping[str, DataFrame]):
 
 
 class Study:
-    def __init__(self, spark: SparkSession, folder: str, ws: Workspace | None = None) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        folder: str,
+        ws: Workspace | None = None,
+        top_n: int = 10,
+        graph_top_n: int = 5,
+        genes_per_disease: int | None = None,
+    ) -> None:
+        """``top_n`` candidates per disease are published, ``graph_top_n`` of them as graphs;
+        ``genes_per_disease`` keeps only the strongest associations of a disease."""
         self.spark = spark
+        self.top_n, self.graph_top_n, self.genes_per_disease = top_n, graph_top_n, genes_per_disease
         self.raw = GivenTables(spark, folder)
         tag = hashlib.sha1(self.raw.folder.encode()).hexdigest()[:8]
         self.ws = ws or Workspace(spark, f"{spark.sparkContext.applicationId}-{tag}")
@@ -94,12 +105,15 @@ class Study:
         return self._keep("diseases", b)
 
     @cached_property
-    def strongest(self) -> DataFrame:
-        return self.ws.store("strongest_genes", build.strongest_genes(self.raw["raw_disease_genes"]))
+    def landed_genes(self) -> DataFrame:
+        """The associations are sums over three tables; worked out once."""
+        return self.ws.store("landed_genes", self.raw["raw_disease_genes"])
 
     @cached_property
     def built_genes(self) -> build.Built:
-        b = build.build_disease_genes(self.strongest, self.built_diseases.registry, self.ws)
+        b = build.build_disease_genes(
+            self.landed_genes, self.built_diseases.registry, self.ws, self.genes_per_disease
+        )
         return self._keep("disease_genes", b)
 
     @cached_property
@@ -267,9 +281,8 @@ class Study:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        """Predictions for most pairs; drugs whose number ends in 7 were not scored."""
-        scored = self.linear().filter(~F.col("drug_id").endswith("7"))
-        return scored.select(
+        """The stand-in model's predictions for all pairs."""
+        return self.linear().select(
             "disease_id", "drug_id", "model_output", "baseline_output",
             F.lit("logistic_regression").alias("model_name"), "top_feature_names",
         )
@@ -317,8 +330,8 @@ class Study:
 
     @cached_property
     def top(self) -> DataFrame:
-        """The published pairs: top ten per disease with their matched ids. They need no full ranking."""
-        best = self.ws.store("best", ranking.top_n(self.fused, TOP_N))
+        """The published pairs: the top of each disease with their matched ids. They need no full ranking."""
+        best = self.ws.store("best", ranking.top_n(self.fused, self.top_n))
         only = best.select("disease_id", "drug_id")
         pair = ["disease_id", "drug_id"]
         ids = candidates.rollups(self.gene_matches.join(only, pair, "left_semi"), self._pathways_of(only))
@@ -333,10 +346,10 @@ class Study:
 
     @cached_property
     def _graph_inputs(self) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-        best = self.top.filter(F.col("rank") <= GRAPH_TOP_N)
+        best = self.top.filter(F.col("rank") <= self.graph_top_n)
         genes = self.ws.store("graph_genes", graph.gene_reasons(self.gene_matches, best))
         paths = self.ws.store("graph_pathways", graph.pathway_reasons(self._pathways_of(best.select("disease_id", "drug_id")), best))
-        return best, genes, paths, self.narratives.filter(F.col("rank") <= GRAPH_TOP_N)
+        return best, genes, paths, self.narratives.filter(F.col("rank") <= self.graph_top_n)
 
     @cached_property
     def nodes(self) -> DataFrame:
@@ -371,11 +384,9 @@ class Study:
         return self.ws.store("resolved_drugs", resolve.resolve_drugs(q, self.drug_keys, self.tables["drugs"]))
 
 
-# fixed values: the rule models and how much is published
+# fixed values: the rule models
 RULE_SHIFTS = [7, 5]
 RULE_INTERCEPT = -1.0
-TOP_N = 10
-GRAPH_TOP_N = 5
 
 
 def rule_coefficients(shift: int) -> list[float]:

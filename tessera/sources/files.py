@@ -152,8 +152,9 @@ def payload_diseases(payloads: DataFrame) -> DataFrame:
 
 
 def payload_genes(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select(F.col("id").alias("ontology_id"), F.explode("associatedTargets.rows").alias("r"))
+    rows = payloads.select(F.col("id").alias("ontology_id"), F.posexplode("associatedTargets.rows").alias("p", "r"))
     return rows.select(
+        F.concat("ontology_id", F.lit("|"), F.lpad(F.col("p").cast("string"), 11, "0")).alias("seq"),
         "ontology_id", F.col("r.target.id").alias("ensembl_id"), F.col("r.target.approvedSymbol").alias("gene_symbol"),
         F.col("r.target.approvedName").alias("gene_full_name"), F.col("r.score").alias("association_score"),
     )

@@ -36,16 +36,17 @@ RAW = {
         select l_orderkey*10+l_linenumber as seq, 'CID1' || lpad(cast(l_suppkey+1 as string),8,'0') as stitch_id,
           case when p_size % 7 = 0 then null else {_CONCEPT} end as umls_meddra,
           {_CONCEPT} as umls_label,
-          case when l_linenumber=2 then 'PT' else 'LLT' end as meddra_type,
+          case when (l_orderkey+l_linenumber) % 2 = 0 then 'PT' else 'LLT' end as meddra_type,
           p_brand || ' ' || p_type as side_effect_name
-        from {{lineitem}} join {{part}} on l_partkey=p_partkey where l_linenumber in (2,3)
+        from {{lineitem}} join {{part}} on l_partkey=p_partkey
     """,
     "raw_diseases": """
         select n_nationkey as seq, 'mondo:' || lpad(cast(n_nationkey+1 as string),7,'0') as ontology_id, n_name as disease_name
         from {nation}
     """,
     "raw_disease_genes": """
-        select 'mondo:' || lpad(cast(c_nationkey+1 as string),7,'0') as ontology_id,
+        select 'mondo:' || lpad(cast(c_nationkey+1 as string),7,'0') || '|' || lpad(cast(l_partkey+1 as string),11,'0') as seq,
+          'mondo:' || lpad(cast(c_nationkey+1 as string),7,'0') as ontology_id,
           'ensg' || lpad(cast(l_partkey+1 as string),11,'0') || '.2' as ensembl_id,
           'G' || cast(l_partkey as string) as gene_symbol,
           least(cast(1.0 as double), sum(l_quantity)/250) as association_score
@@ -62,7 +63,7 @@ RAW = {
           'CHEMBL' || cast(l_partkey+1000000 as string) as target_chembl_id,
           case l_returnflag when 'R' then 'INHIBITOR' when 'A' then 'ANTAGONIST'
             else case when l_linestatus='O' then 'AGONIST' else null end end as action_type
-        from {lineitem} where l_linenumber=1 and l_quantity>=49
+        from {lineitem}
     """,
     "raw_gene_pathways": f"""
         select 'ENSG' || lpad(cast(p_partkey+1 as string),11,'0') as ensembl_id, {_PROTEIN} as uniprot,

@@ -10,7 +10,6 @@ automatic broadcast decision.
 from __future__ import annotations
 
 import itertools
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,15 +17,10 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only for local masters."""
+    """The folder the cluster names. Where none is named, a folder in the warehouse, which
+    all executors share as well."""
     folder = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if folder:
-        return folder.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    raise RuntimeError(f"set {SETTING} to a folder that every executor can reach")
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages").rstrip("/")
 
 
 class Workspace:
@@ -45,3 +39,9 @@ class Workspace:
         path = self.path(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        """Remove the run's stage tables, once no plan reads them any more."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

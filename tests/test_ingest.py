@@ -52,7 +52,7 @@ def _built(f, ws):
     drugs = build.build_drugs(f["names"], f["map"], ws)
     effects = build.build_drug_side_effects(f["effects"], drugs.registry, ws)
     diseases = build.build_diseases(f["diseases"], ws, f["seeds"])
-    genes = build.build_disease_genes(build.strongest_genes(f["genes"]), diseases.registry, ws)
+    genes = build.build_disease_genes(f["genes"], diseases.registry, ws, 200)
     dimension = build.target_dimension(f["targets"], ws)
     claims = build.first_drug_per_chembl(f["names"], f["map"], drugs.registry)
     links = build.build_drug_targets(f["mech"], claims, dimension.table, ws)
