@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ids import no_blank, strip
+from tessera.operators.ordering import split_join
 
 PAIR = ["disease_id", "drug_id"]
 
@@ -128,7 +129,7 @@ def gene_target_matches(genes: DataFrame, targets: DataFrame) -> DataFrame:
         F.col("action_type").alias("drug_action_type"),
         F.coalesce("source", F.lit("chembl")).alias("drug_target_source"),
     )
-    return g.join(t, "hgnc_id")
+    return split_join(g, t, "hgnc_id")
 
 
 def _pathway_sides(disease_pathways: DataFrame, by_drug: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +157,7 @@ def _named(matches: DataFrame) -> DataFrame:
 def pathway_matches(disease_pathways: DataFrame, by_drug: DataFrame) -> DataFrame:
     """One row per (disease pathway, drug) that share a pathway id, with both supports."""
     d, p = _pathway_sides(disease_pathways, by_drug)
-    return _named(d.join(p, "reactome_id"))
+    return _named(split_join(d, p, "reactome_id"))
 
 
 def pathway_matches_of(pairs: DataFrame, disease_pathways: DataFrame, by_drug: DataFrame) -> DataFrame:

@@ -83,3 +83,30 @@ def top_per_group(
 def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the first row of every key."""
     return top_per_group(df, key, order, 1)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, pairs_per_part: int = 1_000_000) -> DataFrame:
+    """Inner join whose output per task is bounded, however often a key occurs.
+
+    A key with more than ``pairs_per_part`` pairs is cut into parts: the side that has more
+    rows of it is dealt out over the parts, the other one is copied to each. The number of
+    partitions is fixed, as small inputs with a large product would be put together again.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
+    sizes = count(left, "_nl").join(count(right, "_nr"), key)
+    parts = F.ceil(F.col("_nl") * F.col("_nr") / pairs_per_part).cast("int")
+    hot = sizes.select(key, parts.alias("_parts"), (F.col("_nl") <= F.col("_nr")).alias("_copy_left"))
+    hot = hot.filter("_parts > 1")
+
+    def dealt(df: DataFrame, copied: Column) -> DataFrame:
+        own = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_parts")).cast("int")
+        places = (
+            F.when(F.col("_parts").isNull(), F.array(F.lit(0)))
+            .when(copied, F.sequence(F.lit(0), F.col("_parts") - 1))
+            .otherwise(F.array(own))
+        )
+        cut = df.join(hot, key, "left").withColumn("_part", F.explode(places)).drop("_parts", "_copy_left")
+        return cut.repartition(n, key, "_part")
+
+    return dealt(left, F.col("_copy_left")).join(dealt(right, ~F.col("_copy_left")), [key, "_part"]).drop("_part")

@@ -63,3 +63,13 @@ def test_top_per_group_limits_before_the_shuffle(spark):
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert sorted(r["id"] for r in top.collect()) == [94, 95, 96, 97, 98, 99]
+
+
+def test_split_join_spreads_a_hot_key(spark):
+    left = spark.range(300).select(F.when(F.col("id") < 200, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("a"))
+    right = spark.range(400).select(F.when(F.col("id") < 250, "hot").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("b"))
+    got = ordering.split_join(left, right, "k", pairs_per_part=1000)
+    parts = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 200 * 250 + 50 == got.distinct().count()
+    assert len(parts) >= 6 and max(r["count"] for r in parts) < 20_000
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in left.join(right, "k").collect()}
