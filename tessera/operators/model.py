@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -110,28 +111,25 @@ def class_weights(rows: DataFrame) -> DataFrame:
     per = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return per.withColumn("weight", F.sum("n").over(total) / (F.col("n") * 2))
 
+# fixed values: distinct cut points of a count column in the forest
+MAX_BINS = 256
+
 
 # --- grouped folds -------------------------------------------------------------------------
 def folds(rows: DataFrame, k: int = CV_FOLDS) -> DataFrame:
     """Whole diseases to ``min(k, diseases)`` folds, largest first into the lightest fold.
 
-    Works on one size per disease, a list as long as the disease catalogue."""
+    The driver reads one size per disease, a list as long as the disease catalogue, and
+    keeps one load per fold."""
     sizes = rows.groupBy("disease_id").agg(F.count(F.lit(1)).alias("n"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("disease_id").alias("g"))))
-    one = sizes.agg(listed.alias("groups")).withColumn("k", F.least(F.lit(k), F.size("groups")))
-    start = F.struct(
-        F.array_repeat(F.lit(0).cast("long"), F.col("k")).alias("loads"),
-        F.array().cast("array<struct<disease_id:string,fold:int>>").alias("out"),
-    )
-
-    def place(state: Column, g: Column) -> Column:
-        loads = state["loads"]
-        f = (F.array_position(loads, F.array_min(loads)) - 1).cast("int")
-        grown = F.transform(loads, lambda v, i: F.when(i == f, v - g["neg"]).otherwise(v))
-        placed = F.struct(g["g"].alias("disease_id"), f.alias("fold"))
-        return F.struct(grown.alias("loads"), F.concat(state["out"], F.array(placed)).alias("out"))
-
-    return one.select(F.inline(F.aggregate("groups", start, place)["out"]))
+    sizes = sizes.orderBy(F.desc("n"), "disease_id").collect()
+    loads = [(0, fold) for fold in range(min(k, len(sizes)))]
+    placed = []
+    for r in sizes:
+        load, fold = heapq.heappop(loads)
+        placed.append((r["disease_id"], fold))
+        heapq.heappush(loads, (load + r["n"], fold))
+    return rows.sparkSession.createDataFrame(placed, "disease_id string, fold int")
 
 
 # --- metrics -------------------------------------------------------------------------------
@@ -244,7 +242,7 @@ def fit(
     else:
         est = RandomForestClassifier(
             numTrees=trees, maxDepth=6, minInstancesPerNode=10, featureSubsetStrategy="sqrt",
-            weightCol="weight", seed=SEED, maxMemoryInMB=1024,
+            weightCol="weight", seed=SEED, maxMemoryInMB=1024, maxBins=MAX_BINS,
         )
     fitted = est.fit(train)
     train.unpersist()
@@ -333,8 +331,7 @@ def forest_attribution(rows: DataFrame, f: Fitted, ws: Workspace) -> DataFrame:
     """Add ``contributions``. The node table has at most trees * 2^(depth+1) rows, so
     it is broadcast; rows stay where they are and are walked in Arrow batches."""
     trees = ws.spark.sparkContext.broadcast(_tree_arrays(forest_nodes(f, ws).toPandas()))
-    keep = rows.withColumn("x", _x())
-    width, pair = len(MODEL_COLUMNS), list(PAIR)
+    width = len(MODEL_COLUMNS)
 
     # nested, so that workers need nothing but numpy and pandas
     def walk(x: np.ndarray, t: dict[str, np.ndarray], out: np.ndarray) -> None:
@@ -349,18 +346,16 @@ def forest_attribution(rows: DataFrame, f: Fitted, ws: Workspace) -> DataFrame:
             at[live] = step
             live = live[t["left"][step] >= 0]
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<double>")
+    def shares(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            x = np.vstack(part["x"].to_numpy()) if len(part) else np.zeros((0, width))
+            x = np.vstack(part.to_numpy()) if len(part) else np.zeros((0, width))
             total = np.zeros((len(x), width))
             for t in trees.value:
                 walk(x, t, total)
-            yield part[pair].assign(contributions=list(total / max(len(trees.value), 1)))
+            yield pd.Series(list(total / max(len(trees.value), 1)))
 
-    shares = keep.select(*PAIR, "x").mapInPandas(
-        batches, "disease_id string, drug_id string, contributions array<double>"
-    )
-    return rows.join(shares, PAIR)
+    return rows.withColumn("contributions", shares(_x()))
 
 
 # --- explanations of a score --------------------------------------------------------------------------
@@ -434,7 +429,56 @@ def cross_validate(rows: DataFrame, ws: Workspace, models: list[str] = MODELS, t
                 F.lit(name).alias("model"), "fold", *PAIR, "label", F.col("model_output").alias("score")
             )
             parts.append(ws.store(f"cv_{name}_{r['fold']}", scored))
+    if not parts:
+        raise ValueError("no fold leaves both classes to train on")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+# --- the trained model, end to end ------------------------------------------------------------------------
+def train(rows: DataFrame, ws: Workspace, trees: int = 400, scores: DataFrame | None = None) -> Fitted:
+    """Validate both classifiers on whole diseases, choose one, fit it on all rows. ``scores``
+    are out-of-fold scores if they are known. The record tells how it was chosen."""
+    counts = guard(rows)
+    if scores is None:
+        scores = ws.store("cv_scores", cross_validate(rows, ws, trees=trees))
+    summary = ws.store("cv_summary", cv_summary(fold_metrics(scores)))
+    chosen = select_model(summary).first()["model"]
+    fitted = fit(rows, chosen, trees, counts)
+    fitted.metadata = {
+        **counts,
+        "prevalence": counts["n_positive"] / counts["n_rows"],
+        "target": "the drug is a known candidate of the disease",
+        "selection": "mean average precision, then mean ROC-AUC, then list order",
+        "validation": [r.asDict() for r in summary.collect()],
+        "folds": CV_FOLDS,
+        "seed": SEED,
+    }
+    return fitted
+
+
+def predict(rows: DataFrame, f: Fitted, ws: Workspace) -> DataFrame:
+    """``rows`` with output, baseline, contributions and strongest columns of a fitted model."""
+    if f.name == "logistic_regression":
+        explained = linear_attribution(rows, [float(c) for c in f.model.coefficients], f.stats)
+    else:
+        explained = forest_attribution(rows, f, ws)
+    scored = score(explained, f).withColumns(
+        {"baseline_output": F.lit(baseline(f, ws)), "model_name": F.lit(f.name)}
+    )
+    return top_names(scored)
+
+
+def largest_gradient(rows: DataFrame, f: Fitted) -> float:
+    """Largest first derivative of the weighted, regularised loss at the fitted coefficients."""
+    s = f.metadata
+    scored = _weighted(score(rows, f), s)
+    gap = F.col("weight") * (F.col("model_output") - F.col("label"))
+    sums = scored.agg(
+        F.sum("weight").alias("w"),
+        *[F.sum(gap * standardized(i, f.stats)).alias(f"g{i}") for i in range(len(MODEL_COLUMNS))],
+    ).first()
+    beta = f.model.coefficients
+    return max(abs(sums[f"g{i}"] / sums["w"] + float(beta[i]) / s["n_rows"]) for i in range(len(MODEL_COLUMNS)))

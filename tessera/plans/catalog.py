@@ -956,6 +956,92 @@ def m16_forest_attribution(s: Study) -> DataFrame:
     return d.select("disease_id", "drug_id", "model_output", F.lit(base).alias("baseline_output"), numbers.tidy(total, 6).alias("sum_contributions"))
 
 
+@query
+def m6_checks(s: Study) -> DataFrame:
+    """Facts about the fitted linear model that hold whatever its coefficients are."""
+    d = model.score(s.training, s.logistic)
+    flat = model.largest_gradient(s.training, s.logistic) < 1e-3
+    return _facts(d).withColumn("at_optimum", F.lit(flat))
+
+
+@query
+def m7_checks(s: Study) -> DataFrame:
+    return _facts(model.score(s.training, s.forest))
+
+
+def _facts(scored: DataFrame) -> DataFrame:
+    return scored.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("label").cast("long").alias("n_positive"),
+        F.count_if(~F.col("model_output").between(0, 1) | F.col("model_output").isNull()).alias("n_outside"),
+    )
+
+
+@query
+def m12_checks(s: Study) -> DataFrame:
+    """Every training row is held out once by each classifier."""
+    per_row = s.cv_scores.groupBy("model", *model.PAIR).agg(F.count(F.lit(1)).alias("n"))
+    return per_row.groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n") != 1).alias("n_repeated"))
+
+
+@query
+def m13_checks(s: Study) -> DataFrame:
+    """Pairs that the stored model scores otherwise than the fitted one."""
+    path = s.ws.path("model_checked")
+    model.save(s.logistic, path, s.spark)
+    pair = list(model.PAIR)
+    stored = model.score(s.features, model.load(path, s.spark)).select(*pair, F.col("model_output").alias("stored"))
+    both = model.score(s.features, s.logistic).select(*pair, "model_output").join(stored, pair)
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.abs(F.col("stored") - F.col("model_output")) > 1e-6).alias("n_different"))
+
+
+@query
+def m14_learned_checks(s: Study) -> DataFrame:
+    """The chosen model scores every pair, and its contributions explain each output."""
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c)
+    logit = lambda p: F.log(F.col(p) / (1 - F.col(p)))
+    linear = F.abs(logit("model_output") - logit("baseline_output") - total) > 0.05
+    forest = F.abs(F.col("model_output") - F.col("baseline_output") - total) > 1e-4
+    inside = F.col("model_output").between(0.001, 0.999)
+    open_gap = F.when(F.col("model_name") == "logistic_regression", inside & linear).otherwise(forest)
+    return s.learned_predictions.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(~F.col("model_output").between(0, 1)).alias("n_outside"),
+        F.count_if(open_gap).alias("n_unexplained"),
+    )
+
+
+@query
+def m16_checks(s: Study) -> DataFrame:
+    d = m16_forest_attribution(s)
+    gap = F.abs(F.col("model_output") - F.col("baseline_output") - F.col("sum_contributions")) > 1e-4
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(gap).alias("n_unexplained"))
+
+
+@query
+def m17_learned_features(s: Study) -> DataFrame:
+    """The strongest contributions of the chosen model, for every pair."""
+    rows = s.features.join(s.learned_predictions.select(*model.PAIR, "contributions"), list(model.PAIR))
+    return model.top_features(rows).withColumn("place", F.col("place").cast("long"))
+
+
+@query
+def m18_learned_importance(s: Study) -> DataFrame:
+    return model.global_importance(s.learned, s.spark)
+
+
+@query
+def r2_learned_top(s: Study) -> DataFrame:
+    """Top candidates per disease with the trained model's scores."""
+    best = ranking.top_n(s.learned_fused, s.top_n)
+    return best.select("disease_id", "drug_id", "rank", "repurposing_score")
+
+
+@query
+def p1_learned_runs(s: Study) -> DataFrame:
+    return reports.disease_runs(s.resolved_diseases, ranking.top_n(s.learned_fused, s.top_n))
+
+
 @query
 def m17_top_features(s: Study) -> DataFrame:
     return model.top_features(s.linear()).withColumn("place", F.col("place").cast("long"))
@@ -1055,7 +1141,7 @@ def r1_rank(s: Study) -> DataFrame:
 
 @query
 def r2_top_n(s: Study) -> DataFrame:
-    return ranking.top_n(s.fused, 10).select("disease_id", "drug_id", "rank", "repurposing_score")
+    return ranking.top_n(s.fused, s.top_n).select("disease_id", "drug_id", "rank", "repurposing_score")
 
 
 @query

@@ -76,10 +76,11 @@ class Study:
         top_n: int = 10,
         graph_top_n: int = 5,
         genes_per_disease: int | None = None,
+        trees: int = 400,
     ) -> None:
         """``top_n`` candidates per disease are published, ``graph_top_n`` of them as graphs;
         ``genes_per_disease`` keeps only the strongest associations of a disease."""
-        self.spark = spark
+        self.spark, self.trees = spark, trees
         self.top_n, self.graph_top_n, self.genes_per_disease = top_n, graph_top_n, genes_per_disease
         self.raw = GivenTables(spark, folder)
         tag = hashlib.sha1(self.raw.folder.encode()).hexdigest()[:8]
@@ -303,7 +304,7 @@ class Study:
 
     @cached_property
     def cv_scores(self) -> DataFrame:
-        return model.cross_validate(self.training, self.ws)
+        return self.ws.store("cv_all", model.cross_validate(self.training, self.ws, trees=self.trees))
 
     @cached_property
     def forest(self) -> model.Fitted:
@@ -313,6 +314,25 @@ class Study:
     def logistic(self) -> model.Fitted:
         return model.fit(self.training, "logistic_regression")
 
+    @cached_property
+    def learned(self) -> model.Fitted:
+        """The classifier that validation chose, fitted on all training rows."""
+        return model.train(self.training, self.ws, self.trees, self.cv_scores)
+
+    @cached_property
+    def learned_predictions(self) -> DataFrame:
+        rows = model.predict(self.features, self.learned, self.ws)
+        return self.ws.store(
+            "learned",
+            rows.select(
+                *model.PAIR, "model_output", "baseline_output", "model_name", "top_feature_names", "contributions"
+            ),
+        )
+
+    @cached_property
+    def learned_fused(self) -> DataFrame:
+        return fusion.fuse(self.features, self.learned_predictions.drop("contributions"))
+
     # --- scores, ranks, narratives, graphs -----------------------------------------------
     @cached_property
     def fused(self) -> DataFrame:
