@@ -29,7 +29,7 @@ CTES["drug_rows"] = f"""
 CTES["good_drugs"] = "select * from drug_rows where reason is null"
 CTES["ids_drug"] = mint("DRUG", "good_drugs", "cid")
 CTES["cmap"] = f"""
-    select cid, min(mol) as chembl_id from (select {r.compound('pubchem_cid')} as cid, {r.chembl('chembl_id')} as mol from raw_chembl_map)
+    select cid, arg_min(mol, seq) filter (mol is not null) as chembl_id from (select seq, {r.compound('pubchem_cid')} as cid, {r.chembl('chembl_id')} as mol from raw_chembl_map)
     where cid is not null and mol is not null group by cid
 """
 CTES["drugs_all"] = """
@@ -124,7 +124,7 @@ CTES["ids_pathway"] = mint("PATH", "pathway_rows", "reactome_id")
 CTES["disease_pathways"] = """
     select p.disease_id, i.internal_id as pathway_id, coalesce(n.pathway_name, 'unknown pathway') as pathway_name, p.reactome_id,
       p.gene_support_count, p.association_score, 'derived:opentargets+reactome' as source
-    from pathway_rows p join ids_pathway i on p.reactome_id = i.key left join raw_pathway_names n on p.reactome_id = n.reactome_id
+    from pathway_rows p join ids_pathway i on p.reactome_id = i.key left join (select reactome_id, arg_max(pathway_name, seq) as pathway_name from raw_pathway_names group by 1) n on p.reactome_id = n.reactome_id
 """
 # crosswalk
 CTES["xrefs"] = f"""

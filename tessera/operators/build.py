@@ -32,12 +32,13 @@ def _by_key(registry: DataFrame, key: str, out: str) -> DataFrame:
 
 # --- drugs -------------------------------------------------------------------------
 def compound_map(raw_map: DataFrame) -> DataFrame:
-    """One ChEMBL id per compound; rows with a missing side drop out."""
+    """The first ChEMBL id of each compound; rows with a missing side drop out."""
     keyed = raw_map.select(
+        "seq",
         ids.compound_key(F.col("pubchem_cid")).alias("cid"),
         ids.chembl_key(F.col("chembl_id")).alias("chembl_id"),
     ).dropna()
-    return keyed.groupBy("cid").agg(F.min("chembl_id").alias("chembl_id"))
+    return keyed.groupBy("cid").agg(F.min_by("chembl_id", "seq").alias("chembl_id"))
 
 
 def drug_rows(raw_names: DataFrame) -> DataFrame:
@@ -370,10 +371,10 @@ def gene_pathway_edges(raw: DataFrame, genes: DataFrame | None = None) -> DataFr
 
 def pathway_names(raw: DataFrame) -> DataFrame:
     return (
-        raw.select(ids.reactome_key(F.col("reactome_id")).alias("reactome_id"), "pathway_name")
+        raw.select("seq", ids.reactome_key(F.col("reactome_id")).alias("reactome_id"), "pathway_name")
         .filter("reactome_id is not null")
         .groupBy("reactome_id")
-        .agg(F.max("pathway_name").alias("pathway_name"))
+        .agg(F.max_by("pathway_name", "seq").alias("pathway_name"))
     )
 
 

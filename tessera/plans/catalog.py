@@ -104,7 +104,7 @@ def s8_targets(s: Study) -> DataFrame:
 
 @query
 def s9_compound_map(s: Study) -> DataFrame:
-    return files.read_compound_map(s.spark, _landing(s).path("compound_map"))
+    return files.read_compound_map(s.spark, _landing(s).path("compound_map")).drop("seq")
 
 
 @query

@@ -61,7 +61,7 @@ def build_all(
         made[name] = b
         return b
 
-    no_map = spark.createDataFrame([], "pubchem_cid string, chembl_id string")
+    no_map = spark.createDataFrame([], "seq string, pubchem_cid string, chembl_id string")
     if "drugs" in builds:
         names = files.read_drug_names(spark, paths["drug_names"])
         cmap = files.read_compound_map(spark, paths["compound_map"]) if "chembl" in ready and "compound_map" in paths else no_map

@@ -129,10 +129,10 @@ def read_targets(spark: SparkSession, path: str, multiline: bool = True) -> Data
 def read_compound_map(spark: SparkSession, path: str) -> DataFrame:
     """JSON objects {compound: ChEMBL id}, one per line or file; an absent file gives no rows."""
     try:
-        lines = spark.read.option("recursiveFileLookup", "true").text(path)
+        lines = spark.read.option("recursiveFileLookup", "true").text(path).select(_file_order().alias("seq"), "value")
     except AnalysisException:
-        return spark.createDataFrame([], "pubchem_cid string, chembl_id string")
-    return lines.select(F.explode(F.from_json("value", "map<string,string>")).alias("pubchem_cid", "chembl_id"))
+        return spark.createDataFrame([], "seq string, pubchem_cid string, chembl_id string")
+    return lines.select("seq", F.explode(F.from_json("value", "map<string,string>")).alias("pubchem_cid", "chembl_id"))
 
 
 def first_chembl_synonym(compounds: DataFrame) -> DataFrame:

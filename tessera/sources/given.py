@@ -29,8 +29,9 @@ RAW = {
         union all select s_suppkey*10+3, 'CID1' || lpad(cast(s_suppkey+900001 as string),8,'0'), '   ' from {supplier} where s_suppkey % 19 = 0
     """,
     "raw_chembl_map": """
-        select cast(s_suppkey+1 as string) as pubchem_cid, 'chembl' || cast(s_suppkey+1 as string) as chembl_id
+        select s_suppkey*2 as seq, cast(s_suppkey+1 as string) as pubchem_cid, 'chembl' || cast(s_suppkey+1 as string) as chembl_id
         from {supplier} where s_suppkey % 3 <> 0
+        union all select s_suppkey*2+1, cast(s_suppkey+1 as string), 'chembl0' || cast(s_suppkey+1 as string) from {supplier} where s_suppkey % 15 = 1
     """,
     "raw_side_effects": f"""
         select l_orderkey*10+l_linenumber as seq, 'CID1' || lpad(cast(l_suppkey+1 as string),8,'0') as stitch_id,
@@ -72,10 +73,12 @@ RAW = {
         union all select 'ENSG' || lpad(cast(p_partkey+1 as string),11,'0'), {_PROTEIN},
           'R-HSA-' || cast(900000+p_size as string), 'size ' || cast(p_size as string) from {{part}} where p_partkey % 4 = 0
     """,
-    # pathway names as a file of their own; one group has no name there
+    # pathway names as a file of their own; some had another name before, one group has none
     "raw_pathway_names": """
-        select reactome_id, max(pathway_name) as pathway_name from {raw_gene_pathways}
+        select 2 as seq, reactome_id, max(pathway_name) as pathway_name from {raw_gene_pathways}
         where pathway_name <> 'size 7' group by reactome_id
+        union all select 1, reactome_id, max('~ former ' || pathway_name) from {raw_gene_pathways}
+        where pathway_name <> 'size 7' and length(reactome_id) % 2 = 0 group by reactome_id
     """,
     "raw_gene_bridge": """
         select p_partkey as seq, 'HGNC:' || cast(p_partkey+1 as string) as hgnc_id, 'SYM' || cast(p_partkey as string) as symbol,

@@ -21,7 +21,7 @@ def frames(spark):
             [(0, "CID100000085", "Carnitine"), (1, "CID100000119", " GABA  drug "), (2, "CID000000085", "again"), (3, "bad", "x")],
             "seq int, stitch_id string, drug_name string",
         ),
-        "map": df([("85", "CHEMBL1"), ("119", "CHEMBL2")], "pubchem_cid string, chembl_id string"),
+        "map": df([(1, "85", "CHEMBL1"), (2, "85", "CHEMBL0"), (3, "119", "CHEMBL2")], "seq int, pubchem_cid string, chembl_id string"),
         "effects": df(
             [(0, "CID100000085", None, "C0000737", "PT", "Abdominal pain"), (1, "CID100000085", "C0000737", "X", "PT", "abdominal  PAIN"),
              (2, "CID100000119", "C0000729", None, "PT", "Cramp"), (3, "CID199999999", "C0000737", None, "PT", "Pain"),
@@ -39,12 +39,12 @@ def frames(spark):
         "diseases": df([(0, "MONDO_1", "Glioma"), (1, "EFO_2", "Asthma")], "seq int, ontology_id string, disease_name string"),
         "seeds": df([(0, "MONDO:1"), (1, "EFO_2"), (2, "EFO_404")], "seq int, ontology_id string"),
         "genes": df(
-            [("MONDO_1", "ENSG1.3", "A", 0.2), ("MONDO_1", "ENSG1", "A", 0.7), ("MONDO_1", "ENSG2", "B", 0.5), ("MONDO_1", "ENSG3", "C", None),
-             ("EFO_2", "ENSG1", "A", 0.1), ("EFO_9", "ENSG1", "A", 0.9), ("EFO_2", "LRG_1", "Z", 0.3)],
-            "ontology_id string, ensembl_id string, gene_symbol string, association_score double",
+            [("1|1", "MONDO_1", "ENSG1.3", "A", 0.2), ("1|2", "MONDO_1", "ENSG1", "A", 0.7), ("1|3", "MONDO_1", "ENSG2", "B", 0.5),
+             ("1|4", "MONDO_1", "ENSG3", "C", None), ("2|1", "EFO_2", "ENSG1", "A", 0.1), ("9|1", "EFO_9", "ENSG1", "A", 0.9), ("2|2", "EFO_2", "LRG_1", "Z", 0.3)],
+            "seq string, ontology_id string, ensembl_id string, gene_symbol string, association_score double",
         ),
         "edges": df([("ENSG1", "R-HSA-1"), ("ENSG2", "R-HSA-1"), ("ENSG3", "R-HSA-1"), ("ENSG1", "R-HSA-2"), ("ENSG1", "R-HSA-1")], "ensembl_id string, reactome_id string"),
-        "titles": df([("R-HSA-2", "Other")], "reactome_id string, pathway_name string"),
+        "titles": df([(1, "R-HSA-2", "Zother"), (2, "R-HSA-2", "Other")], "seq int, reactome_id string, pathway_name string"),
     }
 
 
@@ -142,7 +142,7 @@ def test_json_readers(spark, tmp_path):
     _write(folder / "d.json", json.dumps({"data": {"disease": None}}))
     payloads = files.read_disease_payloads(spark, str(folder))
     assert [r["ontology_id"] for r in files.payload_diseases(payloads).orderBy("seq").collect()] == ["A", "B"]
-    assert [tuple(r)[:3] for r in files.payload_genes(payloads).collect()] == [("B", "E1", "S")]
+    assert [tuple(r)[1:4] for r in files.payload_genes(payloads).collect()] == [("B", "E1", "S")]
     assert files.read_compound_map(spark, str(tmp_path / "absent.json")).count() == 0
 
 
