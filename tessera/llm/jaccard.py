@@ -13,13 +13,15 @@ members that end in different components are then compared with each other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from math import comb
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -35,6 +37,8 @@ MOST_LIGHT = 24
 FREQUENT = 8
 #: Bits of the frequency sketch; more of them tell more shingles apart.
 SKETCH_BITS = 27
+#: Longs of a set's parity bits: two sets differ in as many members as in bits, or more.
+PARITY = 8
 #: Bits of a shingle that are counted, and how many shingles a range should hold at most.
 COUNTED_BITS = 40
 RANGE_SHINGLES = 2_000_000
@@ -272,25 +276,38 @@ def _keyed(docs: DataFrame, order) -> DataFrame:
         hashes = _WordHashes()
         for batch in batches:
             for ids, texts in _chunks(batch):
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in range(7 + PARITY)]
                 for s in _sets(texts, hashes):
                     digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
                     keys, first, listed = _keys_of(s, by)
                     row = [len(s), int(digest[0]), int(digest[1]), keys, first, listed]
-                    for c, x in zip(cols, [*row, s.tobytes() if len(keys) else None], strict=True):
+                    row += [s.tobytes(), *_parity(s)] if len(keys) else [None] * (1 + PARITY)
+                    for c, x in zip(cols, row, strict=True):
                         c.append(x)
                 arrays = [pa.array(c, f.type) for c, f in zip(cols, list(_KEYED)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *arrays], schema=_KEYED)
 
     return docs.mapInArrow(
-        run, "doc long, n int, sig1 long, sig2 long, keys array<long>, first int, listed int, members binary"
+        run,
+        "doc long, n int, sig1 long, sig2 long, keys array<long>, first int, listed int, members binary, "
+        + ", ".join(f"{b} long" for b in _BITS),
     )
 
 
+def _parity(s: np.ndarray) -> list[int]:
+    """For each of the bits, whether an odd number of members falls on it."""
+    odd = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+_BITS = [f"b{i}" for i in range(PARITY)]
+
+
 _KEYED = pa.schema(
     [
         ("doc", pa.int64()), ("n", pa.int32()), ("sig1", pa.int64()), ("sig2", pa.int64()),
         ("keys", pa.list_(pa.int64())), ("first", pa.int32()), ("listed", pa.int32()), ("members", pa.binary()),
+        *((f"b{i}", pa.int64()) for i in range(PARITY)),
     ]
 )
 
@@ -334,9 +351,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "m_a", "m_b").mapInArrow(run, "a long, b long")
 
 
-def _pairs_across(entries: DataFrame) -> DataFrame:
-    """Pairs of a list's members in different components. The largest component of a list
-    meets only the others, never itself."""
+def _pairs_across(entries: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of a list's members in different components that may link. The largest
+    component of a list meets only the others, never itself. Parity bits tell how many
+    members two sets differ in at least, so hardly a pair that does not link leaves the join."""
     sides = entries.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n_comp"))
     split = (
         sides.groupBy("key")
@@ -344,19 +362,22 @@ def _pairs_across(entries: DataFrame) -> DataFrame:
         .filter("comps > 1")
         .select("key", F.col("top.comp").alias("major"))
     )
-    open_lists = entries.join(split, "key")
-    x = open_lists.filter("comp <> major").select(
-        "key", F.col("cls").alias("x"), F.col("n").alias("n_x"), F.col("at").alias("at_x"), F.col("comp").alias("comp_x")
-    )
-    y = open_lists.select(
-        "key", F.col("cls").alias("y"), F.col("n").alias("n_y"), F.col("at").alias("at_y"), F.col("comp").alias("comp_y"), "major"
+    open_lists = entries.join(split, "key").join(sets.select("cls", *_BITS), "cls")
+    side = lambda df, s: df.select(
+        "key",
+        F.col("cls").alias(s),
+        *[F.col(c).alias(f"{c}_{s}") for c in ("n", "at", "comp", *_BITS)],
+        *(["major"] if s == "y" else []),
     )
+    x, y = side(open_lists.filter("comp <> major"), "x"), side(open_lists, "y")
     least = F.ceil((F.col("n_x") + F.col("n_y")) * PERCENT / (100 + PERCENT))
     left = F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y"))
+    differ = reduce(add, [F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in _BITS])
     near = (
         (F.col("comp_x") != F.col("comp_y"))
         & ((F.col("comp_y") == F.col("major")) | (F.col("x") < F.col("y")))
         & (F.coalesce(left, F.least("n_x", "n_y")) >= least)
+        & (F.col("n_x") + F.col("n_y") - 2 * least >= differ)
     )
     both = x.join(y, "key").filter(near)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -387,7 +408,7 @@ def classes(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "te
     sets = ws.store(
         "sets",
         with_keys.join(firsts, "doc", "left_semi").select(
-            F.col("doc").alias("cls"), "n", "keys", "first", "listed", "members"
+            F.col("doc").alias("cls"), "n", "keys", "first", "listed", "members", *_BITS
         ),
     )
     links = ws.store("links", _all_links(sets, ws))
@@ -425,6 +446,6 @@ def _all_links(sets: DataFrame, ws: Workspace) -> DataFrame:
         "key", "cls", "n", "at", F.coalesce("comp", "cls").alias("comp")
     )
     placed = ws.store("placed", placed)
-    across = _pairs_across(placed).join(stars, ["a", "b"], "left_anti")
+    across = _pairs_across(placed, sets).join(stars, ["a", "b"], "left_anti")
     across = ws.store("across", across)
     return near.union(_verified(across, sets))
