@@ -43,10 +43,6 @@ _ANY_BANNED = (
 )
 
 
-def has_banned(c: Column) -> Column:
-    return c.rlike(_ANY_BANNED)
-
-
 def banned_phrase(c: Column) -> Column:
     """The first phrase of the list that occurs as whole words, else null.
 

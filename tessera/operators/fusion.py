@@ -12,11 +12,6 @@ from tessera.operators.candidates import PAIR
 _LABELS = {"gene_target": "gene_target", "pathway": "pathway", "ml": "ml"}
 
 
-def default_scheme(spark) -> DataFrame:
-    cols = [F.lit(v).alias(k) for k, v in DEFAULT_SCHEME.items()]
-    return spark.range(1).select(F.lit("default").alias("scheme"), *cols)
-
-
 def valid_schemes(schemes: DataFrame) -> DataFrame:
     """Positive finite weights, caps of at least one, shares in [0,1] that sum to one."""
     finite = [f"{w} > 0 and {w} < double('inf') and not isnan({w})" for w in ("gene_target_weight", "pathway_weight", "ml_weight")]
