@@ -78,7 +78,14 @@ def _top(df: DataFrame, key: str, order: list[Column], k: int, value: Column, ou
     return _gather(top_per_group(df, [key], order, k, out="_p"), key, "_p", value, out)
 
 
-def molecular_summary(diseases: DataFrame, genes: DataFrame, pathways: DataFrame) -> DataFrame:
+def _at_cap(n: Column, genes_per_disease: int | None) -> Column:
+    """Whether a disease has as many genes as the cap that is given, else as the source system's cap."""
+    return n >= (GENES_PER_DISEASE if genes_per_disease is None else genes_per_disease)
+
+
+def molecular_summary(
+    diseases: DataFrame, genes: DataFrame, pathways: DataFrame, genes_per_disease: int | None = None
+) -> DataFrame:
     g = genes.groupBy("disease_id").agg(
         F.count(F.lit(1)).alias("gene_count"),
         tidy(F.avg("association_score"), 6).alias("mean_gene_association_score"),
@@ -102,7 +109,7 @@ def molecular_summary(diseases: DataFrame, genes: DataFrame, pathways: DataFrame
             "pathway_count": F.coalesce("pathway_count", F.lit(0)),
             "top_gene_symbols": F.coalesce("top_gene_symbols", none),
             "top_pathway_names": F.coalesce("top_pathway_names", none),
-            "genes_truncated": F.coalesce("gene_count", F.lit(0)) >= GENES_PER_DISEASE,
+            "genes_truncated": _at_cap(F.coalesce("gene_count", F.lit(0)), genes_per_disease),
         }
     )
 
@@ -176,11 +183,22 @@ def context_availability(
 
 # --- nested profiles ----------------------------------------------------------------------
 def disease_profiles(
-    diseases: DataFrame, genes: DataFrame, pathways: DataFrame, identifiers: DataFrame
+    diseases: DataFrame, genes: DataFrame, pathways: DataFrame, identifiers: DataFrame,
+    genes_per_disease: int | None = None,
 ) -> DataFrame:
-    """One record per disease. Its arrays hold the capped genes and the pathways of one disease."""
+    """One record per disease. Its arrays hold all genes and pathways of one disease; with
+    ``genes_per_disease`` only the strongest genes."""
     xrefs = external_ids(diseases, identifiers, "disease", "disease_id")
-    g = F.struct("gene_id", "gene_name", "ensembl_id", "association_score", "source")
+    if genes_per_disease is not None:
+        genes = top_per_group(genes, ["disease_id"], _gene_order(), genes_per_disease, out="_p").drop("_p")
+    score = F.col("association_score")
+    g = F.struct(  # in the order of _gene_order
+        score.isNull().alias("unscored"),
+        (-F.nanvl(score, F.lit(float("inf")))).alias("by_score"),
+        F.col("gene_name").isNull().alias("unnamed"),
+        "gene_name", "gene_id", "ensembl_id", "association_score", "source",
+    )
+    gene = ["gene_id", "gene_name", "ensembl_id", "association_score", "source"]
     last = F.lit(float("inf"))
     p = F.struct(
         F.coalesce(-F.col("gene_support_count").cast("double"), last).alias("by_support"),
@@ -188,15 +206,17 @@ def disease_profiles(
         "pathway_name", "pathway_id", "reactome_id", "gene_support_count", "association_score", "source",
     )
     parts = [
-        _top(genes, "disease_id", _gene_order(), GENES_PER_DISEASE, g, "genes"),
+        genes.groupBy("disease_id").agg(
+            F.transform(F.array_sort(F.collect_list(g)), lambda s: F.struct(*[s[c].alias(c) for c in gene])).alias("genes")
+        ),
         pathways.groupBy("disease_id").agg(
             F.transform(F.array_sort(F.collect_list(p)), lambda s: s.dropFields("by_support", "by_score")).alias("pathways")
         ),
         xrefs.groupBy("disease_id").agg(
             F.array_sort(F.collect_list(F.struct("source", "external_id", "is_primary"))).alias("external_identifiers")
         ),
-        molecular_summary(diseases, genes, pathways),
-        disease_summaries(diseases, genes, pathways),
+        molecular_summary(diseases, genes, pathways, genes_per_disease),
+        disease_summaries(diseases, genes, pathways, genes_per_disease),
     ]
     out = diseases
     for part in parts:
@@ -250,7 +270,9 @@ def _listed(items: Column, prefix: str = "  - ") -> Column:
     return F.when(F.size(items) > 0, F.array_join(lines, "\n"))
 
 
-def disease_summaries(diseases: DataFrame, genes: DataFrame, pathways: DataFrame) -> DataFrame:
+def disease_summaries(
+    diseases: DataFrame, genes: DataFrame, pathways: DataFrame, genes_per_disease: int | None = None
+) -> DataFrame:
     counts_g = genes.groupBy("disease_id").agg(F.count(F.lit(1)).alias("_ng"))
     counts_p = pathways.groupBy("disease_id").agg(F.count(F.lit(1)).alias("_np"))
     named = F.coalesce(F.nullif("gene_name", F.lit("")), F.col("gene_id"))
@@ -264,7 +286,7 @@ def disease_summaries(diseases: DataFrame, genes: DataFrame, pathways: DataFrame
         .withColumns({"_ng": F.coalesce("_ng", F.lit(0)), "_np": F.coalesce("_np", F.lit(0)),
                       "_g": F.coalesce("_g", none), "_p": F.coalesce("_p", none)})
     )
-    cap = F.when(F.col("_ng") >= GENES_PER_DISEASE, ", Level 1 cap reached").otherwise("")
+    cap = F.when(_at_cap(F.col("_ng"), genes_per_disease), ", Level 1 cap reached").otherwise("")
     # fixed values: wording of the summary
     text = F.concat_ws(
         "\n",

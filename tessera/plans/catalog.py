@@ -651,7 +651,8 @@ def e8_ordered_pathways(s: Study) -> DataFrame:
 
 
 def _summary(s: Study) -> DataFrame:
-    return profiles.molecular_summary(s.tables["diseases"], s.tables["disease_genes"], s.tables["disease_pathways"])
+    t = s.tables
+    return profiles.molecular_summary(t["diseases"], t["disease_genes"], t["disease_pathways"], s.genes_per_disease)
 
 
 @query
@@ -663,7 +664,9 @@ def e9_molecular_summary(s: Study) -> DataFrame:
 @query
 def e10_disease_profiles(s: Study) -> DataFrame:
     t = s.tables
-    d = profiles.disease_profiles(t["diseases"], t["disease_genes"], t["disease_pathways"], s.identifiers)
+    d = profiles.disease_profiles(
+        t["diseases"], t["disease_genes"], t["disease_pathways"], s.identifiers, s.genes_per_disease
+    )
     return d.select(
         "disease_id", "disease_name", "ontology_id", F.size("genes").alias("n_genes"), F.size("pathways").alias("n_pathways"),
         F.col("genes")[0]["gene_name"].alias("first_gene"), F.col("pathways")[0]["pathway_name"].alias("first_pathway"),
@@ -733,7 +736,7 @@ def e16_drug_profiles(s: Study) -> DataFrame:
 @query
 def e17_disease_summaries(s: Study) -> DataFrame:
     t = s.tables
-    return profiles.disease_summaries(t["diseases"], t["disease_genes"], t["disease_pathways"])
+    return profiles.disease_summaries(t["diseases"], t["disease_genes"], t["disease_pathways"], s.genes_per_disease)
 
 
 @query
