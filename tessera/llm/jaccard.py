@@ -413,8 +413,9 @@ def classes(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "te
     )
     links = ws.store("links", _all_links(sets, ws))
     # rows that share a key tie the classes of their texts together
-    twins = ids.groupBy("doc").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b")
-    comps = components(links.union(twins.select("a", "b")), ws)
+    tied = ids.groupBy("doc").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).filter("a < b")
+    twins = ids.join(tied.select("doc", "a"), "doc").filter("cls <> a").select("a", F.col("cls").alias("b")).distinct()
+    comps = components(links.union(twins), ws)
     of_doc = ids.groupBy("doc").agg(F.min("cls").alias("cls"))
     of_doc = of_doc.join(comps.withColumnRenamed("node", "cls"), "cls", "left").select(
         "doc", F.coalesce("comp", "cls").alias("comp")

@@ -9,6 +9,7 @@ import pytest
 from test_twins import _rows
 
 import __spark_entry__ as entry
+from tessera.llm import jaccard
 from tessera.operators import profiles
 from tessera.sources.given import TABLES
 
@@ -44,3 +45,12 @@ def test_profile_keeps_all_genes_in_order(spark):
     cut = profiles.disease_profiles(diseases, genes, paths, xref, genes_per_disease=50).first()
     assert [g["gene_id"] for g in cut["genes"]] == order[:50]
     assert cut["genes_truncated"] and "Associated genes (50, Level 1 cap reached)" in cut["summary_text"]
+
+
+# --- text operators ---------------------------------------------------------------------
+def test_jaccard_ties_every_text_of_a_repeated_id(spark, ws):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
+    rows = [(1, text["a"]), (3, text["b"]), (4, text["b"]), (5, text["c"]), (8, text["d"])] + [(9, text[k]) for k in "abc"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.classes(docs, ws).collect()}
+    assert got == {(1, 1), (3, 1), (4, 1), (5, 1), (9, 1), (8, 8)}
