@@ -20,8 +20,19 @@ ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"),
     ("&nbsp;", " "), ("&#160;", " "), ("&amp;", "&"),
 ]
-#: Patterns of an HTML text that are dropped, that end a line, and that are left out.
+#: Parts of an HTML text that are dropped: comments and elements up to their own closing tag, then heads. As
+#: ``</head>`` may be omitted, a head also ends before the first tag that is not one of its own.
+PAIRED = (
+    r"(?is)<(?:!--(?:.*?-->|.*+)"
+    r"|(script|style|nav|noscript|template)(?=[\s/>])(?:.*?</\1\s*+>|.*+))"
+)
+HEADS = (
+    r"(?is)<head(?=[\s/>])[^>]*+>(?:[^<]++|<title(?=[\s/>]).*?</title\s*+>"
+    r"|<(?:title|meta|link|base|basefont|bgsound|noframes)(?=[\s/>])|<(?![a-z]|/head\s*+>))*+(?:</head\s*+>)?"
+)
+#: The same in one pattern without back-references, for pages that close every part; the SQL twin reads it.
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(?:script|style|head|nav|noscript|template)\b.*?(?:</(?:script|style|head|nav|noscript|template)\s*>|\z)"
+#: Patterns that end a line and that are left out.
 BREAKS = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TAGS = r"<[a-zA-Z/!?][^>]*>"
 
@@ -131,7 +142,7 @@ def parsed(records: DataFrame, key: str = "page_id", record: str = "record") ->
 
 def plain_text(html: Column) -> Column:
     """Visible text: hidden parts out, one line per block, entities resolved, blanks joined."""
-    t = F.regexp_replace(html, HIDDEN, " ")
+    t = F.regexp_replace(F.regexp_replace(html, PAIRED, " "), HEADS, " ")
     t = F.regexp_replace(t, r"[ \t\r\n]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, BREAKS, "\n"), TAGS, "")
     for name, sign in ENTITIES:
