@@ -226,8 +226,9 @@ def disease_profiles(
 
 def drug_profiles(
     drugs: DataFrame, effects: DataFrame, targets: DataFrame, by_drug: DataFrame, facts: DataFrame,
-    identifiers: DataFrame,
+    identifiers: DataFrame, pathway_limit: int | None = PROFILE_PATHWAY_CAP,
 ) -> DataFrame:
+    """One record per drug, with the ``pathway_limit`` best supported pathways (None = all)."""
     xrefs = external_ids(drugs, identifiers, "drug", "drug_id")
     e = F.struct("side_effect_name", "side_effect_id", "umls_cui", "source")
     unnamed = F.col("target_name").isNull().alias("unnamed")
@@ -237,7 +238,15 @@ def drug_profiles(
     def by_name(c: Column) -> Column:
         return F.transform(F.array_sort(F.collect_list(c)), lambda s: s.dropFields("unnamed"))
 
-    p = F.struct("position", "reactome_id", "pathway_name", "supporting_target_count", "supporting_uniprot_ids")
+    p = F.struct(
+        (-F.col("supporting_target_count")).alias("by_support"), "pathway_name", "reactome_id",
+        "supporting_target_count", "supporting_uniprot_ids",
+    )
+
+    def placed(s: Column, i: Column) -> Column:
+        kept = ["reactome_id", "pathway_name", "supporting_target_count", "supporting_uniprot_ids"]
+        return F.struct((i + 1).alias("position"), *[s[c].alias(c) for c in kept])
+
     parts = [
         effects.groupBy("drug_id").agg(
             F.array_sort(F.collect_list(e)).alias("side_effects"), F.count(F.lit(1)).alias("side_effect_count")
@@ -246,12 +255,14 @@ def drug_profiles(
             by_name(t).alias("targets"), F.count(F.lit(1)).alias("target_count")
         ),
         mechanisms(targets).groupBy("drug_id").agg(by_name(m).alias("mechanisms")),
-        capped_pathways(by_drug, facts).groupBy("drug_id").agg(F.array_sort(F.collect_list(p)).alias("pathways")),
+        capped_pathways(by_drug, facts, pathway_limit).groupBy("drug_id").agg(
+            F.transform(F.array_sort(F.collect_list(p)), placed).alias("pathways")
+        ),
         xrefs.groupBy("drug_id").agg(
             F.array_sort(F.collect_list(F.struct("source", "external_id", "is_primary"))).alias("external_identifiers")
         ),
         context_availability(drugs, targets, by_drug).drop("n_proteins", "n_pathways"),
-        drug_summaries(drugs, effects, targets, by_drug),
+        drug_summaries(drugs, effects, targets, by_drug, pathway_limit),
     ]
     out = drugs
     for part in parts:
@@ -316,7 +327,10 @@ def disease_summaries(
     return rows.select("disease_id", text.alias("summary_text"))
 
 
-def drug_summaries(drugs: DataFrame, effects: DataFrame, targets: DataFrame, by_drug: DataFrame) -> DataFrame:
+def drug_summaries(
+    drugs: DataFrame, effects: DataFrame, targets: DataFrame, by_drug: DataFrame,
+    pathway_limit: int | None = PROFILE_PATHWAY_CAP,
+) -> DataFrame:
     none = F.array().cast("array<string>")
     n_effects = effects.groupBy("drug_id").agg(F.count(F.lit(1)).alias("_ne"))
     n_targets = targets.groupBy("drug_id").agg(F.count(F.lit(1)).alias("_nt"))
@@ -333,7 +347,7 @@ def drug_summaries(drugs: DataFrame, effects: DataFrame, targets: DataFrame, by_
         .withColumns({"_ne": F.coalesce("_ne", F.lit(0)), "_nt": F.coalesce("_nt", F.lit(0)),
                       **{c: F.coalesce(c, none) for c in ("_e", "_m", "_p")}})
     )
-    shown = F.least("n_pathways", F.lit(PROFILE_PATHWAY_CAP))
+    shown = F.least("n_pathways", F.lit(pathway_limit))
     # fixed values: wording of the summary
     text = F.concat_ws(
         "\n",

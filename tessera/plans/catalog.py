@@ -1042,7 +1042,7 @@ def r2_learned_top(s: Study) -> DataFrame:
 
 @query
 def p1_learned_runs(s: Study) -> DataFrame:
-    return reports.disease_runs(s.resolved_diseases, ranking.top_n(s.learned_fused, s.top_n))
+    return reports.disease_runs(s.resolved_diseases, ranking.top_n(s.learned_fused, s.top_n), s.top_n)
 
 
 @query
@@ -1330,7 +1330,7 @@ def k7_graph_metadata(s: Study) -> DataFrame:
         e = F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"]))
         return F.array_join(e, "|").alias(c)
 
-    d = graph.graph_metadata(s.nodes, s.edges, s.top.filter("rank <= 5"))
+    d = graph.graph_metadata(s.nodes, s.edges, s.top.filter(F.col("rank") <= s.graph_top_n))
     return d.withColumns({c: shown(c) for c in ("node_type_counts", "edge_type_counts")})
 
 
@@ -1416,18 +1416,18 @@ def k16_dangling_edges(s: Study) -> DataFrame:
 # --- end-to-end reports -----------------------------------------------------------------------------------------
 @query
 def p1_disease_runs(s: Study) -> DataFrame:
-    return reports.disease_runs(s.resolved_diseases, s.ranked)
+    return reports.disease_runs(s.resolved_diseases, s.ranked, s.top_n)
 
 
 @query
 def p2_overview(s: Study) -> DataFrame:
     routes = candidates.route_counts(s.pairs, s.tables["diseases"], s.tables["drugs"])
-    return reports.overview(_summary(s), routes, s.ranked)
+    return reports.overview(_summary(s), routes, s.ranked, s.top_n)
 
 
 @query
 def p3_found_pairs(s: Study) -> DataFrame:
-    return reports.find_pairs(s.pairs.select("disease_id", "drug_id"), s.ranked)
+    return reports.find_pairs(s.pairs.select("disease_id", "drug_id"), s.ranked, s.top_n)
 
 
 @query

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pathlib import Path
+from types import SimpleNamespace
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_twins import _rows
 
 import __spark_entry__ as entry
 from tessera.llm import jaccard, warc
 from tessera.operators import profiles
+from tessera.plans import catalog
 from tessera.sources.given import TABLES
 
 LARGER = "/root/testdata/sf0.01"
@@ -47,6 +50,20 @@ def test_profile_keeps_all_genes_in_order(spark):
     assert cut["genes_truncated"] and "Associated genes (50, Level 1 cap reached)" in cut["summary_text"]
 
 
+def test_drug_profile_keeps_all_pathways_when_asked(spark):
+    drugs = spark.createDataFrame([("R", "r", None, "1", "s")], "drug_id string, drug_name string, chembl_id string, pubchem_cid string, source string")
+    effects = spark.createDataFrame([], "drug_id string, side_effect_id string, side_effect_name string, umls_cui string, source string")
+    targets = spark.createDataFrame([("R", "T", "t", "k", "P", None, "s")], "drug_id string, target_id string, target_name string, target_type string, uniprot_id string, action_type string, source string")
+    by_drug = spark.createDataFrame([("R", f"H{i:03}", f"n{i // 2:03}", i % 3) for i in range(150)], "drug_id string, reactome_id string, pathway_name string, supporting_target_count long")
+    facts = by_drug.select("drug_id", "reactome_id", F.lit("P").alias("uniprot_id"))
+    xref = spark.createDataFrame([], "internal_id string, entity_type string, external_id string, external_source string, is_primary boolean")
+    order = [r["reactome_id"] for r in by_drug.orderBy(F.desc("supporting_target_count"), "pathway_name", "reactome_id").collect()]
+    for limit, n in ((None, 150), (7, 7)):
+        r = profiles.drug_profiles(drugs, effects, targets, by_drug, facts, xref, limit).first()
+        assert [(p["position"], p["reactome_id"]) for p in r["pathways"]] == list(enumerate(order[:n], 1))
+        assert f"Target pathways ({n}," in r["summary_text"]
+
+
 # --- text operators ---------------------------------------------------------------------
 def test_jaccard_ties_every_text_of_a_repeated_id(spark, ws):
     text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
@@ -83,3 +100,16 @@ def test_warc_pages_that_close_every_part_stay_as_they_were(spark):
     got, cur = warc.derive(warc.as_responses(pages)), con.execute(entry.oracle_sql()["op10_warc"])
     want = [d[0] for d in cur.description]
     assert _rows(got.columns, got.collect()) == _rows(want, cur.fetchall())
+
+
+# --- sizes of a study -------------------------------------------------------------------
+def test_reports_follow_the_sizes_of_their_study(spark, monkeypatch):
+    ranked = spark.range(1, 31).select(F.lit("D").alias("disease_id"), F.concat(F.lit("R"), "id").alias("drug_id"), F.lit("n").alias("drug_name"),
+                                       F.col("id").cast("int").alias("rank"), F.lit(1.0).alias("repurposing_score"))
+    asked = spark.createDataFrame([(1, "resolved", "D")], "query_id int, status string, match_id string")
+    s = SimpleNamespace(top_n=25, graph_top_n=8, ranked=ranked, top=ranked, pairs=ranked, resolved_diseases=asked, nodes=None, edges=None)
+    assert catalog.p1_disease_runs(s).count() == 25
+    assert catalog.p3_found_pairs(s).filter("found").count() == 25
+    counts = F.create_map(F.lit("a"), F.lit("1"))
+    monkeypatch.setattr(catalog.graph, "graph_metadata", lambda nodes, edges, top: top.withColumns({"node_type_counts": counts, "edge_type_counts": counts}))
+    assert catalog.k7_graph_metadata(s).count() == 8
