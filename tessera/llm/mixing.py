@@ -9,20 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.llm.words import words
 from tessera.workspace import Workspace
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Raking ends when no margin is off by more than this share of all tokens, or after so
-#: many rounds if the targets contradict each other.
-TOLERANCE = 1e-13
+#: Raking ends when no margin is off by more than this share of all tokens. Where targets
+#: contradict each other it ends once a round leaves more than this part of the deviation
+#: before it, or after so many rounds.
+TOLERANCE = 1e-12
+STALLED = 0.999
 ROUNDS = 60
-#: Power of the token shares that serves as target where the caller gives none.
-FLATTENING = 0.9
+#: Power of the token shares that serves as target where the caller gives none: the
+#: exponent in common use for sampling languages of unlike size.
+FLATTENING = 0.7
 UNKNOWN = "unknown"
+CELLS_PER_TASK = 200_000
 
 
 def topic(text: Column) -> Column:
@@ -59,38 +63,49 @@ def raked(
     tolerance: float = TOLERANCE,
     rounds: int = ROUNDS,
 ) -> DataFrame:
-    """``cells`` with ``weight``: shares of all tokens whose margins meet ``targets``.
+    """``cells`` with ``weight``: shares of all tokens whose margins meet ``targets``, and
+    ``deviation``: the largest share by which a margin missed its target in the last round.
 
     ``targets`` has a table (value, share) for each dimension. A value without target
-    gets the share 0; a value whose cells have no tokens cannot get any. Every round is
-    written, which cuts the lineage; only the largest deviation goes to the driver.
+    gets the share 0; a value whose cells have no tokens cannot get any, and targets that
+    contradict each other leave a deviation above ``tolerance``.
+    Every round is written, which cuts the lineage, and its deviation comes with the write,
+    by ``observe``. A round joins by sorting, as broadcasts would stay with the driver round
+    after round, and in as many partitions as the number of cells asks for: up to
+    ``CELLS_PER_TASK`` cells it is one task without a shuffle.
     """
-    start = cells.agg(F.sum("tokens").cast("double").alias("all"))
-    table = cells.join(F.broadcast(start)).withColumn(  # one row
-        "weight", F.when(F.col("all") > 0, F.col("tokens") / F.col("all")).otherwise(0.0)
-    )
-    table = ws.store("cells", table.drop("all"))
+    start = cells.agg(F.sum("tokens").cast("double").alias("_all"))
+    share = F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0)
+    counted = Observation()
+    table = cells.join(F.broadcast(start)).withColumn("weight", share).drop("_all")  # one row
+    table = ws.store("cells", table.observe(counted, F.count(F.lit(1)).alias("n")))
+    tasks = 1 + counted.get["n"] // CELLS_PER_TASK
+    wanted = {
+        dim: ws.store(f"wanted_{dim}", t.select(F.col("value").alias(dim), F.col("share").cast("double").alias("_share")))
+        for dim, t in targets.items()
+    }
+    worst = None
     for _ in range(rounds):
-        off = []
-        for dim, wanted in targets.items():
+        before = worst
+        table, off = table.coalesce(tasks), []
+        for dim, named in wanted.items():
             sums = table.groupBy(dim).agg(F.sum("weight").alias("_sum"))
-            named = wanted.select(F.col("value").alias(dim), F.col("share").alias("_share"))
-            factors = sums.join(named, dim, "left").select(
+            to = F.coalesce("_share", F.lit(0.0))
+            factors = sums.join(named.coalesce(tasks).hint("merge"), dim, "left").select(
                 dim,
-                F.abs(F.coalesce("_share", F.lit(0.0)) - F.col("_sum")).alias(f"_off_{dim}"),
-                F.when(F.col("_sum") > 0, F.coalesce("_share", F.lit(0.0)) / F.col("_sum"))
-                .otherwise(0.0)
-                .alias("_factor"),
+                F.abs(to - F.col("_sum")).alias(f"_off_{dim}"),
+                F.when(F.col("_sum") > 0, to / F.col("_sum")).otherwise(0.0).alias("_factor"),
             )
-            table = table.join(factors, dim).withColumn("weight", F.col("weight") * F.col("_factor"))
+            table = table.join(factors.hint("merge"), dim).withColumn("weight", F.col("weight") * F.col("_factor"))
             table = table.drop("_factor")
-            off.append(f"_off_{dim}")
-        done = ws.store("raked", table)
-        worst = done.agg(F.max(F.greatest(*off) if len(off) > 1 else F.col(off[0]))).first()[0]
-        table = done.drop(*off)
-        if worst is None or worst <= tolerance:
+            off.append(F.max(f"_off_{dim}").alias(dim))
+        seen = Observation()
+        table = table.observe(seen, *off).drop(*[f"_off_{d}" for d in wanted])
+        table = ws.store("raked", table)
+        worst = max((o for o in seen.get.values() if o is not None), default=None)
+        if worst is None or worst <= tolerance or (before is not None and worst > STALLED * before):
             break
-    return table
+    return table.withColumn("deviation", F.lit(worst).cast("double"))
 
 
 def uniform(key: Column, seed: str = "mix") -> Column:

@@ -309,8 +309,17 @@ def test_mixing_meets_margins(spark, ws):
     assert abs(sum(r.kept for r in drawn) - expected) < 5 * expected**0.5
 
 
-def test_mixing_odd_rows(docs, empty, ws, monkeypatch):
-    monkeypatch.setattr(mixing.raked, "__defaults__", (1e-9, 2))
+def test_raking_says_when_targets_contradict_each_other(spark, ws):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "source string, lang string, tokens long")
+    share = lambda d: spark.createDataFrame(list(d.items()), "value string, share double")
+    targets = {"source": share({"a": 0.9, "b": 0.1}), "lang": share({"x": 0.2, "y": 0.8})}
+    assert all(r.deviation > 0.1 for r in mixing.raked(cells, targets, ws, rounds=3).collect())
+    targets["lang"] = share({"x": 0.9, "y": 0.1})
+    got = {r.source: r for r in mixing.raked(cells, targets, ws).collect()}
+    assert got["a"].weight == pytest.approx(0.9) and got["a"].deviation <= mixing.TOLERANCE
+
+
+def test_mixing_odd_rows(docs, empty, ws):
     got = mixing.mixed(docs, ws).collect()
     assert len(got) == docs.count()
     assert all(r.n_tokens == len(words(next(d.text for d in docs.collect() if d.doc_id == r.doc_id))) for r in got[:10])
