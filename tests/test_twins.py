@@ -15,7 +15,7 @@ from tessera.sources.given import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="given tables not present")
-SQL = entry.oracle_sql() if Path(FOLDER).exists() else {}
+SQL = twins.all_sql() if Path(FOLDER).exists() else {}
 SLOW: set[str] = set()
 
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from test_twins import _rows
 
 import __spark_entry__ as entry
-from tessera.llm import jaccard, warc
 from tessera.operators import profiles
 from tessera.plans import catalog
 from tessera.sources.given import TABLES
@@ -64,44 +63,6 @@ def test_drug_profile_keeps_all_pathways_when_asked(spark):
         assert f"Target pathways ({n}," in r["summary_text"]
 
 
-# --- text operators ---------------------------------------------------------------------
-def test_jaccard_ties_every_text_of_a_repeated_id(spark, ws):
-    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
-    rows = [(1, text["a"]), (3, text["b"]), (4, text["b"]), (5, text["c"]), (8, text["d"])] + [(9, text[k]) for k in "abc"]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], r["component_id"]) for r in jaccard.classes(docs, ws).collect()}
-    assert got == {(1, 1), (3, 1), (4, 1), (5, 1), (9, 1), (8, 8)}
-
-
-def test_warc_keeps_what_follows_an_open_head(spark):
-    pages = {
-        "<html><head><title>T</title><body><p>one</p><script>x</script>two</body>": "one\ntwo",
-        "<head><meta a=b><title>a <p> b</title><link><p>one<nav>n</nav>two": "one two",
-        "<head><title>T</title><a href=x>one</a>": "one",
-        "<head><script>'<p>hid'</script><style>a{}</style><title>T</title></head><body>one": "one",
-        "one<nav>a<script>b</script>c</nav>two": "one two",
-        "<noscript><style>a</style>hid</noscript>one<header>two</header>": "one\ntwo",
-        "<head><title>T": "",
-        "one<script>hid": "one",
-        "one<!-- <nav> -->two": "one two",
-        "<HEAD>" + "<meta x>" * 20000 + "<Body>one": "one",
-        None: None,
-    }
-    rows = spark.createDataFrame([(h,) for h in pages], "html string")
-    got = {r["html"]: r["text"] for r in rows.select("html", warc.plain_text(rows["html"]).alias("text")).collect()}
-    assert got == pages
-
-
-@GIVEN
-def test_warc_pages_that_close_every_part_stay_as_they_were(spark):
-    pages = spark.read.parquet(f"{LARGER}/pages.parquet")
-    con = duckdb.connect()
-    con.execute(f"create view pages as select * from '{LARGER}/pages.parquet'")
-    got, cur = warc.derive(warc.as_responses(pages)), con.execute(entry.oracle_sql()["op10_warc"])
-    want = [d[0] for d in cur.description]
-    assert _rows(got.columns, got.collect()) == _rows(want, cur.fetchall())
-
-
 # --- sizes of a study -------------------------------------------------------------------
 def test_reports_follow_the_sizes_of_their_study(spark, monkeypatch):
     ranked = spark.range(1, 31).select(F.lit("D").alias("disease_id"), F.concat(F.lit("R"), "id").alias("drug_id"), F.lit("n").alias("drug_name"),
