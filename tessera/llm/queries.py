@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, covertree, jaccard, line_dedup, mixing, pii, quality, toxicity, urls, warc
+from tessera.llm import (
+    bpe, covertree, jaccard, line_dedup, lloyd, mixing, pii, quality, token_orc, toxicity, trie, urls, warc,
+)
 from tessera.workspace import Workspace
 
 
@@ -27,6 +29,12 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.encode(_read(spark, folder, "documents"), word_bpe_path(), decoded=True)
     return encoded.select(
@@ -100,6 +108,40 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.derive(warc.as_responses(_read(spark, folder, "pages")))
 
 
+def op11_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _read(spark, folder, "embeddings").select("vec_id", "embedding")
+    rows, centroids = lloyd.clustered(vectors, _workspace(spark, "lloyd"), k=40, rounds=5)
+    summed = lambda c: F.sum(F.col(c).cast("decimal(38,0)"))
+    # as many rows as there are clusters from here to the last join
+    sums = rows.groupBy("cluster").agg(summed("distance").alias("own"))
+    sums = sums.withColumn("all", F.sum("own").over(Window.partitionBy(F.lit(0))))
+    held = lambda c: F.least(F.col(c), F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
+    facts = sums.join(centroids, "cluster").select(
+        "cluster",
+        held("own").alias("cluster_inertia"),
+        held("all").alias("inertia"),
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"),
+    )
+    return rows.join(F.broadcast(facts), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    ws = _workspace(spark, "trie")
+    turns = trie.ordered_turns(_read(spark, folder, "conversations"), ws)
+    rebuilt, sizes = trie.with_shared_openings(turns, ws)
+    return trie.rolled_up(rebuilt, sizes, ws)
+
+
+def op13_token_orc(spark: SparkSession, folder: str) -> DataFrame:
+    path = _workspace(spark, "orc").path("token_ids")
+    token_orc.write(_read(spark, folder, "documents").select("doc_id", "text"), path, byte_bpe_path())
+    files = token_orc.read(spark, path)
+    rows = token_orc.starts(token_orc.checksums(files), files)
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -111,4 +153,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_warc": op10_warc,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_token_orc": op13_token_orc,
 }

@@ -1,7 +1,7 @@
 r"""SQL twins of the queries that SQL can express, written from the contracts.
 
-Encoding (merges by rank) and the trained classifier have none; tests hold them against the
-tokenizers library and against held-out labels.
+Encoding (merges by rank, op1 and op13) and the trained classifier have none; tests hold them
+against the tokenizers library and against held-out labels.
 """
 
 from __future__ import annotations
@@ -245,6 +245,79 @@ select page_id, kind as record_type, {uuid("md5(kind || '|' || id)")} as record_
 """
 
 
+def _op11(k: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    apart = f"list_sum(list_transform(range(1, {dim + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::bigint"
+    parts = [
+        f"""v as materialized (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where len(embedding) = {dim} and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)""",
+        f"""c0 as materialized (
+  select row_number() over (order by sha256('2:' || vec_id) nulls last, v) - 1 as k, v as c
+  from v qualify row_number() over (order by sha256('2:' || vec_id) nulls last, v) <= {k})""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(
+            f"a{r} as materialized (select row, any_value(vec_id) as vec_id, any_value(v) as v, min((d, k)) as m "
+            f"from (select row, vec_id, v, k, {apart} as d from v, c{r}) group by row)"
+        )
+        if r < rounds:
+            parts.append(
+                f"s{r} as materialized (select k, i, sum(x)::hugeint as s, count(*)::hugeint as n from "
+                f"(select m[2] as k, unnest(v) as x, unnest(range(1, {dim + 1})) as i from a{r}) group by k, i)"
+            )
+            parts.append(
+                f"c{r + 1} as materialized (select k, coalesce(m, c) as c from c{r} left join (select k, "
+                f"list(((s - ((s % n) + n) % n) // n)::bigint order by i) as m from s{r} group by k) using (k))"
+            )
+    return (
+        "with "
+        + ",\n".join(parts)
+        + f"""
+select vec_id, m[2]::int as cluster, m[1] as distance, (sum(m[1]) over (partition by m[2]))::bigint as cluster_inertia,
+  (sum(m[1]) over ())::bigint as inertia, sha256(array_to_string(c, ',')) as centroid_sha256
+from a{rounds} join c{rounds} on k = m[2]
+"""
+    )
+
+
+# CRC-32 of the decimal digits of c, bit by bit
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: unicode(x)::bigint)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+OP12 = f"""
+with o as materialized (
+  select c, role, text, length(text) as chars, sha256(length(role) || ':' || role || text) as h,
+    row_number() over (partition by c order by turn nulls first, sha256(length(role) || ':' || role || text)) as i
+  from (select conv_id as c, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)),
+n as materialized (
+  select c, c - c % 100 as donor, max(i) as n, {_CRC32} % 6 as h from o group by c),
+b as materialized (
+  select n.c, least(n.h, coalesce(d.n, 0)) as taken, n.h, n.donor, least(n.h, coalesce(d.n, 0)) + greatest(n.n - n.h, 0) as n
+  from n left join n d on d.c = n.donor),
+r as materialized (
+  select b.c, i - b.h + taken as i, o.h, chars from b join o using (c) where i > b.h
+  union all select b.c, i, o.h, chars from b join o on o.c = b.donor where i <= taken),
+p as materialized (
+  select c, i as d, chars, string_agg(h, ',') over (partition by c order by i rows unbounded preceding) as key from r
+  union all select c, 0, 0, '' from b),
+g as materialized (
+  select d, key, min(c) as node, count(*) as n_convs, max(chars) as chars,
+    coalesce(string_agg(c::varchar, ',' order by c) filter (d = n), '') as ends
+  from p join b using (c) group by d, key),
+w as materialized (select c, d, node from p join g using (d, key)),
+t as materialized (
+  select g.node, g.d, n_convs, chars, ends, w.node as parent from g left join w on w.c = g.node and w.d = g.d - 1),
+k as materialized (select parent as node, d - 1 as d, count(*) as n from t where parent is not null group by all),
+f as materialized (select t.*, coalesce(n, 0) as n_children from t left join k using (node, d)),
+s as (
+  select w.node, w.d, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * chars) as saved
+  from f join w on w.c = f.node and w.d <= f.d group by all)
+select node::bigint as conv_id, d::bigint as depth, parent::bigint as parent_conv_id, n_convs::bigint as n_convs,
+  n_children::bigint as n_children, n_leaves::bigint as n_leaves, saved::bigint as saved_tokens, sha256(ends) as ends_sha256
+from f join s using (node, d)
+"""
+
+
 TWINS: dict[str, str] = {
     "op3_pii": OP3,
     "op4_exact_topk": OP4,
@@ -254,4 +327,6 @@ TWINS: dict[str, str] = {
     "op8_mixing": _op8(),
     "op9_ngram_jaccard_join": OP9,
     "op10_warc": _op10(),
+    "op11_centroid_clustering": _op11(),
+    "op12_prefix_trie": OP12,
 }
