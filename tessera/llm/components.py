@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.workspace import Workspace
@@ -13,23 +13,18 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
 
     Neighbours are tied to the smallest neighbour, first those above a node, then those
     below, until nothing changes. A node of any degree costs one row per neighbour; its
-    smallest neighbour is found by a partial aggregate, so no task gathers a star.
+    smallest neighbour is found by a partial aggregate, and the join that hands it to the
+    neighbours can be split, so no task gathers a star. Each half of a round is written, so
+    its plan stays as small as the first one's; whether it changed comes with the write.
     """
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    stars = ws.store("edges", edges.filter("u <> v").distinct())
-    before = _state(stars)
+    stars, before = _written(edges, ws)
     while before[0]:
-        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(m, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            joined.select("u", F.col("m").alias("v"))
-        )
-        stars = ws.store("edges", small.filter("u <> v").distinct())
-        after = _state(stars)
+        both = stars.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        above = _lowest(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large, _ = _written(above, ws)
+        pair = lambda a: F.struct(F.col(a).alias("u"), F.col("m").alias("v"))
+        stars, after = _written(_lowest(large).select(F.inline(F.array(pair("v"), pair("u")))), ws)
         if after == before:
             break
         before = after
@@ -37,11 +32,20 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     return nodes.union(stars.select("v", "v")).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Count and two order-free digests of the edges."""
-    r = edges.agg(
+def _lowest(edges: DataFrame) -> DataFrame:
+    """Every edge (u, v) with ``m``, the smallest v of its u. Grouped by a struct, so that the
+    minima are dealt anew for the join and a hot u can be split there."""
+    least = edges.groupBy(F.struct("u").alias("_of")).agg(F.min("v").alias("m")).select("_of.u", "m")
+    return edges.join(least.hint("merge"), "u")
+
+
+def _written(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, tuple]:
+    """Distinct edges between different nodes, and their count and two order-free digests."""
+    seen = Observation()
+    digests: list[Column] = [
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("u", "v")).alias("x"),
         F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")).alias("s"),
-    ).first()
-    return tuple(r)
+    ]
+    stored = ws.store("edges", edges.filter("u <> v").distinct().observe(seen, *digests))
+    return stored, tuple(seen.get[c] for c in "nxs")

@@ -398,7 +398,9 @@ def classes(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "te
     range_bits = max(12, int(np.ceil(np.log2(max(1, docs.count()) * 1000 / RANGE_SHINGLES))))
     told = _sketched(_counted(rows, range_bits), range_bits).collect()
     order = spark.sparkContext.broadcast(Order.of(told, range_bits))
+    del told
     keyed = ws.store("keyed", _keyed(rows, order))
+    order.destroy()  # the written keys are all that later steps read
 
     valid = keyed.filter("doc is not null and n > 0")
     reps = valid.groupBy("sig1", "sig2").agg(F.min("doc").alias("cls"))
