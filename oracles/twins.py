@@ -316,6 +316,18 @@ FINAL: dict[str, str] = {
     "s16_load_tables": " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in [*_ALL, "identifiers"]),
     "s17_csv_copies": " union all ".join(f"select '{t}' as table_name, count(*) as n_rows from {t}" for t in [*_ALL, "identifiers"]),
     "s18_run_report": "select check_name, severity, passed, detail from checks_stored",
+    "s18_stages": """select t.position, t.stage, true as available, t.note, t.input_rows, t.output_rows, coalesce(x.n, 0)::bigint as n_rejected from (
+          select 1 as position, 'build:drugs' as stage, '' as note, (select count(*) from drugs_all) as input_rows, (select count(*) from drugs) as output_rows
+          union all select 2, 'build:drug_side_effects', '', (select count(*) from se_all), (select count(*) from drug_side_effects)
+          union all select 3, 'build:diseases', coalesce((select 'seed ids not resolvable in Open Targets: ' || string_agg(ontology_id, ', ' order by seq, ontology_id) from (select ontology_id, min(seq) as seq from unresolved group by 1)), ''),
+            (select count(*) from diseases), (select count(*) from diseases)
+          union all select 4, 'build:disease_genes', '', (select count(*) from (select distinct disease_id, gene from gene_rows)), (select count(*) from disease_genes)
+          union all select 5, 'build:drug_targets', '', (select count(*) from mech_rows where drug_id is not null and target_id is not null), (select count(*) from drug_targets)
+          union all select 6, 'build:disease_pathways', (select 'DERIVED: Open Targets disease genes x Reactome gene->pathway | ' || count(*) || ' candidate (disease,pathway) pairs; ' || count(*) filter (where gene_support_count < 3) || ' dropped for < 3 supporting genes' from support),
+            (select count(*) from pathway_rows), (select count(*) from disease_pathways)) t
+        left join (select stage, sum(n) as n from rejects group by 1) x using (stage)""",
+    "s18_counts": " union all ".join(f"select 'dataset' as kind, '{t}' as name, count(*) as n from {t}" for t in _ALL)
+    + "".join(f" union all select 'entity', '{e}', count(*) from ids_{e}" for e in ("drug", "side_effect", "disease", "gene", "target", "pathway")),
     "s19_coverage": """select t.table_name, a.absent, not list_contains(t.needs, a.absent) as built, case when list_contains(t.needs, a.absent) then t.note else '' end as note,
         case when list_contains(t.needs, a.absent) then 0 else t.n end as n_rows from (values ('none'), ('sider'), ('chembl'), ('opentargets'), ('reactome')) a(absent) cross join (
           select 'drugs' as table_name, ['sider'] as needs, 'requires SIDER' as note, (select count(*) from drugs) as n

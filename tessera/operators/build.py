@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.constants import GENES_PER_DISEASE, MIN_PATHWAY_GENES
 from tessera.functions import ids
 from tessera.functions.numbers import tidy
-from tessera.operators.conform import conform, rejections, split_valid, to_contract
+from tessera.operators.conform import conform, counted_rows, rejections, split_valid, to_contract
 from tessera.operators.ordering import first_per_key, left_join_spread, top_per_group
 from tessera.operators.registry import mint, xrefs
 from tessera.workspace import Workspace
@@ -18,12 +18,25 @@ from tessera.workspace import Workspace
 
 @dataclass
 class Built:
-    """One built table, the registry it minted, and what it reported."""
+    """One built table, the registry it minted, and what it reported.
+
+    ``input`` (rows that came to the contract) and ``output`` (rows of the table) are known once
+    ``keep`` has written the table, ``ids`` (ids minted) once the registry is built."""
 
     table: DataFrame
     registry: DataFrame
     rejected: list[DataFrame] = field(default_factory=list)
     observations: list[DataFrame] = field(default_factory=list)
+    input: Observation | None = None
+    ids: Observation | None = None
+    output: Observation | None = None
+
+
+def keep(b: Built, name: str, ws: Workspace) -> Built:
+    """Write the table; its counts come with the write."""
+    b.output = Observation()
+    b.table = ws.store(name, counted_rows(b.table, b.output))
+    return b
 
 
 def _by_key(registry: DataFrame, key: str, out: str) -> DataFrame:
@@ -54,7 +67,8 @@ def drug_rows(raw_names: DataFrame) -> DataFrame:
 def build_drugs(raw_names: DataFrame, raw_map: DataFrame, ws: Workspace) -> Built:
     rows = drug_rows(raw_names)
     good = rows.filter("reason is null")
-    registry = mint(good.select(F.col("cid").alias("key"), "seq"), "drug", ws)
+    came, ids_made = Observation(), Observation()
+    registry = mint(good.select(F.col("cid").alias("key"), "seq"), "drug", ws, ids_made)
     cid_ref = F.concat(F.lit("CID:"), F.col("cid"))
     full = (
         good.join(_by_key(registry, "cid", "drug_id"), "cid")
@@ -71,7 +85,7 @@ def build_drugs(raw_names: DataFrame, raw_map: DataFrame, ws: Workspace) -> Buil
         )
     )
     full = ws.store("drug_rows", full)
-    clean, rejected = conform(full, "drugs")
+    clean, rejected = conform(full, "drugs", seen=came)
     bad = rejections(rows.filter("reason is not null"), "build:drugs", F.col("reason"), F.col("stitch_id"))
     name = F.col("drug_name")
     return Built(
@@ -90,6 +104,8 @@ def build_drugs(raw_names: DataFrame, raw_map: DataFrame, ws: Workspace) -> Buil
                 ],
             )
         ],
+        came,
+        ids_made,
     )
 
 
@@ -152,7 +168,8 @@ def build_drug_side_effects(raw: DataFrame, drug_registry: DataFrame, ws: Worksp
     kept = with_cui.filter("named is not null").select(
         "drug_id", "cui", F.col("named.seq").alias("seq"), F.col("named.name").alias("side_effect_name"), (F.col("n") - F.col("n_unnamed")).alias("n")
     )
-    registry = mint(kept.select(F.col("cui").alias("key"), "seq"), "side_effect", ws)
+    came, ids_made = Observation(), Observation()
+    registry = mint(kept.select(F.col("cui").alias("key"), "seq"), "side_effect", ws, ids_made)
     full = kept.join(_by_key(registry, "cui", "side_effect_id"), "cui").withColumns(
         {"umls_cui": F.col("cui"), "source": F.lit("sider")}
     )
@@ -168,7 +185,8 @@ def build_drug_side_effects(raw: DataFrame, drug_registry: DataFrame, ws: Worksp
     names = [
         xrefs(full, "side_effect", "side_effect_id", [(F.col("cui"), "sider", F.col("side_effect_name"), True)])
     ]
-    return Built(to_contract(full, "drug_side_effects"), registry, rejected, names)
+    table = to_contract(counted_rows(full, came, F.col("n")), "drug_side_effects")
+    return Built(table, registry, rejected, names, came, ids_made)
 
 
 # --- diseases and their genes ---------------------------------------------------------
@@ -189,11 +207,12 @@ def unresolved_seeds(seeds: DataFrame, raw_diseases: DataFrame) -> DataFrame:
 def build_diseases(raw: DataFrame, ws: Workspace, seeds: DataFrame | None = None) -> Built:
     rows = disease_rows(raw)
     good = rows.filter(F.col("ontology_id").isNotNull() & F.col("disease_name").isNotNull())
-    registry = mint(good.select(F.col("ontology_id").alias("key"), "seq"), "disease", ws)
+    came, ids_made = Observation(), Observation()
+    registry = mint(good.select(F.col("ontology_id").alias("key"), "seq"), "disease", ws, ids_made)
     full = good.join(_by_key(registry, "ontology_id", "disease_id"), "ontology_id").withColumn(
         "source", F.lit("opentargets")
     )
-    clean, rejected = conform(full, "diseases")
+    clean, rejected = conform(full, "diseases", seen=came)
     stage = "build:diseases"
     lost = rows.filter(F.col("ontology_id").isNull() | F.col("disease_name").isNull())
     bad = [rejections(lost, stage, F.lit("missing_id_or_name"), F.col("raw_id")), rejected]
@@ -206,7 +225,7 @@ def build_diseases(raw: DataFrame, ws: Workspace, seeds: DataFrame | None = None
     names = [
         xrefs(full, "disease", "disease_id", [(F.col("ontology_id"), "opentargets", F.col("disease_name"), True)])
     ]
-    return Built(clean, registry, bad, names)
+    return Built(clean, registry, bad, names, came, ids_made)
 
 
 def _gene_keys(raw: DataFrame) -> DataFrame:
@@ -241,7 +260,8 @@ def build_disease_genes(
         ),
     )
     good = rows.filter("reason is null")
-    registry = mint(good.select(F.col("gene").alias("key"), "seq"), "gene", ws)
+    came, ids_made = Observation(), Observation()
+    registry = mint(good.select(F.col("gene").alias("key"), "seq"), "gene", ws, ids_made)
     full = good.join(_by_key(registry, "gene", "gene_id"), "gene").select(
         "seq",
         "disease_id",
@@ -254,7 +274,8 @@ def build_disease_genes(
     best = first_per_key(
         full, ["disease_id", "gene_id"], [F.col("association_score").desc_nulls_last(), F.col("seq")]
     )
-    good_rows, bad = split_valid(best, "disease_genes")
+    good_rows = split_valid(counted_rows(best, came), "disease_genes")[0]
+    bad = split_valid(best, "disease_genes")[1]
     stage = "build:disease_genes"
     rejected = [
         rejections(
@@ -268,7 +289,7 @@ def build_disease_genes(
     names = [
         xrefs(full, "gene", "gene_id", [(F.col("ensembl_id"), "opentargets", ids.name_key(F.col("gene_name")), True)])
     ]
-    return Built(to_contract(good_rows, "disease_genes"), registry, rejected, names)
+    return Built(to_contract(good_rows, "disease_genes"), registry, rejected, names, came, ids_made)
 
 
 # --- drug targets ------------------------------------------------------------------------
@@ -285,7 +306,8 @@ def target_rows(raw: DataFrame) -> DataFrame:
 def target_dimension(raw: DataFrame, ws: Workspace) -> Built:
     """Every target gets an id, used or not; the last duplicate gives the details."""
     rows = target_rows(raw)
-    registry = mint(rows.select(F.col("tcid").alias("key"), "seq"), "target", ws)
+    ids_made = Observation()
+    registry = mint(rows.select(F.col("tcid").alias("key"), "seq"), "target", ws, ids_made)
     last = first_per_key(rows, ["tcid"], [F.col("seq").desc()])
     ids_of = _by_key(registry, "tcid", "target_id")
     dimension = last.join(ids_of, "tcid").select("tcid", "target_id", "target_name", "target_type", "uniprot_id")
@@ -298,7 +320,7 @@ def target_dimension(raw: DataFrame, ws: Workspace) -> Built:
             [(F.col("tcid"), "chembl", F.col("target_name"), True), (F.col("uniprot_id"), "uniprot", None, False)],
         )
     ]
-    return Built(dimension, registry, [], names)
+    return Built(dimension, registry, [], names, ids=ids_made)
 
 
 def first_drug_per_chembl(raw_names: DataFrame, raw_map: DataFrame, drug_registry: DataFrame) -> DataFrame:
@@ -353,7 +375,9 @@ def build_drug_targets(raw: DataFrame, claims: DataFrame, dimension: DataFrame,
             n=F.col("n") - 1,
         ),
     ]
-    return Built(to_contract(full, "drug_targets"), claims, rejected)
+    came = Observation()
+    table = to_contract(counted_rows(full, came, F.col("n")), "drug_targets")
+    return Built(table, claims, rejected, input=came)
 
 
 # --- disease pathways (derived) -------------------------------------------------------
@@ -395,13 +419,22 @@ def pathway_support(genes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def support_accounting(support: DataFrame, minimum: int = MIN_PATHWAY_GENES) -> DataFrame:
+def _accounting(minimum: int) -> list[Column]:
     low = F.col("gene_support_count") < minimum
-    return support.agg(
+    return [
         F.count(F.lit(1)).alias("n_candidate_pairs"),
         F.count_if(low).alias("n_dropped"),
         F.count_if(~low).alias("n_kept"),
-    )
+    ]
+
+
+def support_accounting(support: DataFrame, minimum: int = MIN_PATHWAY_GENES) -> DataFrame:
+    return support.agg(*_accounting(minimum))
+
+
+def accounted(support: DataFrame, seen: Observation, minimum: int = MIN_PATHWAY_GENES) -> DataFrame:
+    """``support``; whoever writes it tells ``seen`` the same three numbers."""
+    return support.observe(seen, *_accounting(minimum))
 
 
 def build_disease_pathways(
@@ -409,7 +442,8 @@ def build_disease_pathways(
 ) -> Built:
     pair = F.concat_ws("|", "disease_id", "reactome_id")
     kept = support.filter(F.col("gene_support_count") >= minimum).withColumn("seq", pair)
-    registry = mint(kept.select(F.col("reactome_id").alias("key"), "seq"), "pathway", ws)
+    came, ids_made = Observation(), Observation()
+    registry = mint(kept.select(F.col("reactome_id").alias("key"), "seq"), "pathway", ws, ids_made)
     full = (
         kept.join(_by_key(registry, "reactome_id", "pathway_id"), "reactome_id")
         .join(names, "reactome_id", "left")
@@ -428,4 +462,5 @@ def build_disease_pathways(
     names_seen = [
         xrefs(full, "pathway", "pathway_id", [(F.col("reactome_id"), "reactome", F.col("pathway_name"), True)])
     ]
-    return Built(to_contract(full, "disease_pathways"), registry, rejected, names_seen)
+    table = to_contract(counted_rows(full, came), "disease_pathways")
+    return Built(table, registry, rejected, names_seen, came, ids_made)

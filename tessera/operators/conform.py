@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.constants import (
@@ -54,12 +54,23 @@ def duplicate_keys(df: DataFrame, table: str) -> DataFrame:
     return df.groupBy(*PRIMARY_KEY[table]).agg((F.count(F.lit(1)) - 1).alias("surplus")).filter("surplus > 0")
 
 
-def conform(df: DataFrame, table: str, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """Clean table and its rejections; ``seq`` decides which duplicate stays."""
+def counted_rows(df: DataFrame, seen: Observation | None, n: Column | None = None) -> DataFrame:
+    """``df``; whoever writes it first tells ``seen`` its rows (or the sum of ``n``), without a scan
+    of their own. A lost executor can make a shuffle's input count twice, never its rows."""
+    total = F.count(F.lit(1)) if n is None else F.coalesce(F.sum(n), F.lit(0))
+    return df if seen is None else df.observe(seen, total.cast("long").alias("n"))
+
+
+def conform(
+    df: DataFrame, table: str, seq: str = "seq", seen: Observation | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Clean table and its rejections; ``seq`` decides which duplicate stays. Writing the clean
+    table tells ``seen`` the rows that came in."""
     shaped = to_contract(df, table, keep=(seq,))
     good, bad = split_valid(shaped, table)
     keys = PRIMARY_KEY[table]
-    clean = dedup_key(good, table, [F.col(seq)]).drop(seq)
+    sound = split_valid(counted_rows(shaped, seen), table)[0]
+    clean = dedup_key(sound, table, [F.col(seq)]).drop(seq)
     stage = f"build:{table}"
     rejected = rejections(bad, stage, F.col("reason"), F.to_json(F.struct(*keys)), seq)
     surplus = (

@@ -11,6 +11,7 @@ from tessera.constants import MODEL_COLUMNS
 from tessera.functions.ids import no_blank, strip
 from tessera.functions.numbers import ratio
 from tessera.operators.candidates import PAIR
+from tessera.operators.guards import pair_name, refused
 
 
 def disease_dimension(diseases: DataFrame, genes: DataFrame, bridged: DataFrame | None, pathways: DataFrame) -> DataFrame:
@@ -100,8 +101,16 @@ def features(
     bridge_available: bool = True,
     pathway_source: str = "level4_index_uncapped",
 ) -> DataFrame:
-    """Join the pair counts with both dimensions and derive ratios and flags."""
-    rows = pairs.join(disease_dim, "disease_id").join(drug_dim, "drug_id")
+    """Join the pair counts with both dimensions and derive ratios and flags.
+
+    A pair whose disease or drug has no profile is an error that ends the job; the left joins
+    that find it move no more than inner ones would."""
+    known = F.lit(True)
+    rows = pairs.join(disease_dim.withColumn("_disease", known), "disease_id", "left")
+    rows = rows.join(drug_dim.withColumn("_drug", known), "drug_id", "left")
+    fault = F.when(F.col("_disease").isNull(), F.concat(F.lit("no disease profile for candidate "), pair_name()))
+    fault = fault.when(F.col("_drug").isNull(), F.concat(F.lit("no drug profile for candidate "), pair_name()))
+    rows = rows.withColumn("disease_id", refused(F.col("disease_id"), fault))
     matched_paths = F.col("pathway_reason_count")
     return rows.withColumns(
         {

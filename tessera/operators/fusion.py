@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.constants import DEFAULT_SCHEME, SCORING_VERSION
 from tessera.functions.numbers import blend, clip01, saturate, tidy
 from tessera.operators.candidates import PAIR
+from tessera.operators.guards import matched
 
 _LABELS = {"gene_target": "gene_target", "pathway": "pathway", "ml": "ml"}
 
@@ -24,21 +25,21 @@ def valid_schemes(schemes: DataFrame) -> DataFrame:
     return schemes.filter(" and ".join(finite + caps + shares))
 
 
+SCHEME_PARTS = 64
+
+
 def with_scheme(rows: DataFrame, scheme: dict | None = None, schemes: DataFrame | None = None) -> DataFrame:
     """Attach one scheme as constants, or every valid scheme of a table.
 
-    A scheme table has one row per setting; Spark broadcasts it when its size is
-    below the automatic limit."""
+    Every row meets every scheme. Rows are dealt over ``SCHEME_PARTS`` parts and each part gets
+    a copy of the schemes, so they meet by an equi-join: Spark broadcasts the copies
+    when they are small, and else no task holds more than the schemes and a part of the rows."""
     if schemes is None:
         s = {**DEFAULT_SCHEME, **(scheme or {})}
         return rows.withColumns({"scheme": F.lit("default"), **{k: F.lit(v) for k, v in s.items()}})
-    listed = F.collect_list(F.struct(*schemes.columns)).alias("_schemes")
-    one_row = valid_schemes(schemes).agg(listed)
-    return (
-        rows.join(one_row)
-        .withColumn("_s", F.explode("_schemes"))
-        .select(*[rows[c] for c in rows.columns], "_s.*")
-    )
+    copies = valid_schemes(schemes).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SCHEME_PARTS - 1))))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*PAIR), F.lit(SCHEME_PARTS)).cast("int"))
+    return dealt.join(copies, "_part").select(*rows.columns, *schemes.columns)
 
 
 # --- components ----------------------------------------------------------------------
@@ -109,7 +110,7 @@ def ml_component(rows: DataFrame, predictions: DataFrame | None) -> DataFrame:
             *PAIR, "model_output", "baseline_output", "model_name", "top_feature_names",
             F.lit(True).alias("_given"),
         )
-        rows = rows.join(known, PAIR, "left")
+        rows = matched(rows, known)
         given = F.coalesce("_given", F.lit(False))
     return rows.withColumns(
         {

@@ -11,6 +11,7 @@ from tessera.constants import COMPONENTS, RANKING_VERSION, RESPONSE_KEYS, SCORE_
 from tessera.functions.ids import strip
 from tessera.functions.texts import banned_phrase, fixed, mentions, title_case
 from tessera.operators.candidates import PAIR
+from tessera.operators.guards import joined_to_candidates
 
 ID_ARRAYS = [
     "matched_gene_hgnc_ids",
@@ -21,10 +22,11 @@ ID_ARRAYS = [
 
 
 def with_rollups(ranked: DataFrame, rollups: DataFrame) -> DataFrame:
-    """Attach the matched id lists to the ranked pairs that will be narrated."""
+    """Attach the matched id lists to the ranked pairs that will be narrated; a pair that no
+    match generated is an error."""
     none = F.array().cast("array<string>")
     columns = [*ID_ARRAYS, "matched_gene_symbols", "generation_methods"]
-    joined = ranked.join(rollups, PAIR, "left")
+    joined = joined_to_candidates(ranked, rollups)
     return joined.withColumns({c: F.coalesce(c, none) for c in columns})
 
 

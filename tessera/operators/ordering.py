@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.workspace import Workspace
@@ -17,6 +17,7 @@ def number_rows(
     name: str,
     group: Sequence[str] = (),
     out: str = "position",
+    counted: Observation | None = None,
 ) -> DataFrame:
     """1..N per group in the given order, without one task per group.
 
@@ -24,7 +25,7 @@ def number_rows(
     large share of all rows is spread over many tasks. They are written once in
     that layout; each row remembers its slice and its place in it. The number of
     rows in the earlier slices of the same group is then added. The offset table
-    has at most (slices + groups) rows.
+    has at most (slices + groups) rows. ``counted`` gets the number of rows as ``n``.
     """
     keys = [F.col(g) for g in group]
     placed = (
@@ -33,6 +34,8 @@ def number_rows(
         .withColumn("_at", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_at", 33))
     )
+    if counted is not None:
+        placed = placed.observe(counted, F.count(F.lit(1)).alias("n"))
     placed = ws.store(name, placed)
     by = ["_slice", *group]
     slices = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.constants import ID_PREFIX, ID_WIDTH
@@ -12,16 +12,16 @@ from tessera.operators.ordering import left_join_spread, number_rows
 from tessera.workspace import Workspace
 
 
-def mint(seen: DataFrame, entity: str, ws: Workspace) -> DataFrame:
+def mint(seen: DataFrame, entity: str, ws: Workspace, counted: Observation | None = None) -> DataFrame:
     """``seen(key, seq)`` -> ``(key, seq, internal_id)``: ids follow first sight.
 
     The keys are reduced to one row each before they are ordered. An empty key
-    is an error.
+    is an error. ``counted`` gets the number of ids as ``n``.
     """
     empty = F.coalesce("key", F.lit("")) == ""
     checked = F.when(empty, F.raise_error(F.lit(f"empty {entity} key"))).otherwise(F.col("key"))
     first = seen.groupBy(checked.alias("key")).agg(F.min("seq").alias("seq"))
-    numbered = number_rows(first, [F.col("seq"), F.col("key")], ws, f"mint_{entity}")
+    numbered = number_rows(first, [F.col("seq"), F.col("key")], ws, f"mint_{entity}", counted=counted)
     text = F.format_string(f"{ID_PREFIX[entity]}:%0{ID_WIDTH}d", F.col("position"))
     return numbered.select("key", "seq", text.alias("internal_id"))
 

@@ -185,6 +185,26 @@ def s18_run_report(s: Study) -> DataFrame:
     return s.spark.read.schema(kinds).json(f"{root}/_reports/checks")
 
 
+def _reported(s: Study, part: str) -> DataFrame:
+    """A part of the run report, written as JSON and read back."""
+    parts = {"stages": s.run_report.stages(), "counts": s.run_report.counts()}
+    root = s.ws.path("report")
+    files.write_report(parts, root)
+    return s.spark.read.schema(parts[part].schema).json(f"{root}/_reports/{part}")
+
+
+@query
+def s18_stages(s: Study) -> DataFrame:
+    """What every build read, wrote and refused, with its note."""
+    return _reported(s, "stages")
+
+
+@query
+def s18_counts(s: Study) -> DataFrame:
+    """Rows of every dataset and ids of every entity, as counted when they were written."""
+    return _reported(s, "counts")
+
+
 @query
 def s19_coverage(s: Study) -> DataFrame:
     """What builds when one source is missing, weighed by the rows the others hold."""

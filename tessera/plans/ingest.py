@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import build, registry
 from tessera.operators.conform import ledger
 from tessera.operators.quality import quality_checks, row_counts, verdict
+from tessera.plans import report
+from tessera.plans.report import RunReport
 from tessera.sources import files
 from tessera.workspace import Workspace
 
@@ -31,6 +33,7 @@ class Ingested:
     checks: DataFrame | None = None
     verdict: DataFrame | None = None
     counts: DataFrame | None = None
+    report: RunReport | None = None
     registries: dict[str, DataFrame] = field(default_factory=dict)
 
 
@@ -56,9 +59,10 @@ def build_all(
     builds = {t for t, ok, _ in plan if ok}
     made: dict[str, build.Built] = {}
 
+    lost_seeds, support_counts = None, Observation()
+
     def keep(name: str, b: build.Built) -> build.Built:
-        b.table = ws.store(f"in_{name}", b.table)
-        made[name] = b
+        made[name] = build.keep(b, f"in_{name}", ws)
         return b
 
     no_map = spark.createDataFrame([], "seq string, pubchem_cid string, chembl_id string")
@@ -71,7 +75,9 @@ def build_all(
     if "diseases" in builds:
         payloads = files.read_disease_payloads(spark, paths["diseases"], multiline)
         seeds = files.read_seeds(spark, paths["seeds"]) if "seeds" in paths else None
-        diseases = keep("diseases", build.build_diseases(files.payload_diseases(payloads), ws, seeds))
+        found = files.payload_diseases(payloads)
+        diseases = keep("diseases", build.build_diseases(found, ws, seeds))
+        lost_seeds = None if seeds is None else build.unresolved_seeds(seeds, found)
         genes = ws.store("in_genes", files.payload_genes(payloads))
         keep("disease_genes", build.build_disease_genes(genes, diseases.registry, ws, genes_per_disease))
     if "drug_targets" in builds:
@@ -82,16 +88,19 @@ def build_all(
     if "disease_pathways" in builds:
         genes = made["disease_genes"].table
         edges = build.gene_pathway_edges(files.read_gene_pathways(spark, paths["gene_pathways"]), genes)
-        support = ws.store("in_support", build.pathway_support(genes, edges))
+        support = ws.store("in_support", build.accounted(build.pathway_support(genes, edges), support_counts))
         titles = build.pathway_names(files.read_pathway_names(spark, paths["pathway_names"]))
         keep("disease_pathways", build.build_disease_pathways(support, titles, ws))
 
     tables = {t: made[t].table for t in files.NEEDS if t in made}
     seen = [o for b in made.values() for o in b.observations]
     lost = [r for b in made.values() for r in b.rejected]
-    report = spark.createDataFrame(plan, "table_name string, built boolean, note string")
-    result = Ingested(tables, registry.crosswalk(seen) if seen else None, ledger(lost, ws) if lost else None, report)
+    covered = spark.createDataFrame(plan, "table_name string, built boolean, note string")
+    result = Ingested(tables, registry.crosswalk(seen) if seen else None, ledger(lost, ws) if lost else None, covered)
     result.registries = {n: b.registry for n, b in made.items()}
+    stages = [*report.source_stages(ready), *report.build_stages(plan, made, support_counts)]
+    ids = {entity: made[name].ids for entity, name in report.ENTITIES.items() if name in made}
+    result.report = report.RunReport(spark, stages, {t: made[t] for t in tables}, ids, result.rejected, lost_seeds)
     if tables:
         result.identifiers = ws.store("in_identifiers", result.identifiers)
         result.counts = row_counts(tables)
@@ -100,8 +109,8 @@ def build_all(
         if out:
             files.write_tables({**tables, files.CROSSWALK: result.identifiers}, out)
             files.write_report(
-                {"coverage": report, "rejections": result.rejected, "checks": result.checks,
-                 "counts": result.counts, "verdict": result.verdict.withColumn("finished_at", F.current_timestamp())},
+                {"coverage": covered, "rejections": result.rejected, "checks": result.checks,
+                 "stages": result.report.stages(), "counts": result.report.counts(), "verdict": result.verdict.withColumn("finished_at", F.current_timestamp())},
                 out,
             )
     return result

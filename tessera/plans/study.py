@@ -10,7 +10,7 @@ import hashlib
 from collections.abc import Iterator, Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.constants import MODEL_COLUMNS
@@ -20,6 +20,7 @@ from tessera.operators import (
     features,
     fusion,
     graph,
+    guards,
     model,
     narrative,
     ranking,
@@ -28,6 +29,8 @@ from tessera.operators import (
 )
 from tessera.operators.candidates import Bridge
 from tessera.operators.conform import ledger
+from tessera.plans import report
+from tessera.sources import files
 from tessera.sources.given import GivenTables
 from tessera.workspace import Workspace
 
@@ -137,7 +140,12 @@ class Study:
     def support(self) -> DataFrame:
         genes = self.built_genes.table
         edges = build.gene_pathway_edges(self.raw["raw_gene_pathways"], genes)
-        return self.ws.store("pathway_support", build.pathway_support(genes, edges))
+        support = build.accounted(build.pathway_support(genes, edges), self.support_counts)
+        return self.ws.store("pathway_support", support)
+
+    @cached_property
+    def support_counts(self) -> Observation:
+        return Observation()
 
     @cached_property
     def built_pathways(self) -> build.Built:
@@ -145,8 +153,7 @@ class Study:
         return self._keep("disease_pathways", build.build_disease_pathways(self.support, names, self.ws))
 
     def _keep(self, name: str, b: build.Built) -> build.Built:
-        b.table = self.ws.store(name, b.table)
-        return b
+        return build.keep(b, name, self.ws)
 
     @cached_property
     def tables(self) -> "Tables":
@@ -161,20 +168,33 @@ class Study:
 
     @cached_property
     def registries(self) -> dict[str, DataFrame]:
-        return {
-            "drug": self.built_drugs.registry,
-            "side_effect": self.built_side_effects.registry,
-            "disease": self.built_diseases.registry,
-            "gene": self.built_genes.registry,
-            "target": self.built_targets.registry,
-            "pathway": self.built_pathways.registry,
-        }
+        return {entity: b.registry for entity, b in self._minted.items()}
 
     @cached_property
     def identifiers(self) -> DataFrame:
         seen = [o for b in self.built for o in b.observations]
         return self.ws.store("identifiers", registry.crosswalk(seen))
 
+    @cached_property
+    def run_report(self) -> report.RunReport:
+        """What the builds read, wrote and lost; the counts came with the writes."""
+        built = {name: getattr(self, Tables._BUILT[name]) for name in self.tables}
+        seeds = build.unresolved_seeds(self.raw["raw_seeds"], self.raw["raw_diseases"])
+        stages = report.build_stages(files.coverage(list(report.LICENCES)), built, self.support_counts)
+        made = {e: b.ids for e, b in self._minted.items()}
+        return report.RunReport(self.spark, stages, built, made, self.ledger, seeds)
+
+    @property
+    def _minted(self) -> dict[str, build.Built]:
+        return {
+            "drug": self.built_drugs,
+            "side_effect": self.built_side_effects,
+            "disease": self.built_diseases,
+            "gene": self.built_genes,
+            "target": self.built_targets,
+            "pathway": self.built_pathways,
+        }
+
     @cached_property
     def rejections(self) -> list[DataFrame]:
         return [r for b in self.built for r in b.rejected]
@@ -377,7 +397,8 @@ class Study:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self.ws.store("edges", graph.first_seen(graph.edges(*self._graph_inputs)))
+        edges = graph.first_seen(graph.edges(*self._graph_inputs))
+        return self.ws.store("edges", guards.attached(edges, self.nodes))
 
     # --- resolution -------------------------------------------------------------------------
     @cached_property
