@@ -12,7 +12,7 @@ members that end in different components are then compared with each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from itertools import combinations
 from math import comb
@@ -202,7 +202,7 @@ class Order:
         self.shared, self.frequent, self.boundary = shared, frequent, boundary
 
     @classmethod
-    def of(cls, rows: list, range_bits: int) -> "Order":
+    def of(cls, rows: Iterable, range_bits: int) -> "Order":
         size = 1 << (SKETCH_BITS - range_bits - 3)
         shared = np.zeros(1 << (SKETCH_BITS - 3), np.uint8)
         frequent = np.zeros_like(shared)
@@ -396,9 +396,8 @@ def classes(docs: DataFrame, ws: Workspace, key: str = "doc_id", text: str = "te
         F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")
     )
     range_bits = max(12, int(np.ceil(np.log2(max(1, docs.count()) * 1000 / RANGE_SHINGLES))))
-    told = _sketched(_counted(rows, range_bits), range_bits).collect()
-    order = spark.sparkContext.broadcast(Order.of(told, range_bits))
-    del told
+    told = ws.store("sketch", _sketched(_counted(rows, range_bits), range_bits))
+    order = spark.sparkContext.broadcast(Order.of(told.toLocalIterator(), range_bits))
     keyed = ws.store("keyed", _keyed(rows, order))
     order.destroy()  # the written keys are all that later steps read
 

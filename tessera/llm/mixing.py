@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import words
@@ -70,42 +70,45 @@ def raked(
     gets the share 0; a value whose cells have no tokens cannot get any, and targets that
     contradict each other leave a deviation above ``tolerance``.
     Every round is written, which cuts the lineage, and its deviation comes with the write,
-    by ``observe``. A round joins by sorting, as broadcasts would stay with the driver round
-    after round, and in as many partitions as the number of cells asks for: up to
-    ``CELLS_PER_TASK`` cells it is one task without a shuffle.
+    by ``observe``. Up to ``CELLS_PER_TASK`` cells a round is one task, a window for each
+    dimension; more cells are summed by value first, so that those of a frequent value
+    never meet in one task. Both give the same weights.
     """
     start = cells.agg(F.sum("tokens").cast("double").alias("_all"))
     share = F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0)
     counted = Observation()
     table = cells.join(F.broadcast(start)).withColumn("weight", share).drop("_all")  # one row
+    for dim, t in targets.items():
+        named = t.select(F.col("value").alias(dim), F.col("share").cast("double").alias(f"_share_{dim}"))
+        table = table.join(named, dim, "left").fillna(0.0, [f"_share_{dim}"])
     table = ws.store("cells", table.observe(counted, F.count(F.lit(1)).alias("n")))
     tasks = 1 + counted.get["n"] // CELLS_PER_TASK
-    wanted = {
-        dim: ws.store(f"wanted_{dim}", t.select(F.col("value").alias(dim), F.col("share").cast("double").alias("_share")))
-        for dim, t in targets.items()
-    }
+    table = table.coalesce(tasks)
     worst = None
     for _ in range(rounds):
         before = worst
-        table, off = table.coalesce(tasks), []
-        for dim, named in wanted.items():
-            sums = table.groupBy(dim).agg(F.sum("weight").alias("_sum"))
-            to = F.coalesce("_share", F.lit(0.0))
-            factors = sums.join(named.coalesce(tasks).hint("merge"), dim, "left").select(
-                dim,
-                F.abs(to - F.col("_sum")).alias(f"_off_{dim}"),
-                F.when(F.col("_sum") > 0, to / F.col("_sum")).otherwise(0.0).alias("_factor"),
-            )
-            table = table.join(factors.hint("merge"), dim).withColumn("weight", F.col("weight") * F.col("_factor"))
-            table = table.drop("_factor")
+        off = []
+        for dim in targets:
+            table = _with_sums(table, dim, tasks)
+            to, have = F.col(f"_share_{dim}"), F.col("_sum")
+            factor = F.when(have > 0, to / have).otherwise(0.0)
+            table = table.withColumns({f"_off_{dim}": F.abs(to - have), "weight": F.col("weight") * factor}).drop("_sum")
             off.append(F.max(f"_off_{dim}").alias(dim))
         seen = Observation()
-        table = table.observe(seen, *off).drop(*[f"_off_{d}" for d in wanted])
-        table = ws.store("raked", table)
+        table = table.observe(seen, *off).drop(*[f"_off_{d}" for d in targets])
+        table = ws.store("raked", table).coalesce(tasks)
         worst = max((o for o in seen.get.values() if o is not None), default=None)
         if worst is None or worst <= tolerance or (before is not None and worst > STALLED * before):
             break
-    return table.withColumn("deviation", F.lit(worst).cast("double"))
+    return table.drop(*[f"_share_{d}" for d in targets]).withColumn("deviation", F.lit(worst).cast("double"))
+
+
+def _with_sums(table: DataFrame, dim: str, tasks: int) -> DataFrame:
+    """``table`` with ``_sum``: the weight of all cells that share the row's value of ``dim``."""
+    if tasks == 1:
+        return table.withColumn("_sum", F.sum("weight").over(Window.partitionBy(dim)))
+    sums = table.groupBy(F.struct(dim).alias("_of")).agg(F.sum("weight").alias("_sum"))
+    return table.join(sums.select("_of.*", "_sum").hint("merge"), dim)
 
 
 def uniform(key: Column, seed: str = "mix") -> Column:

@@ -286,7 +286,7 @@ def test_jaccard_boundary_follows_cost():
 # --- 8 -----------------------------------------------------------------------------
 
 
-def test_mixing_meets_margins(spark, ws):
+def test_mixing_meets_margins(spark, ws, monkeypatch):
     rnd = random.Random(2)
     rows = [
         (i, "w " * rnd.randint(1, 400), rnd.choice(["en", "de"]), rnd.choice(["a", "a", "a", "b", None]))
@@ -303,6 +303,10 @@ def test_mixing_meets_margins(spark, ws):
     for d, shares in want.items():
         for v, share in shares.items():
             assert sum(r.weight for r in fitted if r[d] == v) == pytest.approx(share, abs=1e-6)
+    mixing_cells = {(r.source, r.lang, r.topic): r.weight for r in fitted}
+    monkeypatch.setattr(mixing, "CELLS_PER_TASK", 3)
+    for r in mixing.raked(cells, targets, ws).collect():
+        assert r.weight == pytest.approx(mixing_cells[r.source, r.lang, r.topic], abs=1e-9)
     drawn = mixing.mixed(df, ws, targets).collect()
     assert max(r.probability for r in drawn) == pytest.approx(1.0)
     expected = sum(r.probability for r in drawn)
