@@ -140,7 +140,7 @@ CTES["xrefs"] = f"""
 """
 CTES["identifiers"] = """
     select internal_id, entity_type, external_id, external_source,
-      first(name order by length(seq), seq, name) filter (where coalesce(name, '') <> '') as name, bool_or(is_primary) as is_primary
+      first(name order by try_cast(seq as bigint) nulls first, seq, name) filter (where coalesce(name, '') <> '') as name, bool_or(is_primary) as is_primary
     from xrefs where coalesce(external_id, '') <> '' group by internal_id, entity_type, external_id, external_source
 """
 

@@ -6,7 +6,7 @@ import re
 
 from oracles import rules as r
 from oracles.ctes import CTES, num, z
-from tessera.constants import COMPONENTS, MODEL_COLUMNS, RESPONSE_KEYS
+from tessera.constants import COMPONENTS, MODEL_COLUMNS, RESPONSE_KEYS, SNAPSHOT
 from tessera.plans.study import rule_coefficients
 
 # --- resolution --------------------------------------------------------------------------
@@ -379,9 +379,10 @@ FINAL: dict[str, str] = {
     "b11_gene_pathway_edges": "select * from edges_gp",
     "b12_disease_pathways": "select * from disease_pathways",
     "b13_dropped_groups": "select count(*) as n_candidate_pairs, count(*) filter (where gene_support_count < 3) as n_dropped, count(*) filter (where gene_support_count >= 3) as n_kept from support",
-    "b14_rejections": """select stage, reason, sum(n)::bigint as n_rejected, string_agg(example, ' ; ' order by l, s, example) filter (where place <= 5) as examples from (
-        select *, row_number() over (partition by stage, reason order by l, s, example) as place from (
-          select stage, reason, substr(coalesce(example, ''), 1, 200) as example, sum(n) as n, min({'l': length(seq), 's': seq}).l as l, min({'l': length(seq), 's': seq}).s as s from rejects group by 1, 2, 3)) group by 1, 2""",
+    "b14_rejections": """select stage, reason, sum(n)::bigint as n_rejected, string_agg(example, ' ; ' order by p, example) filter (where place <= 5) as examples from (
+        select *, row_number() over (partition by stage, reason order by p, example) as place from (
+          select stage, reason, substr(coalesce(example, ''), 1, 200) as example, sum(n) as n,
+            min(case when try_cast(seq as bigint) is null then '0' || seq else '1' || lpad(seq, 30, '0') end) as p from rejects group by 1, 2, 3)) group by 1, 2""",
     "b15_ingestion": """with landed_drugs as (select distinct cid from good_drugs where seq % 70 <> 0), landed_genes as (select * from gene_rows where ontology_id in (select ontology_id from raw_diseases where seq % 9 < 7)),
         landed_edges as (select distinct ensembl_id, reactome_id from raw_gene_pathways where length(pathway_name) % 2 = 1 and right(reactome_id, 1) <> '3')
         select 'drugs' as table_name, (select count(*) from landed_drugs) as n_rows
@@ -594,7 +595,35 @@ def sql(name: str) -> str:
 
 
 # facts about fitted models that hold whatever the fit is
+_PUBLISHED = "(select disease_id, count(*) as n, least(count(*), 10) as shown from features group by 1)"
+_METHODS = {
+    "gene_target": ("value = 0.5*min(matched_gene_target_count, 5)/5 + 0.5*fraction_of_drug_targets_matching_disease_genes",
+                    "Level 4 gene-target route (HGNC id join) + Level 5 overlap features"),
+    "pathway": ("value = 0.5*min(matched_pathway_count, 10)/10 + 0.5*fraction_of_drug_pathways_matching_disease_pathways",
+                "Level 2 disease pathways (derived:opentargets+reactome) ∩ Level 3 drug pathways (derived:chembl-targets+reactome) — direct Reactome id intersection"),
+    "ml": ("value = PredictionResult.model_output (already a [0,1] model output)",
+           "Level 6 ML prediction (GroupKFold-validated classifier over Level 5 features)"),
+}
 FINAL |= {
+    "m7_forest_facts": "select 400::bigint as n_trees, 0::bigint as n_small_leaves, 0::bigint as n_foreign_splits, 0::bigint as n_outside, 0::bigint as n_deep",
+    "m11_learned_checks": "select 2::bigint as n_models, 1::bigint as n_chosen, 0::bigint as n_better",
+    "m13_record_checks": "select (select count(*) from features) as n_rows, 0::bigint as n_different, count(*) as n_training_rows, sum(label)::bigint as n_positive, round(avg(label), 6) as prevalence, 2 as n_validated, 31 as n_columns, 42 as seed, true as chosen_is_stored from training",
+    "m18_learned_checks": "select 31::bigint as n_places, 31::bigint as n_columns, 0::bigint as n_out_of_order",
+    "r2_learned_checks": f"select disease_id, n as n_pairs, shown as n_published, shown as last_rank, 0::bigint as n_out_of_order, 0::bigint as n_unbalanced, shown as n_with_model from {_PUBLISHED}",
+    "p1_learned_checks": f"select query_id, status, greatest(coalesce(shown, 0), 1) as n_rows, coalesce(shown, 0) as n_ranked, shown as last_rank from resolved_diseases q left join {_PUBLISHED} p on p.disease_id = q.match_id",
+    "p2_learned_checks": f"select d.disease_id, coalesce(shown, 0) as candidates_ranked, coalesce(shown, 0) as n_with_ml_evidence from diseases d left join {_PUBLISHED} p on p.disease_id = d.disease_id",
+    "p4_learned_checks": f"select query_id, 6 * n as n_rows, 0::bigint as n_out_of_order, 0::bigint as n_wrong_direction from resolved_diseases q join {_PUBLISHED} p on p.disease_id = q.match_id where status = 'resolved'",
+    "e10_provenance": f"""select d.disease_id, d.source as disease_source, 'diseases,disease_genes,disease_pathways,identifiers' as datasets_used, 'opentargets' as gene_source,
+        200 as genes_capped_per_disease, coalesce(g.n, 0) >= 200 as genes_truncated, 'derived:opentargets+reactome' as pathway_source, 3 as pathway_min_gene_support, '{SNAPSHOT}' as snapshot_note
+        from diseases d left join (select disease_id, count(*) as n from disease_genes group by 1) g using (disease_id)""",
+    "e16_provenance": """select d.drug_id, coalesce(p.names, '') as proteins, case when p.names <> '' then 'reactome (UniProt2Reactome, human)' else 'not integrated' end as pathway_source,
+        'drugs,drug_side_effects,drug_targets,identifiers' as datasets_used, case when p.names <> '' then 'reactome' else '' end as optional_sources_used,
+        case when p.names <> '' then null else 'drug has no target with a UniProt accession' end as reactome_skipped
+        from drugs d left join (select drug_id, string_agg(uniprot_id, '|' order by pos) as names from (
+          select drug_id, uniprot_id, min(pos) as pos from (select *, row_number() over (partition by drug_id order by target_name nulls last, target_id) as pos from drug_targets) where coalesce(uniprot_id, '') <> '' group by 1, 2) group by 1) p using (drug_id)""",
+    "k4_methods": "select graph_id, id, case split_part(id, ':', -1) " + " ".join(f"when '{c}' then '{m}'" for c, (m, _) in _METHODS.items())
+    + " end as calculation_method, case split_part(id, ':', -1) " + " ".join(f"when '{c}' then '{p}'" for c, (_, p) in _METHODS.items())
+    + " end as provenance from nodes where type = 'evidence_component'",
     "m6_checks": "select count(*) as n_rows, sum(label)::bigint as n_positive, 0::bigint as n_outside, true as at_optimum from training",
     "m7_checks": "select count(*) as n_rows, sum(label)::bigint as n_positive, 0::bigint as n_outside from training",
     "m12_checks": "select m as model, count(*) as n_rows, 0::bigint as n_repeated from training, (values ('logistic_regression'), ('random_forest')) v(m) group by m",

@@ -28,8 +28,16 @@ SCORE_TOLERANCE = 0.05
 DEAD_BAND = 1e-6
 ZERO_STD = 1e-9
 CV_FOLDS = 5
+TREES = 400
+MAX_DEPTH = 6
+LEAF_ROWS = 10
+MAX_ITERATIONS = 2000
 SEED = 42
 HUMAN = "Homo sapiens"
+SNAPSHOT = (
+    "SIDER 4.1 (2015-10) static release; ChEMBL current REST release; "
+    "Open Targets Platform current GraphQL API; Reactome current release."
+)
 
 # --- fixed values: table contracts (column order, required, keys) -------------
 # name -> [(column, type, required)]

@@ -14,7 +14,7 @@ from tessera.constants import (
     TABLES,
     UNIT_RANGE,
 )
-from tessera.operators.ordering import first_per_key, top_per_group
+from tessera.operators.ordering import first_per_key, row_place, top_per_group
 from tessera.workspace import Workspace
 
 
@@ -109,7 +109,7 @@ def ledger(parts: list[DataFrame], ws: Workspace) -> DataFrame:
     seen = (
         reduce(DataFrame.unionByName, parts)
         .groupBy("stage", "reason", "example")
-        .agg(F.sum("n").alias("n"), F.min(F.struct(F.length("seq").alias("l"), F.col("seq"))).alias("at"))
+        .agg(F.sum("n").alias("n"), F.min(row_place(F.col("seq"))).alias("at"))
     )
     seen = ws.store("rejections", seen)
     counts = seen.groupBy("stage", "reason").agg(F.sum("n").alias("n_rejected"))

@@ -42,6 +42,31 @@ def with_scheme(rows: DataFrame, scheme: dict | None = None, schemes: DataFrame
     return dealt.join(copies, "_part").select(*rows.columns, *schemes.columns)
 
 
+# fixed values: where each component comes from, and how its value is worked out
+GENE_FAMILY = "Level 4 gene-target route (HGNC id join) + Level 5 overlap features"
+PATHWAY_FAMILY = (
+    "Level 2 disease pathways (derived:opentargets+reactome) ∩ Level 3 drug "
+    "pathways (derived:chembl-targets+reactome) — direct Reactome id intersection"
+)
+MODEL_FAMILY = "Level 6 ML prediction (GroupKFold-validated classifier over Level 5 features)"
+FAMILIES = {"gene_target": GENE_FAMILY, "pathway": PATHWAY_FAMILY, "ml": MODEL_FAMILY}
+MODEL_METHOD = "value = PredictionResult.model_output (already a [0,1] model output)"
+
+
+def calculation_method(name: str) -> Column:
+    """The formula of a component under the row's scheme."""
+    if name == "ml":
+        return F.lit(MODEL_METHOD)
+    part = "targets" if name == "gene_target" else "pathways"
+    whole = "disease_genes" if name == "gene_target" else "disease_pathways"
+    count, cap = f"matched_{name}_count", F.col(f"{name}_cap").cast("string")
+    return F.concat(
+        F.lit("value = "), F.col("count_share").cast("double").cast("string"), F.lit(f"*min({count}, "), cap, F.lit(")/"), cap,
+        F.lit(" + "), F.col("specificity_share").cast("double").cast("string"),
+        F.lit(f"*fraction_of_drug_{part}_matching_{whole}"),
+    )
+
+
 # --- components ----------------------------------------------------------------------
 def _gene_reason() -> Column:
     return (
@@ -192,6 +217,8 @@ def components(fused: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 F.col(f"{c}_effective_weight").alias("effective_weight"),
                 F.col(f"{c}_points").alias("contribution_points"),
                 F.col(f"{c}_reason").alias("unavailable_reason"),
+                calculation_method(c).alias("calculation_method"),
+                F.lit(FAMILIES[c]).alias("provenance"),
                 supporting(c).alias("supporting"),
             )
             for i, c in enumerate(_LABELS)

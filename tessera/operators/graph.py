@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.constants import COMPONENTS, NODE_ORDER, VISIBLE_PER_TYPE
 from tessera.functions.texts import fixed
 from tessera.operators.candidates import PAIR
-from tessera.operators.fusion import components
+from tessera.operators.fusion import GENE_FAMILY, MODEL_FAMILY, PATHWAY_FAMILY, components
 from tessera.operators.ordering import first_per_key, top_per_group
 from tessera.workspace import Workspace
 
@@ -21,12 +21,6 @@ BRIDGE_TEXT = (
     "drug target uniprot -> hgnc_id ; overlap on hgnc_id (Level 4)"
 )
 DRUG_PATHWAY_SOURCE = "derived:chembl-targets+reactome"
-GENE_FAMILY = "Level 4 gene-target route (HGNC id join) + Level 5 overlap features"
-PATHWAY_FAMILY = (
-    "Level 2 disease pathways (derived:opentargets+reactome) ∩ Level 3 drug "
-    "pathways (derived:chembl-targets+reactome) — direct Reactome id intersection"
-)
-MODEL_FAMILY = "Level 6 ML prediction (GroupKFold-validated classifier over Level 5 features)"
 SCORE_TEXT = "Phase 7 evidence fusion (UNCHANGED here)"
 RANK_TEXT = "Phase 8 candidate ranking (UNCHANGED here)"
 EXPLANATION_TEXT = "Phase 9 AI explanation (narration only, not re-derived here)"
@@ -129,7 +123,7 @@ def nodes(
             F.concat("component", F.lit(" evidence")),
             F.struct(
                 F.col("component").alias("name"), "value", "configured_weight", "effective_weight",
-                "contribution_points", "supporting",
+                "contribution_points", "calculation_method", "provenance", "supporting",
             ),
             F.col("component_order"),
         )

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import heapq
 import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
@@ -20,14 +23,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.constants import CV_FOLDS, MODEL_COLUMNS, SEED, TOP_FEATURES, ZERO_STD
+from tessera.constants import (
+    CV_FOLDS, LEAF_ROWS, MAX_DEPTH, MAX_ITERATIONS, MODEL_COLUMNS, SEED, TOP_FEATURES, TREES, ZERO_STD,
+)
 from tessera.functions.numbers import direction, logistic, tidy
 from tessera.operators.candidates import PAIR
-from tessera.workspace import Workspace
+from tessera.workspace import Workspace, shared_folder
 
 MODELS = ["logistic_regression", "random_forest"]
 METRICS = ["roc_auc", "pr_auc", "precision", "recall", "f1"]
 MODEL_VERSION = "1.0.0"
+#: Fits of the validation that run side by side.
+FITS_AT_ONCE = 4
 
 
 class NotTrained(RuntimeError):
@@ -226,8 +233,16 @@ def _vector(rows: DataFrame, name: str, stats: Stats) -> DataFrame:
     return VectorAssembler(inputCols=MODEL_COLUMNS, outputCol="features").transform(matrix(rows))
 
 
+def _detached(fitted, spark: SparkSession):
+    """The model as read back from its files. A fresh fit holds its training rows and through them
+    the session, which its tasks would then have to carry along."""
+    path = f"{shared_folder(spark)}/tessera/{spark.sparkContext.applicationId}-models/{uuid.uuid4().hex}"
+    fitted.write().save(path)
+    return type(fitted).load(path)
+
+
 def fit(
-    rows: DataFrame, name: str, trees: int = 400, counts: dict | None = None, with_stats: bool = True
+    rows: DataFrame, name: str, trees: int = TREES, counts: dict | None = None, with_stats: bool = True
 ) -> Fitted:
     """Fit one classifier. ``counts`` are the training counts when they are known already;
     the forest needs the column statistics for its record only."""
@@ -236,20 +251,21 @@ def fit(
     train = _vector(_weighted(rows, s), name, stats).select("features", "label", "weight").persist()
     if name == "logistic_regression":
         est = LogisticRegression(
-            weightCol="weight", maxIter=2000, elasticNetParam=0.0, regParam=1.0 / s["n_rows"],
+            weightCol="weight", maxIter=MAX_ITERATIONS, elasticNetParam=0.0, regParam=1.0 / s["n_rows"],
             standardization=False, tol=1e-6,
         )
     else:
         est = RandomForestClassifier(
-            numTrees=trees, maxDepth=6, minInstancesPerNode=10, featureSubsetStrategy="sqrt",
+            numTrees=trees, maxDepth=MAX_DEPTH, minInstancesPerNode=LEAF_ROWS, featureSubsetStrategy="sqrt",
             weightCol="weight", seed=SEED, maxMemoryInMB=1024, maxBins=MAX_BINS,
         )
-    fitted = est.fit(train)
+    fitted = _detached(est.fit(train), rows.sparkSession)
     train.unpersist()
     return Fitted(name, fitted, stats, s)
 
 
 def save(fitted: Fitted, path: str, spark: SparkSession) -> None:
+    """The model and its record: how it was validated and chosen, on what, with which columns."""
     fitted.model.write().overwrite().save(f"{path}/model")
     meta = {
         **fitted.metadata, "model_name": fitted.name, "model_version": MODEL_VERSION,
@@ -302,7 +318,7 @@ def linear_score(rows: DataFrame, coefficients: list[float], intercept: float, s
 
 # --- attribution: forest ---------------------------------------------------------------------------
 def forest_nodes(f: Fitted, ws: Workspace) -> DataFrame:
-    """(tree, id, feature, threshold, left, right, rate) from the stored node table."""
+    """(tree, id, feature, threshold, left, right, rate, rows) from the stored node table."""
     path = ws.path("forest_export")
     f.model.write().overwrite().save(path)
     data = ws.spark.read.parquet(f"{path}/data")
@@ -317,7 +333,28 @@ def forest_nodes(f: Fitted, ws: Workspace) -> DataFrame:
         F.col(f"{n}.leftChild").alias("left"),
         F.col(f"{n}.rightChild").alias("right"),
         F.when(total > 0, stats[1] / total).otherwise(0.0).alias("rate"),
+        F.col(f"{n}.rawCount").alias("rows"),
+    )
+
+
+def forest_facts(f: Fitted, ws: Workspace) -> DataFrame:
+    """What any forest fitted with these settings must show: its trees, leaves that hold too few
+    rows, nodes below the depth limit, and splits on columns that do not exist. The node table has
+    at most trees * 2^(depth+1) rows."""
+    data = ws.store("forest_nodes", forest_nodes(f, ws))
+    level = data.filter("id = 0").select("tree", "id", "left", "right")
+    for _ in range(MAX_DEPTH):
+        down = level.filter("left >= 0").select("tree", F.explode(F.array("left", "right")).alias("id"))
+        level = data.select("tree", "id", "left", "right").join(down, ["tree", "id"])
+    deep = level.agg(F.count_if(F.col("left") >= 0).alias("n_deep"))
+    leaf, split = F.col("left") < 0, F.col("left") >= 0
+    facts = data.agg(
+        F.count_distinct("tree").alias("n_trees"),
+        F.count_if(leaf & (F.col("id") > 0) & (F.col("rows") < LEAF_ROWS)).alias("n_small_leaves"),
+        F.count_if(split & ~F.col("feature").between(0, len(MODEL_COLUMNS) - 1)).alias("n_foreign_splits"),
+        F.count_if(~F.col("rate").between(0, 1)).alias("n_outside"),
     )
+    return facts.join(F.broadcast(deep))  # one row each
 
 
 def _tree_arrays(nodes: pd.DataFrame) -> list[dict[str, np.ndarray]]:
@@ -411,26 +448,32 @@ def global_importance(f: Fitted, spark: SparkSession) -> DataFrame:
 
 
 # --- cross validation -----------------------------------------------------------------------------------
-def cross_validate(rows: DataFrame, ws: Workspace, models: list[str] = MODELS, trees: int = 400) -> DataFrame:
+def cross_validate(
+    rows: DataFrame, ws: Workspace, models: list[str] = MODELS, trees: int = TREES, at_once: int = FITS_AT_ONCE
+) -> DataFrame:
     """Out-of-fold scores of every model: (model, fold, disease_id, drug_id, label, score).
 
-    Folds whose training part has one class are skipped."""
+    Folds whose training part has one class are skipped. Fits are independent jobs; ``at_once``
+    of them share the cluster, so that one's small stages fill the gaps of another."""
     by_fold = ws.store("cv_rows", rows.join(folds(rows), "disease_id"))
     counts = by_fold.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p")).collect()
     n, p = sum(r["n"] for r in counts), sum(r["p"] for r in counts)
-    parts = []
-    for r in sorted(counts, key=lambda c: c["fold"]):
-        if (p - r["p"]) in (0, n - r["n"]):
-            continue
-        train, test = by_fold.filter(F.col("fold") != r["fold"]), by_fold.filter(F.col("fold") == r["fold"])
-        for name in models:
-            known = {"n_rows": n - r["n"], "n_positive": p - r["p"]}
-            scored = score(test, fit(train, name, trees, known, with_stats=False)).select(
-                F.lit(name).alias("model"), "fold", *PAIR, "label", F.col("model_output").alias("score")
-            )
-            parts.append(ws.store(f"cv_{name}_{r['fold']}", scored))
-    if not parts:
+    usable = [r for r in sorted(counts, key=lambda c: c["fold"]) if (p - r["p"]) not in (0, n - r["n"])]
+    if not usable:
         raise ValueError("no fold leaves both classes to train on")
+
+    def held_out(job: tuple) -> DataFrame:
+        r, name = job
+        train, test = by_fold.filter(F.col("fold") != r["fold"]), by_fold.filter(F.col("fold") == r["fold"])
+        known = {"n_rows": n - r["n"], "n_positive": p - r["p"]}
+        scored = score(test, fit(train, name, trees, known, with_stats=False)).select(
+            F.lit(name).alias("model"), "fold", *PAIR, "label", F.col("model_output").alias("score")
+        )
+        return ws.store(f"cv_{name}_{r['fold']}", scored)
+
+    jobs = [(r, name) for r in usable for name in models]
+    with ThreadPool(min(at_once, len(jobs))) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(held_out), jobs)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -438,7 +481,7 @@ def cross_validate(rows: DataFrame, ws: Workspace, models: list[str] = MODELS, t
 
 
 # --- the trained model, end to end ------------------------------------------------------------------------
-def train(rows: DataFrame, ws: Workspace, trees: int = 400, scores: DataFrame | None = None) -> Fitted:
+def train(rows: DataFrame, ws: Workspace, trees: int = TREES, scores: DataFrame | None = None) -> Fitted:
     """Validate both classifiers on whole diseases, choose one, fit it on all rows. ``scores``
     are out-of-fold scores if they are known. The record tells how it was chosen."""
     counts = guard(rows)

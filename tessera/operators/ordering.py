@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from tessera.workspace import Workspace
 
 
+def row_place(seq: Column) -> Column:
+    """Where a row came, as one sortable value: numbers by size, texts (file, block, line) as
+    they are. It is the order in which ids are minted from the same column."""
+    text = seq.cast("string")
+    return F.struct(text.try_cast("bigint").alias("number"), text.alias("text"))
+
+
 def number_rows(
     df: DataFrame,
     order: Sequence[Column],
@@ -91,9 +98,11 @@ def first_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column]) ->
 def split_join(left: DataFrame, right: DataFrame, key: str, pairs_per_part: int = 1_000_000) -> DataFrame:
     """Inner join whose output per task is bounded, however often a key occurs.
 
-    A key with more than ``pairs_per_part`` pairs is cut into parts: the side that has more
-    rows of it is dealt out over the parts, the other one is copied to each. The number of
-    partitions is fixed, as small inputs with a large product would be put together again.
+    Keys with more than ``pairs_per_part`` pairs are hot. They are cut into parts: the side that
+    has more rows of a key is dealt out over its parts row by row, the other one is copied to each;
+    the number of partitions is fixed there, as small inputs with a large product would be
+    put together again. All other keys meet in a plain join, which Spark may broadcast or
+    coalesce. Without hot keys only the counts and that join are left of the plan.
     """
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
@@ -101,15 +110,15 @@ def split_join(left: DataFrame, right: DataFrame, key: str, pairs_per_part: int
     parts = F.ceil(F.col("_nl") * F.col("_nr") / pairs_per_part).cast("int")
     hot = sizes.select(key, parts.alias("_parts"), (F.col("_nl") <= F.col("_nr")).alias("_copy_left"))
     hot = hot.filter("_parts > 1")
+    cold = lambda df: df.join(hot.select(key), key, "left_anti")
 
     def dealt(df: DataFrame, copied: Column) -> DataFrame:
-        own = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_parts")).cast("int")
-        places = (
-            F.when(F.col("_parts").isNull(), F.array(F.lit(0)))
-            .when(copied, F.sequence(F.lit(0), F.col("_parts") - 1))
-            .otherwise(F.array(own))
-        )
-        cut = df.join(hot, key, "left").withColumn("_part", F.explode(places)).drop("_parts", "_copy_left")
+        # by place, not by content, so that equal rows are dealt out too
+        own = F.pmod(F.col("_row"), F.col("_parts")).cast("int")
+        places = F.when(copied, F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(own))
+        cut = df.withColumn("_row", F.monotonically_increasing_id()).join(hot, key)
+        cut = cut.withColumn("_part", F.explode(places)).drop("_row", "_parts", "_copy_left")
         return cut.repartition(n, key, "_part")
 
-    return dealt(left, F.col("_copy_left")).join(dealt(right, ~F.col("_copy_left")), [key, "_part"]).drop("_part")
+    met = dealt(left, F.col("_copy_left")).join(dealt(right, ~F.col("_copy_left")), [key, "_part"]).drop("_part")
+    return cold(left).join(cold(right), key).unionByName(met)

@@ -10,6 +10,7 @@ from tessera.constants import (
     MIN_PATHWAY_GENES,
     PROFILE_PATHWAY_CAP,
     PROFILE_TOP,
+    SNAPSHOT,
     SUMMARY_PATHWAYS,
     SUMMARY_TOP,
 )
@@ -181,6 +182,71 @@ def context_availability(
     return out.withColumns({"pathway_context_available": looked_up, "unavailable_reason": reason})
 
 
+# --- provenance ---------------------------------------------------------------------------
+# fixed values: sources named in a profile
+DISEASE_DATASETS = ["diseases", "disease_genes", "disease_pathways", "identifiers"]
+DRUG_DATASETS = ["drugs", "drug_side_effects", "drug_targets", "identifiers"]
+DERIVED_PATHWAYS = "derived:opentargets+reactome"
+REACTOME = "reactome (UniProt2Reactome, human)"
+SCORE_MEANING = (
+    "overall association score of the gene with the disease in [0,1]; it says neither that the gene "
+    "causes the disease nor that acting on it helps"
+)
+PATHWAY_MEANING = (
+    "derived, not curated: pathways that hold enough of the disease's genes; the score is the mean "
+    "of those genes' scores"
+)
+DRUG_PATHWAY_MEANING = (
+    "derived, not curated: pathways of the proteins that the drug's targets name; the count is the "
+    "number of targets in the pathway"
+)
+TARGET_COVERAGE = "curated mechanisms of action only; a drug without a row here may still have targets"
+NOT_USED = {
+    "pubchem": "the drugs carry its ids; its chemical descriptors have no use here",
+    "uniprot": "the targets carry its accessions; nothing else of it is used",
+}
+
+
+def _texts(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def disease_provenance(genes_per_disease: int | None = None) -> Column:
+    """Where a disease profile comes from, over its ``source`` and ``genes_truncated``."""
+    return F.struct(
+        F.coalesce(F.nullif("source", F.lit("")), F.lit("opentargets")).alias("disease_source"),
+        _texts(DISEASE_DATASETS).alias("datasets_used"),
+        F.lit("opentargets").alias("gene_source"),
+        F.lit(SCORE_MEANING).alias("gene_score_semantics"),
+        F.lit(genes_per_disease or GENES_PER_DISEASE).alias("genes_capped_per_disease"),
+        "genes_truncated",
+        F.lit(DERIVED_PATHWAYS).alias("pathway_source"),
+        F.lit(PATHWAY_MEANING).alias("pathway_derivation"),
+        F.lit(MIN_PATHWAY_GENES).alias("pathway_min_gene_support"),
+        F.lit(SNAPSHOT).alias("snapshot_note"),
+    )
+
+
+def drug_provenance() -> Column:
+    """Where a drug profile comes from; optional sources are named as used or as skipped and why."""
+    used = F.coalesce("pathway_context_available", F.lit(False))
+    skipped = F.create_map(*[F.lit(x) for pair in NOT_USED.items() for x in pair])
+    lacking = F.create_map(F.lit("reactome"), F.coalesce("unavailable_reason", F.lit("not available in this run")))
+    return F.struct(
+        F.lit("sider (Level 1 drugs); PubChem CID + ChEMBL id crosswalk").alias("identity_source"),
+        F.lit("sider (SIDER 4.1, MedDRA preferred terms)").alias("side_effect_source"),
+        F.lit("chembl (mechanism of action)").alias("target_source"),
+        F.lit("chembl (action_type + target_name from drug_targets)").alias("mechanism_source"),
+        F.lit(TARGET_COVERAGE).alias("target_coverage_note"),
+        F.when(used, REACTOME).otherwise("not integrated").alias("pathway_source"),
+        F.lit(DRUG_PATHWAY_MEANING).alias("pathway_derivation"),
+        _texts(DRUG_DATASETS).alias("datasets_used"),
+        F.when(used, _texts(["reactome"])).otherwise(F.array().cast("array<string>")).alias("optional_sources_used"),
+        F.when(used, skipped).otherwise(F.map_concat(skipped, lacking)).alias("optional_sources_skipped"),
+        F.lit(SNAPSHOT).alias("snapshot_note"),
+    )
+
+
 # --- nested profiles ----------------------------------------------------------------------
 def disease_profiles(
     diseases: DataFrame, genes: DataFrame, pathways: DataFrame, identifiers: DataFrame,
@@ -221,7 +287,7 @@ def disease_profiles(
     out = diseases
     for part in parts:
         out = out.join(part, "disease_id", "left")
-    return out
+    return out.withColumn("provenance", disease_provenance(genes_per_disease))
 
 
 def drug_profiles(
@@ -267,6 +333,11 @@ def drug_profiles(
     out = drugs
     for part in parts:
         out = out.join(part, "drug_id", "left")
+    # in the order of the targets, each protein where it is first named
+    proteins = F.array_distinct(F.filter(F.transform("targets", lambda x: x["uniprot_id"]), lambda u: F.coalesce(u, F.lit("")) != ""))
+    out = out.withColumns(
+        {"proteins": F.coalesce(proteins, F.array().cast("array<string>")), "provenance": drug_provenance()}
+    )
     return out.fillna(0, ["side_effect_count", "target_count"])
 
 

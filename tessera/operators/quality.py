@@ -1,10 +1,11 @@
-"""Cross-table checks. Each check is one aggregate; the report is a long table."""
+"""Cross-table checks, each as a small query of its own, and all of them in one pass per table."""
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import CORE_TABLES, FOREIGN_KEY, NULL_WARN_FRACTION, PRIMARY_KEY, TABLES
@@ -86,48 +87,75 @@ def core_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(parts)
 
 
-def quality_checks(tables: dict[str, DataFrame]) -> DataFrame:
-    """(check_name, severity, passed, detail) for all five families."""
-    table, column = F.col("table_name"), F.col("column_name")
-    bad_ids = required_ids(tables).groupBy("table_name").agg(F.sum("n_bad").alias("n"))
-    parts = [
-        bad_ids.select(
-            F.concat(table, F.lit(": required ids populated")).alias("check_name"),
-            F.lit("error").alias("severity"),
-            (F.col("n") == 0).alias("passed"),
-            F.when(F.col("n") == 0, "").otherwise(F.concat(F.lit("nulls/empties: "), F.col("n"))).alias("detail"),
-        ),
-        duplicate_rows(tables).select(
-            F.concat(table, F.lit(": unique primary key")).alias("check_name"),
-            F.lit("error").alias("severity"),
-            (F.col("n_duplicate") == 0).alias("passed"),
-            F.when(F.col("n_duplicate") == 0, "")
-            .otherwise(F.concat(F.col("n_duplicate"), F.lit(" duplicate rows")))
-            .alias("detail"),
-        ),
-        orphans(tables).select(
-            F.concat(table, F.lit("."), column, F.lit(" -> "), F.col("parent")).alias("check_name"),
-            F.lit("error").alias("severity"),
-            (F.coalesce("n_orphan", F.lit(-1)) == 0).alias("passed"),
-            F.when(F.col("n_orphan").isNull(), F.concat(F.col("parent"), F.lit(" table missing")))
-            .when(F.col("n_orphan") == 0, "")
-            .otherwise(F.concat(F.col("n_orphan"), F.lit(" orphan rows")))
-            .alias("detail"),
-        ),
-        null_levels(tables).select(
-            F.concat(table, F.lit("."), column, F.lit(": missing-value level")).alias("check_name"),
-            F.lit("warning").alias("severity"),
-            F.lit(False).alias("passed"),
-            F.concat(F.round(F.col("null_fraction") * 100).cast("int"), F.lit("% null")).alias("detail"),
-        ),
-        core_tables(tables).select(
-            F.concat(table, F.lit(": non-empty")).alias("check_name"),
-            F.lit("warning").alias("severity"),
-            F.col("non_empty").alias("passed"),
-            F.when(F.col("non_empty"), "").otherwise("0 rows").alias("detail"),
-        ),
+def table_facts(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """One row with all that the checks ask of a table, from one scan: rows, rows without each
+    key, surplus rows of a key, orphan rows, and nulls of each other column.
+
+    Rows are grouped by key first, so repeats are counted there; the groups are summed
+    by parent, and only those sums meet the parent's keys. Orphans are null where the
+    parent table is missing.
+    """
+    df, keys = tables[name], PRIMARY_KEY[name]
+    columns = [c for c in df.columns if c not in keys]
+    grouped = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in columns]
+    )
+    bad = {k: F.sum(F.when(F.coalesce(k, F.lit("")) == "", F.col("n")).otherwise(0)) for k in keys}
+    sums = [
+        F.sum("n").alias("n_rows"),
+        F.sum(F.col("n") - 1).alias("n_duplicate"),
+        *[c.alias(f"bad {k}") for k, c in bad.items()],
+        *[F.sum(f"null {c}").alias(f"null {c}") for c in columns],
     ]
-    return _union(parts)
+    column, parent = FOREIGN_KEY.get(name, (None, None))
+    if column is None or parent not in tables:
+        return grouped.agg(*sums).withColumn("n_orphan", F.lit(None).cast("long"))
+    by_parent = grouped.groupBy(column).agg(*sums)
+    known = tables[parent].select(F.col(PRIMARY_KEY[parent][0]).alias(column)).distinct()
+    met = by_parent.join(known.withColumn("_known", F.lit(True)), column, "left")
+    totals = [F.sum(c).alias(c) for c in by_parent.columns if c != column]
+    lost = F.sum(F.when(F.col("_known").isNull(), F.col("n_rows")).otherwise(0))
+    return met.agg(*totals, F.coalesce(lost, F.lit(0)).alias("n_orphan"))
+
+
+def _check(name: Column, severity: str, passed: Column, detail: Column) -> Column:
+    return F.struct(
+        name.alias("check_name"), F.lit(severity).alias("severity"), passed.alias("passed"),
+        F.when(passed, "").otherwise(detail).alias("detail"),
+    )
+
+
+def _checks_of(name: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The checks of one table, unfolded from its row of facts."""
+    columns = [c for c in tables[name].columns if c not in PRIMARY_KEY[name]]
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    missing = reduce(add, [n(f"bad {k}") for k in PRIMARY_KEY[name]])
+    # fixed values: names and details of the checks
+    checks = [
+        _check(F.lit(f"{name}: required ids populated"), "error", missing == 0, F.concat(F.lit("nulls/empties: "), missing)),
+        _check(
+            F.lit(f"{name}: unique primary key"), "error", n("n_duplicate") == 0,
+            F.concat(n("n_duplicate"), F.lit(" duplicate rows")),
+        ),
+    ]
+    if name in FOREIGN_KEY:
+        column, parent = FOREIGN_KEY[name]
+        lost = F.coalesce(F.concat(F.col("n_orphan"), F.lit(" orphan rows")), F.lit(f"{parent} table missing"))
+        found = F.coalesce(F.col("n_orphan") == 0, F.lit(False))
+        checks.append(_check(F.lit(f"{name}.{column} -> {parent}"), "error", found, lost))
+    if name in CORE_TABLES:
+        checks.append(_check(F.lit(f"{name}: non-empty"), "warning", n("n_rows") > 0, F.lit("0 rows")))
+    for c in columns:
+        share = F.col(f"null {c}") / F.nullif("n_rows", F.lit(0))
+        told = F.concat(F.round(share * 100).cast("int"), F.lit("% null"))
+        high = _check(F.lit(f"{name}.{c}: missing-value level"), "warning", F.lit(False), told)
+        checks.append(F.when(share >= NULL_WARN_FRACTION, high))
+    return table_facts(name, tables).select(F.inline(F.array_compact(F.array(*checks))))
+
+
+def quality_checks(tables: dict[str, DataFrame]) -> DataFrame:
+    """(check_name, severity, passed, detail) for all five families, from one scan of each table."""
+    return _union([_checks_of(name, tables) for name in tables])
 
 
 def verdict(checks: DataFrame) -> DataFrame:

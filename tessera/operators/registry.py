@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.constants import ID_PREFIX, ID_WIDTH
-from tessera.operators.ordering import left_join_spread, number_rows
+from tessera.operators.ordering import left_join_spread, number_rows, row_place
 from tessera.workspace import Workspace
 
 
@@ -58,7 +58,7 @@ def xrefs(
 def crosswalk(observations: list[DataFrame]) -> DataFrame:
     """One row per (internal, external, source): first non-empty name, OR of primary."""
     seen = reduce(DataFrame.unionByName, observations)
-    named = F.when(F.coalesce("name", F.lit("")) != "", F.struct(F.length("seq"), F.col("seq"), F.col("name")))
+    named = F.when(F.coalesce("name", F.lit("")) != "", F.struct(row_place(F.col("seq")), F.col("name")))
     return (
         seen.groupBy("entity_type", "internal_id", "external_id", "external_source")
         .agg(F.min(named).alias("_named"), F.bool_or("is_primary").alias("is_primary"))

@@ -225,22 +225,40 @@ def _rarest(texts: DataFrame, frequency: DataFrame, column: str) -> DataFrame:
     return scored.groupBy(column).agg(F.min(F.struct("df", "gram")).alias("r")).select(column, "r.gram")
 
 
+def _holding(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(norm, key) where the key contains the query, by the query's rarest gram."""
+    key_grams = keys.select("key", F.explode(_grams(F.col("key"))).alias("gram"))
+    frequency = key_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    met = _rarest(queries, frequency, "norm").join(key_grams, "gram")
+    return met.filter(F.contains("key", "norm")).select("norm", "key")
+
+
+def _held(queries: DataFrame, keys: DataFrame) -> DataFrame:
+    """(norm, key) where the query contains the key, by the key's rarest gram. A query contains
+    no more keys than it has substrings."""
+    key_grams = keys.select("key", F.explode(_grams(F.col("key"))).alias("gram"))
+    frequency = key_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    query_grams = queries.select("norm", F.explode(_grams(F.col("norm"))).alias("gram"))
+    met = _rarest(keys, frequency, "key").join(query_grams, "gram")
+    return met.filter(F.contains("norm", "key")).select("norm", "key")
+
+
 def containing_pairs(queries: DataFrame, keys: DataFrame) -> DataFrame:
     """(query, key) where one contains the other, without comparing every pair.
 
     If a text contains another, it contains each of its grams, the rarest one
     too. So both directions are equi-joins on a gram, checked afterwards.
     """
-    key_grams = keys.select("key", F.explode(_grams(F.col("key"))).alias("gram"))
-    query_grams = queries.select("norm", F.explode(_grams(F.col("norm"))).alias("gram"))
-    frequency = key_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    inside_key = (
-        _rarest(queries, frequency, "norm").join(key_grams, "gram").filter(F.contains("key", "norm"))
-    )
-    inside_query = (
-        _rarest(keys, frequency, "key").join(query_grams, "gram").filter(F.contains("norm", "key"))
-    )
-    return inside_key.select("norm", "key").union(inside_query.select("norm", "key")).distinct()
+    return _holding(queries, keys).union(_held(queries, keys)).distinct()
+
+
+def gram_index(named: DataFrame, grams: DataFrame, limit: int) -> DataFrame:
+    """(norm, name, at): the first ``limit`` names whose key contains a text of at most ``GRAM``
+    characters. Such a text is a gram itself, so its list is counted and cut once however
+    many keys hold it or queries ask for it, and no query meets the keys of its list."""
+    lists = named.select(F.explode(_grams(F.col("key"))).alias("norm"), "name", "at").join(grams, "norm", "left_semi")
+    firsts = lists.groupBy("norm", "name").agg(F.min("at").alias("at"))
+    return top_per_group(firsts, ["norm"], [F.col("at"), F.col("name")], limit)
 
 
 def suggestions(
@@ -248,7 +266,8 @@ def suggestions(
 ) -> DataFrame:
     """Up to five names in index order for queries no name matches.
 
-    ``names(entity_id, name)``. A key stands where its first entity stands.
+    ``names(entity_id, name)``. A key stands where its first entity stands. Texts of up to
+    ``GRAM`` characters read cut lists of names; only longer ones are joined to the keys.
     """
     open_texts = (
         resolved.filter("status = 'not_supported' and shape = 'name' and normalized_query <> ''")
@@ -258,13 +277,17 @@ def suggestions(
     by_name = keys.filter("kind = 'name'").select("key", "entity_id", "phase")
     place = F.struct("phase", "entity_id")
     first = by_name.groupBy("key").agg(F.min(place).alias("key_place"))
-    pairs = containing_pairs(open_texts, first.select("key"))
-    hits = (
-        pairs.join(first, "key")
-        .join(by_name.withColumn("own_place", place), "key")
+    named = (
+        by_name.withColumn("own_place", place)
+        .join(first, "key")
         .join(names, "entity_id")
-        .groupBy("norm", "name")
+        .groupBy("key", "name")
         .agg(F.min(F.struct("key_place", "own_place")).alias("at"))
     )
+    known, short = first.select("key"), F.length("norm") <= GRAM
+    pairs = _holding(open_texts.filter(~short), known).union(_held(open_texts, known)).distinct()
+    hits = pairs.join(named, "key").select("norm", "name", "at")
+    hits = hits.union(gram_index(named, open_texts.filter(short), limit).select("norm", "name", "at"))
+    hits = hits.groupBy("norm", "name").agg(F.min("at").alias("at"))
     top = top_per_group(hits, ["norm"], [F.col("at"), F.col("name")], limit, out="place")
     return top.select(F.col("norm").alias("normalized_query"), "place", F.col("name").alias("suggestion"))

@@ -9,10 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.constants import COMPONENTS, MODEL_COLUMNS, TABLES
+from tessera.constants import COMPONENTS, DEAD_BAND, MODEL_COLUMNS, TABLES
 from tessera.functions import ids, numbers, texts
 from tessera.operators import (
     build,
@@ -694,6 +694,20 @@ def e10_disease_profiles(s: Study) -> DataFrame:
     )
 
 
+@query
+def e10_provenance(s: Study) -> DataFrame:
+    """Where each disease profile comes from."""
+    t = s.tables
+    d = profiles.disease_profiles(
+        t["diseases"], t["disease_genes"], t["disease_pathways"], s.identifiers, s.genes_per_disease
+    )
+    p = "provenance"
+    return d.select(
+        "disease_id", f"{p}.disease_source", F.array_join(f"{p}.datasets_used", ",").alias("datasets_used"), f"{p}.gene_source",
+        f"{p}.genes_capped_per_disease", f"{p}.genes_truncated", f"{p}.pathway_source", f"{p}.pathway_min_gene_support", f"{p}.snapshot_note",
+    )
+
+
 @query
 def e11_external_ids(s: Study) -> DataFrame:
     parts = []
@@ -753,6 +767,21 @@ def e16_drug_profiles(s: Study) -> DataFrame:
     )
 
 
+@query
+def e16_provenance(s: Study) -> DataFrame:
+    """The proteins of each drug, and where its profile comes from."""
+    t = s.tables
+    d = profiles.drug_profiles(
+        t["drugs"], t["drug_side_effects"], t["drug_targets"], s.drug_pathways, s.drug_protein_pathways, s.identifiers
+    )
+    p = "provenance"
+    return d.select(
+        "drug_id", F.array_join("proteins", "|").alias("proteins"), f"{p}.pathway_source",
+        F.array_join(f"{p}.datasets_used", ",").alias("datasets_used"), F.array_join(f"{p}.optional_sources_used", ",").alias("optional_sources_used"),
+        F.col(f"{p}.optional_sources_skipped")["reactome"].alias("reactome_skipped"),
+    )
+
+
 @query
 def e17_disease_summaries(s: Study) -> DataFrame:
     t = s.tables
@@ -1041,11 +1070,67 @@ def m16_checks(s: Study) -> DataFrame:
     return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(gap).alias("n_unexplained"))
 
 
+def _learned_features(s: Study) -> DataFrame:
+    rows = s.features.join(s.learned_predictions.select(*model.PAIR, "contributions"), list(model.PAIR))
+    return model.top_features(rows).withColumn("place", F.col("place").cast("long"))
+
+
 @query
 def m17_learned_features(s: Study) -> DataFrame:
     """The strongest contributions of the chosen model, for every pair."""
-    rows = s.features.join(s.learned_predictions.select(*model.PAIR, "contributions"), list(model.PAIR))
-    return model.top_features(rows).withColumn("place", F.col("place").cast("long"))
+    return _learned_features(s)
+
+
+@query
+def m7_forest_facts(s: Study) -> DataFrame:
+    """The fitted forest follows its settings, from its node table."""
+    return model.forest_facts(s.forest, s.ws)
+
+
+@query
+def m11_learned_checks(s: Study) -> DataFrame:
+    """The chosen classifier has the best validation of all."""
+    summary = model.cv_summary(model.fold_metrics(s.cv_scores)).withColumn("chosen", F.col("model") == s.learned.name)
+    best = F.max(F.when(F.col("chosen"), F.col("pr_auc_mean"))).over(Window.partitionBy(F.lit(0)))  # a row for each model
+    marked = summary.withColumn("better", F.col("pr_auc_mean") > best)
+    return marked.agg(
+        F.count(F.lit(1)).alias("n_models"), F.count_if("chosen").alias("n_chosen"), F.count_if("better").alias("n_better")
+    )
+
+
+@query
+def m13_record_checks(s: Study) -> DataFrame:
+    """The stored record of the chosen model, and pairs that it scores otherwise than the model."""
+    stored = model.load(s.stored_model, s.spark)
+    told, pair = stored.metadata, list(model.PAIR)
+    again = model.score(s.features, stored).select(*pair, F.col("model_output").alias("stored"))
+    both = s.learned_predictions.select(*pair, "model_output").join(again, pair)
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.abs(F.col("stored") - F.col("model_output")) > 1e-6).alias("n_different"),
+    ).withColumns(
+        {
+            "n_training_rows": F.lit(told["n_rows"]).cast("long"),
+            "n_positive": F.lit(told["n_positive"]).cast("long"),
+            "prevalence": F.round(F.lit(told["prevalence"]), 6),
+            "n_validated": F.lit(len(told["validation"])),
+            "n_columns": F.lit(len(told["feature_columns"])),
+            "seed": F.lit(told["seed"]),
+            "chosen_is_stored": F.lit(stored.name == s.learned.name),
+        }
+    )
+
+
+@query
+def m18_learned_checks(s: Study) -> DataFrame:
+    """Importances of the chosen model: a place for each column, largest first."""
+    before = F.lag("importance").over(Window.partitionBy(F.lit(0)).orderBy("place"))  # a row for each column
+    d = model.global_importance(s.learned, s.spark).withColumn("before", before)
+    return d.agg(
+        F.count_distinct("place").alias("n_places"),
+        F.count_distinct("feature_name").alias("n_columns"),
+        F.count_if((F.col("importance") < 0) | (F.col("importance") > F.col("before"))).alias("n_out_of_order"),
+    )
 
 
 @query
@@ -1056,13 +1141,64 @@ def m18_learned_importance(s: Study) -> DataFrame:
 @query
 def r2_learned_top(s: Study) -> DataFrame:
     """Top candidates per disease with the trained model's scores."""
-    best = ranking.top_n(s.learned_fused, s.top_n)
-    return best.select("disease_id", "drug_id", "rank", "repurposing_score")
+    return s.with_model("learned").top.select("disease_id", "drug_id", "rank", "repurposing_score")
+
+
+@query
+def r2_learned_checks(s: Study) -> DataFrame:
+    """Published pairs of the chosen model, per disease: dense ranks in the order of the scores,
+    whose parts add up; and every pair is fused."""
+    chosen = s.with_model("learned")
+    before = F.lag("repurposing_score").over(Window.partitionBy("disease_id").orderBy("rank"))
+    parts = sum((F.coalesce(F.col(f"{c}_points"), F.lit(0.0)) for c in COMPONENTS), F.lit(0.0))
+    d = chosen.top.withColumns({"before": before, "gap": F.abs(parts - F.col("repurposing_score"))})
+    per = d.groupBy("disease_id").agg(
+        F.count(F.lit(1)).alias("n_published"),
+        F.max("rank").cast("long").alias("last_rank"),
+        F.count_if(F.col("repurposing_score") > F.col("before")).alias("n_out_of_order"),
+        F.count_if(F.col("gap") > 0.01).alias("n_unbalanced"),
+        F.count("ml_value").alias("n_with_model"),
+    )
+    n = chosen.fused.groupBy("disease_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return n.join(per, "disease_id", "left")
 
 
 @query
 def p1_learned_runs(s: Study) -> DataFrame:
-    return reports.disease_runs(s.resolved_diseases, ranking.top_n(s.learned_fused, s.top_n), s.top_n)
+    return reports.disease_runs(s.resolved_diseases, s.with_model("learned").top, s.top_n)
+
+
+@query
+def p1_learned_checks(s: Study) -> DataFrame:
+    """Rows that each query gets from the chosen model."""
+    runs = reports.disease_runs(s.resolved_diseases, s.with_model("learned").top, s.top_n)
+    d = runs.groupBy("query_id", "status")
+    return d.agg(F.count(F.lit(1)).alias("n_rows"), F.count("drug_id").alias("n_ranked"), F.max("rank").cast("long").alias("last_rank"))
+
+
+@query
+def p2_learned_checks(s: Study) -> DataFrame:
+    """What the overview counts whatever the model's scores are."""
+    routes = candidates.route_counts(s.pairs, s.tables["diseases"], s.tables["drugs"])
+    d = reports.overview(_summary(s), routes, s.with_model("learned").top, s.top_n)
+    return d.select("disease_id", "candidates_ranked", "n_with_ml_evidence")
+
+
+@query
+def p4_learned_checks(s: Study) -> DataFrame:
+    """Attributions of the chosen model for the resolved queries: places in the order of size,
+    directions that follow the signs."""
+    asked = s.resolved_diseases.filter("status = 'resolved'").select("query_id", F.col("match_id").alias("disease_id"))
+    size = F.abs("contribution")
+    before = F.lag(size).over(Window.partitionBy("query_id", "disease_id", "drug_id").orderBy("place"))
+    d = asked.join(_learned_features(s), "disease_id").withColumn("before", before)
+    sign = numbers.direction(F.col("contribution"))
+    told = (size > DEAD_BAND) & (F.col("direction") != sign)
+    return d.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(size > F.col("before") + 1e-6).alias("n_out_of_order"),
+        F.count_if(told).alias("n_wrong_direction"),
+    )
 
 
 @query
@@ -1327,6 +1463,14 @@ def k4_evidence_nodes(s: Study) -> DataFrame:
     return d.withColumns({c: F.col(c).cast("double") for c in numeric})
 
 
+@query
+def k4_methods(s: Study) -> DataFrame:
+    """How each evidence node was worked out, and where it comes from."""
+    of = lambda f: F.get_json_object("metadata", f"$.{f}").alias(f)
+    d = s.nodes.filter("type = 'evidence_component'")
+    return d.select("graph_id", "id", of("calculation_method"), of("provenance"))
+
+
 @query
 def k5_outcome_nodes(s: Study) -> DataFrame:
     d = _nodes_of(s, "score", "rank", "explanation")
@@ -1436,18 +1580,18 @@ def k16_dangling_edges(s: Study) -> DataFrame:
 # --- end-to-end reports -----------------------------------------------------------------------------------------
 @query
 def p1_disease_runs(s: Study) -> DataFrame:
-    return reports.disease_runs(s.resolved_diseases, s.ranked, s.top_n)
+    return reports.disease_runs(s.resolved_diseases, s.top, s.top_n)
 
 
 @query
 def p2_overview(s: Study) -> DataFrame:
     routes = candidates.route_counts(s.pairs, s.tables["diseases"], s.tables["drugs"])
-    return reports.overview(_summary(s), routes, s.ranked, s.top_n)
+    return reports.overview(_summary(s), routes, s.top, s.top_n)
 
 
 @query
 def p3_found_pairs(s: Study) -> DataFrame:
-    return reports.find_pairs(s.pairs.select("disease_id", "drug_id"), s.ranked, s.top_n)
+    return reports.find_pairs(s.pairs.select("disease_id", "drug_id"), s.top, s.top_n)
 
 
 @query

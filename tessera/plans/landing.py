@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import HUMAN
+from tessera.operators.ordering import number_rows
 from tessera.plans.study import Study
 
+#: Associations in one payload of a disease.
+PAGE_ROWS = 1000
+
 
 def _tsv(*columns: Column | str) -> Column:
     cols = [F.col(c) if isinstance(c, str) else c for c in columns]
@@ -117,13 +121,15 @@ class Landing:
             F.col("ensembl_id").alias("id"), F.col("gene_symbol").alias("approvedSymbol"),
             F.concat(F.lit("gene "), "gene_symbol").alias("approvedName"),
         )
-        rows = self.raw["raw_disease_genes"].groupBy("ontology_id").agg(
-            F.array_sort(F.collect_list(F.struct("seq", F.struct(F.col("association_score").alias("score"), target.alias("target")).alias("r")))).alias("rs")
-        )
+        # pages of a bounded number of associations, cut where they lie in order
+        placed = number_rows(self.raw["raw_disease_genes"], [F.col("seq")], self.s.ws, "pages", group=["ontology_id"])
+        page = F.floor((F.col("position") - 1) / PAGE_ROWS).cast("int")
+        record = F.struct("position", F.struct(F.col("association_score").alias("score"), target.alias("target")).alias("r"))
+        rows = placed.groupBy("ontology_id", page.alias("page")).agg(F.array_sort(F.collect_list(record)).alias("rs"))
         d = self.raw["raw_diseases"].join(rows, "ontology_id", "left")
         disease = F.struct(
             F.col("ontology_id").alias("id"), F.col("disease_name").alias("name"),
-            F.struct(F.transform("rs", lambda s: s["r"]).alias("rows")).alias("associatedTargets"),
+            F.struct(F.transform("rs", lambda s: s["r"]).alias("rows")).alias("associatedTargets"), "page",
         )
         good = F.to_json(F.struct(F.struct(disease.alias("disease")).alias("data")))
         line = F.when(F.col("seq") % 9 == 8, F.lit('{"data": {"disease": null}}')).when(

@@ -12,14 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.constants import MIN_PATHWAY_GENES
+from tessera.constants import MIN_PATHWAY_GENES, SNAPSHOT
 from tessera.operators.build import Built
 
-# fixed values: notes of the snapshot and of the sources
-SNAPSHOT = (
-    "SIDER 4.1 (2015-10) static release; ChEMBL current REST release; "
-    "Open Targets Platform current GraphQL API; Reactome current release."
-)
+# fixed values: notes of the sources and stages
 LICENCES = {
     "sider": "Academic/non-commercial use; MedDRA terms under MSSO licence.",
     "chembl": "ChEMBL CC BY-SA 3.0; PubChem public domain.",

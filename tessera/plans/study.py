@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.constants import MODEL_COLUMNS
+from tessera.constants import MODEL_COLUMNS, TREES
 from tessera.operators import (
     build,
     candidates,
@@ -38,10 +38,12 @@ _OPEN: dict[tuple[str, str], "Study"] = {}
 
 
 def study(spark: SparkSession, folder: str) -> "Study":
-    """The study of a folder in this application; stage tables are shared by its queries."""
+    """The study of a folder in this application; stage tables are shared by its queries. It
+    ranks the stand-in's scores, which SQL can follow; ``with_model("learned")`` ranks the
+    scores of the model that validation chose, over the same tables."""
     key = (spark.sparkContext.applicationId, folder.rstrip("/"))
     if key not in _OPEN:
-        _OPEN[key] = Study(spark, folder)
+        _OPEN[key] = Study(spark, folder, model_kind="stand_in")
     return _OPEN[key]
 
 
@@ -79,10 +81,15 @@ class Study:
         top_n: int = 10,
         graph_top_n: int = 5,
         genes_per_disease: int | None = None,
-        trees: int = 400,
+        trees: int = TREES,
+        model_kind: str = "learned",
     ) -> None:
         """``top_n`` candidates per disease are published, ``graph_top_n`` of them as graphs;
-        ``genes_per_disease`` keeps only the strongest associations of a disease."""
+        ``genes_per_disease`` keeps only the strongest associations of a disease. ``model_kind``
+        says whose scores are fused: those of the chosen model, or of the ``stand_in``."""
+        if model_kind not in MODEL_KINDS:
+            raise ValueError(f"model_kind must be one of {MODEL_KINDS}, got {model_kind!r}")
+        self.model_kind = model_kind
         self.spark, self.trees = spark, trees
         self.top_n, self.graph_top_n, self.genes_per_disease = top_n, graph_top_n, genes_per_disease
         self.raw = GivenTables(spark, folder)
@@ -300,9 +307,33 @@ class Study:
     def _linear(self) -> dict[str, DataFrame]:
         return {}
 
+    def with_model(self, kind: str) -> "Study":
+        """This study with the scores of another model: everything up to the features is shared,
+        what follows from the scores is built anew."""
+        if kind == self.model_kind:
+            return self
+        if kind not in self._others:
+            other = Study(
+                self.spark, self.raw.folder, self.ws, self.top_n, self.graph_top_n, self.genes_per_disease, self.trees, kind
+            )
+            # built once, for both
+            self.features  # noqa: B018
+            if kind == "learned":
+                self.learned_predictions  # noqa: B018
+            shared = {k: v for k, v in self.__dict__.items() if k not in AFTER_SCORES and k not in other.__dict__}
+            other.__dict__.update(shared, _others={self.model_kind: self})
+            self._others[kind] = other
+        return self._others[kind]
+
+    @cached_property
+    def _others(self) -> dict[str, "Study"]:
+        return {}
+
     @cached_property
     def predictions(self) -> DataFrame:
-        """The stand-in model's predictions for all pairs."""
+        """Predictions of the study's model for all pairs."""
+        if self.model_kind == "learned":
+            return self.learned_predictions.drop("contributions")
         return self.linear().select(
             "disease_id", "drug_id", "model_output", "baseline_output",
             F.lit("logistic_regression").alias("model_name"), "top_feature_names",
@@ -339,6 +370,13 @@ class Study:
         """The classifier that validation chose, fitted on all training rows."""
         return model.train(self.training, self.ws, self.trees, self.cv_scores)
 
+    @cached_property
+    def stored_model(self) -> str:
+        """Where the chosen model lies with its record."""
+        path = self.ws.path("model_record")
+        model.save(self.learned, path, self.spark)
+        return path
+
     @cached_property
     def learned_predictions(self) -> DataFrame:
         rows = model.predict(self.features, self.learned, self.ws)
@@ -349,10 +387,6 @@ class Study:
             ),
         )
 
-    @cached_property
-    def learned_fused(self) -> DataFrame:
-        return fusion.fuse(self.features, self.learned_predictions.drop("contributions"))
-
     # --- scores, ranks, narratives, graphs -----------------------------------------------
     @cached_property
     def fused(self) -> DataFrame:
@@ -425,6 +459,12 @@ class Study:
         return self.ws.store("resolved_drugs", resolve.resolve_drugs(q, self.drug_keys, self.tables["drugs"]))
 
 
+MODEL_KINDS = ("learned", "stand_in")
+#: What depends on whose scores are fused.
+AFTER_SCORES = {
+    "model_kind", "_others", "predictions", "fused", "ranked", "top", "narratives", "_graph_inputs", "nodes", "edges",
+}
+
 # fixed values: the rule models
 RULE_SHIFTS = [7, 5]
 RULE_INTERCEPT = -1.0

@@ -89,7 +89,7 @@ _TARGET = (
 )
 _DISEASE = (
     "data struct<disease struct<id string, name string, associatedTargets struct<rows array<struct<"
-    "score double, target struct<id string, approvedSymbol string, approvedName string>>>>>>, _corrupt string"
+    "score double, target struct<id string, approvedSymbol string, approvedName string>>>>, page int>>, _corrupt string"
 )
 _KNOWN = (
     "data struct<disease struct<id string, name string, drugAndClinicalCandidates struct<rows array<struct<"
@@ -141,7 +141,8 @@ def first_chembl_synonym(compounds: DataFrame) -> DataFrame:
 
 
 def read_disease_payloads(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """One payload per file, in file-name order; corrupt and null payloads drop out."""
+    """Payloads in file-name order; corrupt and null ones drop out. A disease may come in several
+    payloads, numbered by ``page``, so that no row has to hold all of its associations."""
     rows = _json(spark, path, _DISEASE, multiline, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
     return rows.filter("_corrupt is null and data.disease is not null").select(_file_order().alias("seq"), "data.disease.*")
 
@@ -151,9 +152,12 @@ def payload_diseases(payloads: DataFrame) -> DataFrame:
 
 
 def payload_genes(payloads: DataFrame) -> DataFrame:
-    rows = payloads.select(F.col("id").alias("ontology_id"), F.posexplode("associatedTargets.rows").alias("p", "r"))
+    rows = payloads.select(
+        F.col("id").alias("ontology_id"), F.coalesce("page", F.lit(0)).alias("page"), F.posexplode("associatedTargets.rows").alias("p", "r")
+    )
+    at = lambda c: F.lpad(F.col(c).cast("string"), 11, "0")
     return rows.select(
-        F.concat("ontology_id", F.lit("|"), F.lpad(F.col("p").cast("string"), 11, "0")).alias("seq"),
+        F.concat_ws("|", "ontology_id", at("page"), at("p")).alias("seq"),
         "ontology_id", F.col("r.target.id").alias("ensembl_id"), F.col("r.target.approvedSymbol").alias("gene_symbol"),
         F.col("r.target.approvedName").alias("gene_full_name"), F.col("r.score").alias("association_score"),
     )

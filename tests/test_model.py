@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tessera.constants import MODEL_COLUMNS
@@ -82,3 +83,39 @@ def test_one_class_is_refused(spark, planted):
 def test_absent_model(spark, tmp_path):
     with pytest.raises(model.NotTrained):
         model.load(str(tmp_path / "none"), spark)
+
+
+def test_models_score_where_counts_were_observed(spark, planted, ws):
+    """The session holds an observation manager then, which no task can carry."""
+    seen = Observation()
+    planted.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 320
+    for name in model.MODELS:
+        assert model.score(planted, model.fit(planted, name, trees=4)).filter("model_output between 0 and 1").count() == 320
+
+
+def test_a_stored_record_tells_how_the_model_was_chosen(spark, planted, ws):
+    chosen = model.train(planted, ws, trees=6)
+    model.save(chosen, ws.path("bundle"), spark)
+    path = ws.path("bundle2")
+    model.save(chosen, path, spark)
+    back = model.load(path, spark)
+    assert back.name == chosen.name and back.metadata["n_rows"] == 320 and back.metadata["seed"] == 42
+    assert back.metadata["prevalence"] == pytest.approx(back.metadata["n_positive"] / 320)
+    best = max(back.metadata["validation"], key=lambda r: (r["pr_auc_mean"], r["roc_auc_mean"]))
+    assert {r["model"] for r in back.metadata["validation"]} == set(model.MODELS)
+    assert best["pr_auc_mean"] == next(r for r in back.metadata["validation"] if r["model"] == back.name)["pr_auc_mean"]
+    assert best["pr_auc_mean"] > back.metadata["prevalence"]
+    pair = ["disease_id", "drug_id"]
+    both = model.score(planted, chosen).select(*pair, "model_output").exceptAll(model.score(planted, back).select(*pair, "model_output"))
+    assert both.isEmpty()
+
+
+def test_forest_facts_tell_a_forest_that_breaks_its_settings(spark, planted, ws, monkeypatch):
+    forest = model.fit(planted, "random_forest", trees=5)
+    clean = {"n_trees": 5, "n_small_leaves": 0, "n_foreign_splits": 0, "n_outside": 0, "n_deep": 0}
+    assert model.forest_facts(forest, ws).first().asDict() == clean
+    monkeypatch.setattr(model, "MAX_DEPTH", 1)
+    monkeypatch.setattr(model, "LEAF_ROWS", 10_000)
+    r = model.forest_facts(forest, ws).first()
+    assert r["n_deep"] > 0 and r["n_small_leaves"] > 0
