@@ -582,12 +582,14 @@ def _needed(text: str, seen: dict[str, None]) -> None:
 
 
 _OPEN: set[str] = set()
+# written once, so that what joins them knows their sizes
+_READ_OFTEN, _KEPT = {"nodes", "edges"}, "materialized "
 
 
 def sql(name: str) -> str:
     seen: dict[str, None] = {}
     _needed(FINAL[name], seen)
-    parts = ",\n".join(f"{n} as ({CTES[n].strip()})" for n in seen)
+    parts = ",\n".join(f"{n} as {_KEPT if n in _READ_OFTEN else ''}({CTES[n].strip()})" for n in seen)
     body = FINAL[name].strip()
     if body.startswith("with "):
         return f"with recursive {parts},\n{body.removeprefix('with ')}"
