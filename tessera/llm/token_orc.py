@@ -16,8 +16,10 @@ columns alone.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,8 +32,12 @@ END = 2
 STRIDE = 1000
 STRIPE_BYTES = 16 << 20
 FALSE_POSITIVES = 0.01
-#: Characters that are encoded in one call; a longer text is a call of its own.
-CHARS_AT_ONCE = 1 << 20
+#: Bytes of text whose ids are held at once; a longer text is held alone.
+BYTES_AT_ONCE = 1 << 20
+#: Pieces of text a worker remembers the ids of, and the longest of them.
+REMEMBERED, LONGEST = 600_000, 48
+
+_BLANK_BY_SPACE = re.compile(r"\s | \s")
 
 _LAYOUT = "slice int, at long, doc_id {key}, n_tokens long, ids array<int>"
 
@@ -66,18 +72,12 @@ def write(
 
 def _encoded(batches: Iterable[pa.RecordBatch], vocabulary: str, end: int | None) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    tail = [] if end is None else [end]
+    tail, encoder = [] if end is None else [end], _encoder(vocabulary)
     number, at = TaskContext.get().partitionId(), 0
     for batch in batches:
         keys, texts = batch.column(0), batch.column(1)
-        for first, n in _pieces(texts):
-            part = tokenizer.encode_batch_fast(texts.slice(first, n).to_pylist(), add_special_tokens=False)
-            ids = [e.ids + tail for e in part]
+        for first, n in _runs(texts):
+            ids = [x + tail for x in encoder.encode(texts.slice(first, n).to_pylist())]
             sizes = [len(x) for x in ids]
             starts = []
             for size in sizes:
@@ -95,12 +95,72 @@ def _encoded(batches: Iterable[pa.RecordBatch], vocabulary: str, end: int | None
             )
 
 
-def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first, count) of neighbours that hold up to ``CHARS_AT_ONCE`` bytes together."""
+def pieces(text: str) -> list[str]:
+    """``text`` cut before every blank that stands alone between two characters that are no
+    white space. A token of a byte-level vocabulary is a word with at most one blank before
+    it, or white space, so none reaches across such a place: the ids of the pieces, one after
+    the other, are those of the text."""
+    first, *rest = text.split(" ")
+    if text[:1] != " " and text[-1:] != " " and not _BLANK_BY_SPACE.search(text):
+        return [first, *[" " + word for word in rest]]  # all blanks stand alone
+    out, held, last = [], [first], first[-1:]
+    for word in rest:
+        if last and word and not last.isspace() and not word[0].isspace():
+            out.append(" ".join(held) if len(held) > 1 else held[0])
+            held = [" " + word]
+        else:
+            held.append(word)
+        last = word[-1:]
+    out.append(" ".join(held) if len(held) > 1 else held[0])
+    return out
+
+
+class Encoder:
+    """Ids of texts by their pieces. Most pieces are words met before; the tokenizer encodes each
+    new one once, and long ones every time. What is remembered is bounded, and forgotten
+    as a whole when it is full."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
+        self._encode, self._known = encode, {}
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        cut = [pieces(t) for t in texts]
+        known = self._known
+        found = [list(map(known.get, parts)) for parts in cut]
+        new = list({p for parts, ids in zip(cut, found, strict=True) if None in ids for p, x in zip(parts, ids, strict=True) if x is None})
+        if new:
+            here = dict(zip(new, self._encode(new), strict=True))
+            for parts, ids in zip(cut, found, strict=True):
+                if None in ids:
+                    ids[:] = [here[p] if x is None else x for p, x in zip(parts, ids, strict=True)]
+            if len(known) + len(here) > REMEMBERED:
+                known.clear()
+            known.update((p, x) for p, x in here.items() if len(p) <= LONGEST)
+        return [list(chain.from_iterable(ids)) for ids in found]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary: str) -> Encoder:
+    """The worker's encoder, which its later tasks find again."""
+    if vocabulary not in _ENCODERS:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        _ENCODERS[vocabulary] = Encoder(encode)
+    return _ENCODERS[vocabulary]
+
+
+def _runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, count) of neighbours that hold up to ``BYTES_AT_ONCE`` bytes together."""
     first, held = 0, 0
     for i in range(len(texts)):
         size = len(texts[i].as_buffer())
-        if i > first and held + size > CHARS_AT_ONCE:
+        if i > first and held + size > BYTES_AT_ONCE:
             yield first, i - first
             first, held = i, 0
         held += size
