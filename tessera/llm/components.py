@@ -20,11 +20,12 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     stars, before = _written(edges, ws)
     while before[0]:
-        both = stars.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
-        above = _lowest(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large, _ = _written(above, ws)
-        pair = lambda a: F.struct(F.col(a).alias("u"), F.col("m").alias("v"))
-        stars, after = _written(_lowest(large).select(F.inline(F.array(pair("v"), pair("u")))), ws)
+        # a node's smaller neighbours are the v of its edges, its larger ones have it as their v
+        met = _handed(stars, _lowest(stars), "v", "left")
+        large, _ = _written(met.select("u", F.coalesce("m", "v").alias("v")), ws)
+        least = _lowest(large)
+        rest = _handed(large, least, "u", "inner").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        stars, after = _written(rest.union(least.select("u", F.col("m").alias("v"))), ws)
         if after == before:
             break
         before = after
@@ -33,10 +34,14 @@ def components(edges: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
-    """Every edge (u, v) with ``m``, the smallest v of its u. Grouped by a struct, so that the
-    minima are dealt anew for the join and a hot u can be split there."""
-    least = edges.groupBy(F.struct("u").alias("_of")).agg(F.min("v").alias("m")).select("_of.u", "m")
-    return edges.join(least.hint("merge"), "u")
+    """(u, m): the smallest v of every u. Grouped by a struct, so that the minima are dealt anew
+    for a join and a hot node can be split there."""
+    return edges.groupBy(F.struct("u").alias("_of")).agg(F.min("v").alias("m")).select("_of.u", "m")
+
+
+def _handed(edges: DataFrame, least: DataFrame, end: str, how: str) -> DataFrame:
+    """(u, v, m): every edge with the smallest neighbour of its ``end``."""
+    return edges.join(least.withColumnRenamed("u", end).hint("merge"), end, how)
 
 
 def _written(edges: DataFrame, ws: Workspace) -> tuple[DataFrame, tuple]:

@@ -14,8 +14,30 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import lloyd, token_orc, trie
+from tessera.llm.components import components
 from tessera.llm.queries import byte_bpe_path
 
+# --- components --------------------------------------------------------------------
+@pytest.mark.parametrize("seed", [0, 1])
+def test_components_against_union_find(spark, ws, seed):
+    rnd = random.Random(seed)
+    edges = [(rnd.randint(0, 150), rnd.randint(0, 150)) for _ in range(90)] + [(200 + i, 201 + i) for i in range(30)] + [(5, 5)]
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            top[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(edges, "a long, b long"), ws)
+    assert {r["node"]: r["comp"] for r in got.collect()} == {x: find(x) for x in top}
+    assert components(spark.createDataFrame([], "a long, b long"), ws).isEmpty()
+
+
 # --- 11 ----------------------------------------------------------------------------
 VECTORS = "vec_id long, embedding array<double>, cluster string, id int, v int, distance string"
 
