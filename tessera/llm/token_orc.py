@@ -15,12 +15,13 @@ columns alone.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +36,15 @@ FALSE_POSITIVES = 0.01
 #: Bytes of text whose ids are held at once; a longer text is held alone.
 BYTES_AT_ONCE = 1 << 20
 #: Pieces of text a worker remembers the ids of, and the longest of them.
-REMEMBERED, LONGEST = 600_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 
-_BLANK_BY_SPACE = re.compile(r"\s | \s")
+# fixed values: the pre-tokens of a byte-level vocabulary, spelled out for plain characters
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_BLANK_BY_SPACE = ("  ", " \t", " \n", " \r", "\t ", "\n ", "\r ")
+_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*")
+_PRE_TOKENS = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+"
+)
 
 _LAYOUT = "slice int, at long, doc_id {key}, n_tokens long, ids array<int>"
 
@@ -72,71 +79,114 @@ def write(
 
 def _encoded(batches: Iterable[pa.RecordBatch], vocabulary: str, end: int | None) -> Iterator[pa.RecordBatch]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tail, encoder = [] if end is None else [end], _encoder(vocabulary)
-    number, at = TaskContext.get().partitionId(), 0
+    tail = b"" if end is None else end.to_bytes(4, "little")
+    encoder, number, at = _encoder(vocabulary), TaskContext.get().partitionId(), 0
     for batch in batches:
         keys, texts = batch.column(0), batch.column(1)
         for first, n in _runs(texts):
-            ids = [x + tail for x in encoder.encode(texts.slice(first, n).to_pylist())]
-            sizes = [len(x) for x in ids]
-            starts = []
-            for size in sizes:
-                starts.append(at)
-                at += size
+            ids = [encoder.encode(t) + tail for t in texts.slice(first, n).to_pylist()]
+            ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([number] * n, pa.int32()),
-                    pa.array(starts, pa.int64()),
+                    pa.array(np.full(n, number, "i4")),
+                    pa.array(at + ends[:-1]),
                     keys.slice(first, n),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(ids, pa.list_(pa.int32())),
+                    pa.array(np.diff(ends)),
+                    pa.ListArray.from_arrays(ends.astype("i4"), np.frombuffer(b"".join(ids), "<i4")),
                 ],
                 ["slice", "at", "doc_id", "n_tokens", "ids"],
             )
+            at += int(ends[-1])
 
 
-def pieces(text: str) -> list[str]:
-    """``text`` cut before every blank that stands alone between two characters that are no
-    white space. A token of a byte-level vocabulary is a word with at most one blank before
-    it, or white space, so none reaches across such a place: the ids of the pieces, one after
-    the other, are those of the text."""
+class _Pieces(dict):
+    """Ids of the pieces met before, as bytes of 32-bit integers; a new one goes to ``encode``.
+    What is remembered is bounded, and forgotten as a whole when it is full."""
+
+    def __init__(self, encode: Callable[[str], bytes]) -> None:
+        self._encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self._encode(piece)
+        if len(piece) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+class Encoder:
+    """Ids of whole texts as bytes of little-endian 32-bit integers.
+
+    Under a byte-level vocabulary a blank that stands alone between two characters that are no
+    white space belongs to the word after it, so a text can be cut before every such blank: the
+    ids of the pieces, one after the other, are those of the text. Most pieces are words met
+    before. A new piece of plain characters is cut into the pre-tokens that the vocabulary's
+    pattern gives, and the library's model merges each new one of these once. All else goes to the library's
+    tokenizer as it is: pieces with other characters, texts that hold an added token, and all
+    texts where the vocabulary has other rules.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        self._tokenizer, self._model = tokenizer, tokenizer.model
+        rules = json.loads(tokenizer.to_str())
+        before = rules["pre_tokenizer"] or {}
+        self._cuts = (
+            rules["normalizer"] is None
+            and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space", True)
+        )
+        self._added = [t["content"] for t in rules["added_tokens"]]
+        self._signs = _byte_signs()
+        self._tokens = _Pieces(self._merged)
+        self._pieces = _Pieces(self._split)
+        self._after_blank = _Pieces(lambda word: self._split(" " + word))
+
+    def encode(self, text: str) -> bytes:
+        if not self._cuts or any(t in text for t in self._added):
+            return self._whole(text)
+        if not _PLAIN.fullmatch(text):
+            return b"".join([self._pieces[p] if _PLAIN.fullmatch(p) else self._whole(p) for p in _at_lone_blanks(text)])
+        if text[:1] == " " or text[-1:] == " " or any(pair in text for pair in _BLANK_BY_SPACE):
+            return b"".join(map(self._pieces.__getitem__, _at_lone_blanks(text)))
+        first, *rest = text.split(" ")  # all blanks stand alone
+        return self._pieces[first] + b"".join(map(self._after_blank.__getitem__, rest))
+
+    def _whole(self, text: str) -> bytes:
+        ids = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, "<i4").tobytes()
+
+    def _split(self, piece: str) -> bytes:
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            return self._tokens[piece]
+        return b"".join(map(self._tokens.__getitem__, _PRE_TOKENS.findall(piece)))
+
+    def _merged(self, token: str) -> bytes:
+        signs = token.encode().decode("latin-1").translate(self._signs)
+        return b"".join([t.id.to_bytes(4, "little") for t in self._model.tokenize(signs)])
+
+
+def _at_lone_blanks(text: str) -> list[str]:
+    """``text`` cut before every blank that stands alone between characters that are no white space."""
     first, *rest = text.split(" ")
-    if text[:1] != " " and text[-1:] != " " and not _BLANK_BY_SPACE.search(text):
-        return [first, *[" " + word for word in rest]]  # all blanks stand alone
     out, held, last = [], [first], first[-1:]
     for word in rest:
         if last and word and not last.isspace() and not word[0].isspace():
-            out.append(" ".join(held) if len(held) > 1 else held[0])
+            out.append(" ".join(held))
             held = [" " + word]
         else:
             held.append(word)
         last = word[-1:]
-    out.append(" ".join(held) if len(held) > 1 else held[0])
-    return out
+    return [*out, " ".join(held)]
 
 
-class Encoder:
-    """Ids of texts by their pieces. Most pieces are words met before; the tokenizer encodes each
-    new one once, and long ones every time. What is remembered is bounded, and forgotten
-    as a whole when it is full."""
-
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
-        self._encode, self._known = encode, {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        cut = [pieces(t) for t in texts]
-        known = self._known
-        found = [list(map(known.get, parts)) for parts in cut]
-        new = list({p for parts, ids in zip(cut, found, strict=True) if None in ids for p, x in zip(parts, ids, strict=True) if x is None})
-        if new:
-            here = dict(zip(new, self._encode(new), strict=True))
-            for parts, ids in zip(cut, found, strict=True):
-                if None in ids:
-                    ids[:] = [here[p] if x is None else x for p, x in zip(parts, ids, strict=True)]
-            if len(known) + len(here) > REMEMBERED:
-                known.clear()
-            known.update((p, x) for p, x in here.items() if len(p) <= LONGEST)
-        return [list(chain.from_iterable(ids)) for ids in found]
+def _byte_signs() -> dict[int, str]:
+    """The sign of each byte in a byte-level vocabulary: itself where it prints, else the next
+    one from 256 on."""
+    printing = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printing]
+    return {b: chr(b) for b in printing} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -150,8 +200,7 @@ def _encoder(vocabulary: str) -> Encoder:
         tokenizer = Tokenizer.from_file(vocabulary)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        encode = lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        _ENCODERS[vocabulary] = Encoder(encode)
+        _ENCODERS[vocabulary] = Encoder(tokenizer)
     return _ENCODERS[vocabulary]
 
 
