@@ -3,7 +3,8 @@ r"""Line dedup: keep one copy of lines that many documents share.
 Lines become 128-bit hashes with document and position. The hashes are range
 partitioned and sorted by document (last first) and position within a hash, so
 that one pass streams the first line of every document under a hash. A hash held by a
-large share of all documents is spread over ``SPREAD`` ranges, whose counts are summed.
+large share of all documents is spread over ``SPREAD`` ranges, whose counts are summed;
+its lines meet the verdict range by range as well.
 The result is one keep bitmap per document, run-length coded; the text does not travel.
 """
 
@@ -62,11 +63,11 @@ def keep_bitmaps(
     )
     shared = (
         slices.groupBy(*_HASH)
-        .agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+        .agg(F.sum("n").alias("n"), F.max("last").alias("last"), F.collect_set("part").alias("parts"))
         .filter(F.col("n") >= least_docs)
-        .select(*_HASH, "last")
+        .select(*_HASH, F.explode("parts").alias("part"), "last")
     )
-    lost = lined.join(shared, _HASH).filter(F.col("doc") < F.col("last"))
+    lost = lined.join(shared, [*_HASH, "part"]).filter(F.col("doc") < F.col("last"))
     per_doc = lost.groupBy("doc", "content").agg(F.sort_array(F.collect_set("position")).alias("lost"))
     return per_doc.select(
         "doc", "content", _runs(F.col("lost")).alias("keep"), F.size("lost").alias("n_dropped")
