@@ -71,8 +71,27 @@ KINDS = (
         r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
         r"[0-9]{3}-[0-9]{2}-", False, _near("ssn", "social", "security", "insurance"), 0.3,
     ),
+    Kind(
+        "secret",
+        r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
+        r"[0-9][A-Za-z]|[A-Za-z][0-9]", False,
+        _near("token", "secret", "key", "apikey", "password", "passwd", "pwd", "credentials?", "bearer", "auth"), 0.3,
+    ),
+    Kind(
+        "access_key",
+        r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}",
+        r"AKIA|ASIA|gh[oprsu]_|xox[abprs]-", False, _near("token", "secret", "key"), 0.7,
+    ),
+    Kind(
+        "private_key",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----",
+        r"PRIVATE KEY-----", False, _near("key"), 0.9,
+    ),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
+#: The kinds that give access, and what a run of signs needs to be one without a known shape.
+SECRETS = ("secret", "access_key", "private_key")
+LONGEST_SECRET, LEAST_SIGNS = 256, 8
 
 
 def _digits(match: Column) -> Column:
@@ -114,6 +133,10 @@ def _confirmed(kind: str, match: Column) -> Column:
     if kind == "iban":
         bare = F.replace(match, F.lit(" "), F.lit(""))
         return F.when(F.length(bare).between(15, 34), mod97(bare)).otherwise(F.lit(False))
+    if kind == "secret":  # letters among digits, and not a few signs over and over
+        signs = F.size(F.array_distinct(F.split(match, "")))
+        mixed = match.rlike("[0-9][A-Za-z]|[A-Za-z][0-9]")
+        return F.when((F.length(match) <= LONGEST_SECRET) & mixed, signs >= LEAST_SIGNS).otherwise(F.lit(False))
     if kind == "ssn":
         return ~match.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)

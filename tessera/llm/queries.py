@@ -68,6 +68,9 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
         *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
         F.sha2(pii.written(base), 256).alias("base_sha256"),
         pii.written(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"].isin(list(pii.SECRETS)))).cast("long").alias("n_secret"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.round(F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)), 1).alias("top_score"),
     )
 
 

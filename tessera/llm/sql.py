@@ -28,23 +28,30 @@ def _words(expr: str) -> str:
 
 OP3 = r"""
 with t as (select doc_id, coalesce(text, '') as x from documents),
-kinds(kind, rank, pat) as (values
-  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
-  ('ip', 1, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
-  ('card', 2, '[0-9](?:[ -]?[0-9])+'),
-  ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]'),
-  ('iban', 4, '[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?'),
-  ('ssn', 5, '[0-9]{3}-[0-9]{2}-[0-9]{4}')),
+kinds(kind, rank, pat, near, prior) as (values
+  ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+', 'e-?mail|mail|contact|write', 0.9),
+  ('ip', 1, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+', 'ip|address|host|server', 0.7),
+  ('card', 2, '[0-9](?:[ -]?[0-9])+', 'card|visa|credit|payment|account', 0.7),
+  ('phone', 3, '\+[0-9][ ().0-9-]+[0-9]', 'phone|tel|call|mobile|fax', 0.7),
+  ('iban', 4, '[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?', 'iban|bank|account|transfer', 0.6),
+  ('ssn', 5, '[0-9]{3}-[0-9]{2}-[0-9]{4}', 'ssn|social|security|insurance', 0.3),
+  ('secret', 6, '[A-Za-z0-9+/_-]{20,}', 'token|secret|key|apikey|password|passwd|pwd|credentials?|bearer|auth', 0.3),
+  ('access_key', 7, '(?:AKIA|ASIA)[0-9A-Z]{16}|gh[oprsu]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}', 'token|secret|key', 0.7),
+  ('private_key', 8, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----', 'key', 0.9)),
 m as (
-  select doc_id, kind, rank, regexp_extract_all(x, pat) as found, string_split_regex(x, pat) as pieces
+  select doc_id, kind, rank, '(?i)(?:^|[^a-z])(?:' || near || ')(?:[^a-z]|$)' as near, prior,
+    regexp_extract_all(x, pat) as found, string_split_regex(x, pat) as pieces
   from t, kinds),
 hits as (
-  select doc_id, kind, rank, found[i] as hit, replace(found[i], ' ', '') as bare, right(pieces[i], 40) as pre, left(pieces[i+1], 40) as post,
+  select doc_id, kind, rank, near, prior, found[i] as hit, replace(found[i], ' ', '') as bare, right(pieces[i], 40) as pre, left(pieces[i+1], 40) as post,
     list_sum(list_transform(pieces[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(found[1:i-1], lambda f: length(f))), 0) as start
   from m, unnest(range(1, len(found) + 1)) as u(i)),
-d as (select *, regexp_replace(hit, '[^0-9]', '', 'g') as digits from hits),
+d as (
+  select *, regexp_replace(hit, '[^0-9]', '', 'g') as digits,
+    least(10, round(10 * prior)::int + case when regexp_matches(pre, near) or regexp_matches(post, near) then 3 else 0 end) / 10 as score
+  from hits),
 good as (
-  select doc_id, kind, rank, start::bigint as start, (start + length(hit))::bigint as stop from d where
+  select doc_id, kind, rank, score, start::bigint as start, (start + length(hit))::bigint as stop from d where
     kind = 'email'
     or kind = 'ip' and list_bool_and(list_transform(string_split(hit, '.'), lambda p: length(ltrim(p, '0')) <= 3 and try_cast('0' || right(p, 3) as int) <= 255))
     or kind = 'phone' and length(digits) between 10 and 15
@@ -53,19 +60,23 @@ good as (
         lambda i: case when i % 2 = 1 then substr(reverse(digits), i, 1)::int
              when substr(reverse(digits), i, 1)::int > 4 then 2 * substr(reverse(digits), i, 1)::int - 9
              else 2 * substr(reverse(digits), i, 1)::int end)) % 10 = 0)
-    or kind in ('iban', 'ssn') and not regexp_matches(right(pre, 1) || left(post, 1), '[A-Za-z0-9]') and (
+    or rank > 3 and score >= 0.5 and not regexp_matches(right(pre, 1) || left(post, 1), '[A-Za-z0-9]') and (
       kind = 'iban' and length(bare) between 15 and 34 and list_reduce(list_transform(string_split(substr(bare, 5) || left(bare, 4), ''),
         lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1), lambda a, v: (a * case when v < 10 then 10 else 100 end + v) % 97) = 1
       or kind = 'ssn' and not regexp_matches(hit, '^(?:000|666|9)|-00-|-0000$')
-        and regexp_matches(pre || chr(10) || post, '(?i)(?:^|[^a-z])(?:ssn|social|security|insurance)(?:[^a-z]|$)'))),
+      or kind = 'secret' and length(hit) <= 256 and regexp_matches(hit, '[0-9][A-Za-z]|[A-Za-z][0-9]')
+        and len(list_distinct(string_split(hit, ''))) >= 8
+      or kind in ('access_key', 'private_key'))),
 g as (
   select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip,
     count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
     string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 4) as base,
-    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans
+    string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) as spans,
+    count(*) filter (rank > 5) as n_secret, count(*) as n_spans, max(score) as top_score
   from good group by doc_id)
 select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card,
-  coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+  coalesce(n_phone, 0) as n_phone, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+  coalesce(n_secret, 0) as n_secret, coalesce(n_spans, 0) as n_spans, coalesce(top_score, 0)::double as top_score
 from t left join g using (doc_id)
 """
 

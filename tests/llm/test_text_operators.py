@@ -183,6 +183,20 @@ def test_pii_checksums_and_context(spark):
     assert kinds == {0: ["iban"], 1: [], 2: ["ssn"], 3: [], 4: [], 5: []}
 
 
+def test_secrets_are_found_by_shape_and_context(spark):
+    rnd = random.Random(4)
+    hexed = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    planted = [f'x token = "{hexed(40)}" y' for _ in range(30)] + [f"password: {hexed(24)}," for _ in range(10)]
+    planted += ["id AKIA" + "ABCD1234EFGH5678", "use ghp_" + "a1B2c3D4e5" * 3 + "abcdef now", "-----BEGIN RSA PRIVATE KEY-----\nMII", "-----BEGIN PRIVATE KEY-----"]
+    clean = [f"commit {hexed(40)}", "token abcdefghijklmnopqrstuvwxyz", "token " + "1" * 40, "key " + "a1" * 20, "my key is lost", "tokenised 12345678901234567890x",
+             "token " + "a1b2c3d4e5" * 3000, "-----BEGIN CERTIFICATE-----", "xAKIA" + "ABCD1234EFGH5678", ""]
+    df = spark.createDataFrame(list(enumerate(planted + clean)), "doc_id long, text string")
+    hits = {r.doc_id for r in pii.find(df).collect() if any(s.kind in pii.SECRETS for s in r.spans)}
+    assert hits == set(range(len(planted)))
+    score = {r.doc_id: max(s.score for s in r.spans) for r in pii.find(df.limit(1)).collect()}
+    assert abs(score[0] - 0.6) < 1e-9
+
+
 # --- 1 -----------------------------------------------------------------------------
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
