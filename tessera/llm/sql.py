@@ -235,7 +235,7 @@ def _op10() -> str:
     text = rf"regexp_replace(regexp_replace({text}, ' *\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+\z', '', 'g')"
     return rf"""
 with a as (
-  select page_id, url, coalesce(html, '') as body, {uuid("md5(concat_ws('|', 'response', page_id::varchar, url))")} as id,
+  select page_id, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') as url, coalesce(html, '') as body, {uuid("md5(concat_ws('|', 'response', page_id::varchar, pages.url))")} as id,
     'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
       || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) as http from pages),
 b as (

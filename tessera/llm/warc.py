@@ -59,7 +59,8 @@ def digest(block: Column) -> Column:
 
 def as_responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, record): each page as a serialised response record. Null html is an empty
-    payload; a null url leaves the target out."""
+    payload; a null url leaves the target out. Line ends in a url are percent-encoded, as
+    they would end its header line."""
     body = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     http = F.concat_ws(
         END,
@@ -73,7 +74,7 @@ def as_responses(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     name = F.concat_ws("|", F.lit("response"), F.col(f"`{key}`").cast("string"), target)
     rows = pages.select(
         F.col(f"`{key}`").alias("key"),
-        target.alias("_url"),
+        F.replace(F.replace(target, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")).alias("_url"),
         digest(body).alias("_payload"),
         http.alias("_http"),
         uuid_of(name).alias("_id"),
@@ -166,7 +167,7 @@ def derive(records: DataFrame, key: str = "page_id", record: str = "record") ->
         header(h, "WARC-Target-URI").alias("_target"),
         F.coalesce(header(h, "WARC-Date"), F.lit(NO_DATE)).alias("_date"),
         F.coalesce(header(F.col("http_headers"), "Content-Type"), F.lit("application/octet-stream")).alias("_kind"),
-        F.array_join(F.concat(F.slice(h, 2, 1 << 20), F.col("http_headers")), "\n").alias("_lines"),
+        F.array_join(F.concat(F.slice(h, F.lit(2), F.size(h)), F.col("http_headers")), "\n").alias("_lines"),
         digest(F.col("payload")).alias("_payload"),
         F.octet_length("payload").alias("_size"),
         plain_text(F.col("payload")).alias("_text"),

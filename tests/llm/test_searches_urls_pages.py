@@ -81,6 +81,7 @@ PAGES = [
 def test_derivatives_of_odd_pages(spark):
     rows = [(i, f"http://x.org/{i}", h, "m", "c", "d", 1) for i, h in enumerate(PAGES)]
     rows += [(3, "http://x.org/3", "plain", "m", "c", "d", 1), (50, "", "t", "m", "c", "d", 1)]
+    rows += [(51, "u\r\n\r\nx", "<p>t", "m", "c", "d", 1), (52, "a\nb", "t", "m", "c", "d", 1), (53, None, "t", "m", "c", "d", 1)]
     schema = "page_id long, url string, html string, record_type string, block string, date string, body int"
     columns = [c.split()[0] for c in schema.split(", ")]
     df = spark.createDataFrame(rows, schema).repartition(3)
