@@ -59,3 +59,21 @@ def test_counting_pathway_matches_moves_no_match(spark, ws):
     counts = candidates.pathway_pair_counts(candidates.pathway_matches(paths, drugs))
     assert len(counts.collect()) == 7
     assert "hashpartitioning(disease_id" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rollups_shuffle_one_row_for_a_match(spark):
+    genes, targets = _sides(spark, 40)
+    genes = genes.replace("G3", "")
+    paths = spark.createDataFrame([("D1", "R1", "p2"), ("D1", "R1", "p1"), ("D8", "R8", ""), ("D8", "R7", "p"), (None, "R1", "p1")], "disease_id string, drug_id string, reactome_id string")
+    matches = candidates.gene_target_matches(genes, targets)
+    d = candidates.rollups(matches, paths)
+    found = {(r["disease_id"], r["drug_id"]): r for r in d.collect()}
+    assert len(found) == d.count() and ("D8", "R8") not in found
+    assert found["D8", "R7"]["generation_methods"] == ["pathway"]
+    for pair in {(r["disease_id"], r["drug_id"]) for r in matches.collect()}:
+        rows = [r for r in matches.collect() if (r["disease_id"], r["drug_id"]) == pair]
+        assert found[pair]["matched_disease_gene_ids"] == sorted({r["disease_gene_id"] for r in rows} - {None, ""})
+        assert found[pair]["matched_gene_hgnc_ids"] == sorted({r["hgnc_id"] for r in rows})
+        break
+    assert found["D1", "R1"]["matched_pathway_reactome_ids"] == ["p1", "p2"]
+    assert "inline" not in d._jdf.queryExecution().analyzed().toString()
