@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from tessera.operators import candidates
 
@@ -42,6 +43,30 @@ def test_pairs_meet_once_for_a_shared_id(spark, ws):
     assert _rows(got) == [("D", "R", 4_000_000, 1, 2000, 2000)]
 
 
+def test_diseases_of_a_shared_id_move_as_one_list(spark, ws):
+    """The rows of a drug lie together before diseases unfold, so no pair is shuffled."""
+    genes = spark.range(2500).selectExpr("'H' hgnc_id", "'D' || id disease_id", "'G' gene_id")
+    targets = spark.range(3).selectExpr("'H' hgnc_id", "'R' || id drug_id", "'T' target_id")
+    counts = candidates.gene_pair_counts_of(genes, targets, ws)
+    assert counts.count() == 7500 and {tuple(r)[2:] for r in counts.collect()} == {(1, 1, 1, 1)}
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(disease_id" not in plan and "hashpartitioning(drug_id" in plan
+    (lists,) = [p for p in Path(ws.root).iterdir() if p.name.endswith("lists_genes")]
+    assert spark.read.parquet(str(lists)).count() == 3
+
+
+def test_pathways_of_a_drug_equal_those_of_its_facts(spark, ws):
+    """Proteins repeat in another case, a pathway has several names or none, ids are null."""
+    draw = random.Random(3)
+    targets = [(draw.choice([None, "R0", "R1", "R2"]), draw.choice([None, "p1", "P1", "P2", "P3"])) for _ in range(40)]
+    index = {(f"P{draw.randrange(5)}", f"R-{draw.randrange(6)}", draw.choice([None, "a", "b"])) for _ in range(40)}
+    targets = spark.createDataFrame(targets, "drug_id string, uniprot_id string")
+    index = spark.createDataFrame(sorted(index, key=repr), "uniprot_id string, reactome_id string, pathway_name string")
+    expected = candidates.drug_pathways(candidates.drug_protein_pathways(targets, index))
+    got = candidates.drug_pathways_of(targets, index, ws)
+    assert got.dtypes == expected.dtypes and _rows(got) == _rows(expected)
+
+
 def test_matches_of_some_pairs_are_those_among_all(spark):
     genes, targets = _sides(spark, 120)
     pairs = spark.createDataFrame([("D0", "R1"), ("D2", "R3"), ("D0", "R1"), ("D9", "R1"), (None, "R1")], "disease_id string, drug_id string")
