@@ -16,6 +16,7 @@ from tessera.constants import (
 )
 from tessera.functions.numbers import tidy
 from tessera.functions.texts import mechanism_phrase
+from tessera.operators.candidates import DrugFacts
 from tessera.operators.ordering import first_per_key, number_rows, top_per_group
 from tessera.workspace import Workspace
 
@@ -146,17 +147,20 @@ def fallback_external_ids(entities: DataFrame, entity: str) -> DataFrame:
 
 
 # --- pathways of a drug, capped for the profile -------------------------------------------
-def capped_pathways(by_drug: DataFrame, facts: DataFrame, limit: int | None = PROFILE_PATHWAY_CAP) -> DataFrame:
-    """Best supported pathways per drug with the proteins behind them."""
+def capped_pathways(by_drug: DataFrame, facts: DataFrame | DrugFacts, limit: int | None = PROFILE_PATHWAY_CAP) -> DataFrame:
+    """Best supported pathways per drug with the proteins behind them. Facts not yet unfolded
+    unfold for these pathways only."""
     if limit is None:
         kept = by_drug
     else:
         order = [F.col("supporting_target_count").desc(), F.col("pathway_name"), F.col("reactome_id")]
         kept = top_per_group(by_drug, ["drug_id"], order, limit, out="position")
-    proteins = (
-        facts.join(kept.select("drug_id", "reactome_id"), ["drug_id", "reactome_id"], "left_semi")
-        .groupBy("drug_id", "reactome_id")
-        .agg(F.sort_array(F.collect_set("uniprot_id")).alias("supporting_uniprot_ids"))
+    if isinstance(facts, DrugFacts):
+        facts = facts.of(kept)
+    else:
+        facts = facts.join(kept.select("drug_id", "reactome_id"), ["drug_id", "reactome_id"], "left_semi")
+    proteins = facts.groupBy("drug_id", "reactome_id").agg(
+        F.sort_array(F.collect_set("uniprot_id")).alias("supporting_uniprot_ids")
     )
     return kept.join(proteins, ["drug_id", "reactome_id"])
 
@@ -291,7 +295,7 @@ def disease_profiles(
 
 
 def drug_profiles(
-    drugs: DataFrame, effects: DataFrame, targets: DataFrame, by_drug: DataFrame, facts: DataFrame,
+    drugs: DataFrame, effects: DataFrame, targets: DataFrame, by_drug: DataFrame, facts: DataFrame | DrugFacts,
     identifiers: DataFrame, pathway_limit: int | None = PROFILE_PATHWAY_CAP,
 ) -> DataFrame:
     """One record per drug, with the ``pathway_limit`` best supported pathways (None = all)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from pathlib import Path
 
-from tessera.operators import candidates
+from tessera.operators import candidates, profiles
 
 GENES = "hgnc_id string, disease_id string, gene_symbol string, association_score double, gene_id string, gene_name string, ensembl_id string, source string"
 TARGETS = "hgnc_id string, drug_id string, target_id string, target_name string, uniprot_id string, action_type string, source string"
@@ -65,6 +65,10 @@ def test_pathways_of_a_drug_equal_those_of_its_facts(spark, ws):
     expected = candidates.drug_pathways(candidates.drug_protein_pathways(targets, index))
     got = candidates.drug_pathways_of(targets, index, ws)
     assert got.dtypes == expected.dtypes and _rows(got) == _rows(expected)
+    for limit in (2, None):
+        with_facts = profiles.capped_pathways(expected, candidates.drug_protein_pathways(targets, index), limit)
+        with_lists = profiles.capped_pathways(expected, candidates.DrugFacts(targets, index, ws), limit)
+        assert with_facts.count() > 3 and with_lists.dtypes == with_facts.dtypes and _rows(with_lists) == _rows(with_facts)
 
 
 def test_matches_of_some_pairs_are_those_among_all(spark):
