@@ -17,10 +17,9 @@ from tessera.workspace import Workspace
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Raking ends when no margin is off by more than this share of all tokens. Where targets
-#: contradict each other it ends once a round leaves more than this part of the deviation
-#: before it, or after so many rounds.
+#: contradict each other it ends once a round moves no weight by more than that, or after so many
+#: rounds: one margin can stand still for good while the others still close in.
 TOLERANCE = 1e-12
-STALLED = 0.999
 ROUNDS = 60
 #: Power of the token shares that serves as target where the caller gives none: the
 #: exponent in common use for sampling languages of unlike size.
@@ -86,8 +85,7 @@ def raked(
     table = table.coalesce(tasks)
     worst = None
     for _ in range(rounds):
-        before = worst
-        off = []
+        off, table = [], table.withColumn("_was", F.col("weight"))
         for dim in targets:
             table = _with_sums(table, dim, tasks)
             to, have = F.col(f"_share_{dim}"), F.col("_sum")
@@ -95,10 +93,13 @@ def raked(
             table = table.withColumns({f"_off_{dim}": F.abs(to - have), "weight": F.col("weight") * factor}).drop("_sum")
             off.append(F.max(f"_off_{dim}").alias(dim))
         seen = Observation()
-        table = table.observe(seen, *off).drop(*[f"_off_{d}" for d in targets])
+        moved = F.max(F.abs(F.col("weight") - F.col("_was"))).alias("_moved")
+        table = table.observe(seen, *off, moved).drop("_was", *[f"_off_{d}" for d in targets])
         table = ws.store("raked", table).coalesce(tasks)
-        worst = max((o for o in seen.get.values() if o is not None), default=None)
-        if worst is None or worst <= tolerance or (before is not None and worst > STALLED * before):
+        told = dict(seen.get)
+        moved = told.pop("_moved")
+        worst = max((o for o in told.values() if o is not None), default=None)
+        if worst is None or worst <= tolerance or moved <= tolerance:
             break
     return table.drop(*[f"_share_{d}" for d in targets]).withColumn("deviation", F.lit(worst).cast("double"))
 
