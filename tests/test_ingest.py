@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import build, conform, quality
+from tessera.operators import build, conform, quality, registry
 from tessera.plans import ingest
 from tessera.sources import files
 
@@ -151,3 +152,28 @@ def test_lists(spark, tmp_path):
     assert [r["ontology_id"] for r in files.read_seeds(spark, seeds).orderBy("seq").collect()] == ["EFO_1", "MONDO_2"]
     aliases = _write(tmp_path / "aliases.tsv", "# head\nGBM\tMONDO:1\nno tab\n gbm.\tmondo_2\n")
     assert [tuple(r) for r in files.alias_map(files.read_alias_lines(spark, aliases)).collect()] == [("gbm", "MONDO_2")]
+
+
+def test_gene_rows_are_not_moved_by_their_disease(spark, frames, ws):
+    diseases = build.build_diseases(frames["diseases"], ws)
+    genes = build.build_disease_genes(frames["genes"].repartition(4), diseases.registry, ws)
+    plan = genes.table._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(onto" not in plan and plan.count("BroadcastHashJoin") == 2
+    assert genes.table.count() == 4
+
+
+def test_gene_rows_are_not_moved_again_for_names_and_repeats(spark, frames, ws):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        named = frames["genes"].withColumn("gene_symbol", F.when(F.col("seq") != "1|1", F.concat(F.lit(" "), "gene_symbol", "seq")))
+        diseases = build.build_diseases(frames["diseases"], ws)
+        genes = build.build_disease_genes(named, diseases.registry, ws)
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(disease_id" not in plan(genes.table)
+        found = genes.observations[0]
+        assert "ontology_id" not in plan(found)
+        rows = registry.crosswalk([found]).select("external_id", "name", "is_primary").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {tuple(r) for r in rows} == {("ENSG1", "a1|2", True), ("ENSG2", "b1|3", True), ("ENSG3", "c1|4", True)}
+    assert genes.table.count() == 4
