@@ -79,3 +79,12 @@ def test_graphs_read_the_matches_of_the_published_pairs(spark, ws):
     s.nodes  # noqa: B018
     made = [p.name.split("-", 1)[1] for p in Path(s.ws.root).iterdir()]
     assert made.count("asked_genes") == 1 and made.count("top_genes") == 1 and made.count("graph_genes") == 1
+
+
+def test_gene_rows_move_once_for_ids_and_repeats(spark, ws):
+    diseases = build.build_diseases(spark.createDataFrame([(1, "mondo:1", "a")], "seq long, ontology_id string, disease_name string"), ws)
+    raw = [("s1", "mondo:1", "ensg1", "G1", 0.5), ("s2", "mondo:1", "ENSG1.2", "G1", 0.7), ("s3", "mondo:1", "ensg2", "", 0.1)]
+    raw = spark.createDataFrame(raw, "seq string, ontology_id string, ensembl_id string, gene_symbol string, association_score double")
+    b = build.build_disease_genes(raw, diseases.registry, ws)
+    assert "Exchange hashpartitioning(disease_id" not in _plan(b.table)
+    assert _rows(b.table.select("ensembl_id", "gene_name", "association_score")) == [("ENSG1", "G1", 0.7), ("ENSG2", None, 0.1)]
