@@ -32,7 +32,7 @@ def _arrays(df: DataFrame, seq: str, path: str) -> str:
     record = F.struct(*[c for c in df.columns if c != seq])
     chunk = F.floor(F.col(seq) / 1000)
     rows = df.groupBy(chunk).agg(F.to_json(F.collect_list(record)).alias("line"))
-    return _lines(rows, path)
+    return _lines(rows, path, gzip=True)
 
 
 class Landing:
@@ -122,7 +122,7 @@ class Landing:
             F.concat(F.lit("gene "), "gene_symbol").alias("approvedName"),
         )
         # pages of a bounded number of associations, cut where they lie in order
-        placed = number_rows(self.raw["raw_disease_genes"], [F.col("seq")], self.s.ws, "pages", group=["ontology_id"])
+        placed = number_rows(self.s.landed_genes, [F.col("seq")], self.s.ws, "pages", group=["ontology_id"])
         page = F.floor((F.col("position") - 1) / PAGE_ROWS).cast("int")
         record = F.struct("position", F.struct(F.col("association_score").alias("score"), target.alias("target")).alias("r"))
         rows = placed.groupBy("ontology_id", page.alias("page")).agg(F.array_sort(F.collect_list(record)).alias("rs"))
@@ -136,7 +136,7 @@ class Landing:
             F.col("seq") % 9 == 7, F.concat(F.lit('{"data": {"disease": '), "disease_name")
         ).otherwise(good)
         files = d.select(F.translate("ontology_id", ":", "_").alias("file"), line.alias("value"))
-        files.write.mode("overwrite").partitionBy("file").text(p)
+        files.write.mode("overwrite").option("compression", "gzip").partitionBy("file").text(p)
         return p
 
     def _known_drugs(self, p: str) -> str:

@@ -88,3 +88,14 @@ def test_gene_rows_move_once_for_ids_and_repeats(spark, ws):
     b = build.build_disease_genes(raw, diseases.registry, ws)
     assert "Exchange hashpartitioning(disease_id" not in _plan(b.table)
     assert _rows(b.table.select("ensembl_id", "gene_name", "association_score")) == [("ENSG1", "G1", 0.7), ("ENSG2", None, 0.1)]
+
+
+def test_landed_records_are_compressed_and_many_files_stay_where_they_are(spark, ws, tmp_path):
+    land = catalog._landing(Study(spark, SMALL, ws, model_kind="stand_in"))
+    for name in ("mechanisms", "diseases"):
+        landed = [p for p in Path(land.path(name)).rglob("part-*")]
+        assert landed and all(p.suffix == ".gz" for p in landed)
+    spark.range(64).selectExpr("string(id) value").repartition(16).write.option("compression", "gzip").text(str(tmp_path / "many"))
+    spark.range(64).selectExpr("string(id) value").coalesce(1).write.option("compression", "gzip").text(str(tmp_path / "one"))
+    assert "Exchange" in _plan(files.read_lines(spark, str(tmp_path / "one"), spread=True))
+    assert files.read_lines(spark, str(tmp_path / "many"), spread=True).count() == 64
