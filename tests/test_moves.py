@@ -90,6 +90,18 @@ def test_gene_rows_move_once_for_ids_and_repeats(spark, ws):
     assert _rows(b.table.select("ensembl_id", "gene_name", "association_score")) == [("ENSG1", "G1", 0.7), ("ENSG2", None, 0.1)]
 
 
+def test_many_small_rows_keep_their_parts(spark):
+    seen = spark.range(40).selectExpr("'drug' entity_type", "'D' || id % 9 internal_id", "'x' external_id", "'s' external_source", "'n' name", "true is_primary", "string(id) seq")
+    found = registry.crosswalk([seen])
+    assert "REPARTITION_BY_NUM" in _plan(found) and found.count() == 9
+    resolved = spark.createDataFrame([("not_supported", "name", "alt 1"), ("not_supported", "name", "sa")], "status string, shape string, normalized_query string")
+    keys = spark.createDataFrame([("name", f"salt {i}", f"D{i}", 1) for i in range(20)], "kind string, key string, entity_id string, phase int")
+    names = spark.createDataFrame([(f"D{i}", f"Salt {i}") for i in range(20)], "entity_id string, name string")
+    top = resolve.suggestions(resolved, keys, names)
+    assert "REPARTITION_BY_NUM" in _plan(top)
+    assert [r["suggestion"] for r in top.filter("normalized_query = 'alt 1'").orderBy("place").collect()] == ["Salt 1", "Salt 10", "Salt 11", "Salt 12", "Salt 13"]
+
+
 def test_landed_records_are_compressed_and_many_files_stay_where_they_are(spark, ws, tmp_path):
     land = catalog._landing(Study(spark, SMALL, ws, model_kind="stand_in"))
     for name in ("mechanisms", "diseases"):
