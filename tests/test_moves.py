@@ -90,6 +90,14 @@ def test_gene_rows_move_once_for_ids_and_repeats(spark, ws):
     assert _rows(b.table.select("ensembl_id", "gene_name", "association_score")) == [("ENSG1", "G1", 0.7), ("ENSG2", None, 0.1)]
 
 
+def test_targets_are_ordered_without_the_columns_nobody_asks_for(spark, monkeypatch):
+    given = []
+    real = profiles.ordered_targets
+    monkeypatch.setattr(profiles, "ordered_targets", lambda t, ws: given.append(t.columns) or real(t, ws))
+    assert catalog.QUERIES["e12_ordered_targets"](spark, SMALL).count() > 0
+    assert given == [["drug_id", "target_id", "target_name"]]
+
+
 def test_many_small_rows_keep_their_parts(spark):
     seen = spark.range(40).selectExpr("'drug' entity_type", "'D' || id % 9 internal_id", "'x' external_id", "'s' external_source", "'n' name", "true is_primary", "string(id) seq")
     found = registry.crosswalk([seen])
