@@ -90,6 +90,20 @@ def test_gene_rows_move_once_for_ids_and_repeats(spark, ws):
     assert _rows(b.table.select("ensembl_id", "gene_name", "association_score")) == [("ENSG1", "G1", 0.7), ("ENSG2", None, 0.1)]
 
 
+def test_damaged_tables_come_from_one_scan(spark, ws):
+    s = Study(spark, SMALL, ws, model_kind="stand_in")
+    d = catalog._damaged(s)["drug_targets"]
+    assert "Union" not in _plan(d)
+    t = s.tables["drug_targets"]
+    last = F.substring("target_id", -1, 1)
+    want = [
+        t, t.filter(last == "7").withColumn("drug_id", F.concat(F.lit("X"), "drug_id")), t.filter(last == "3"),
+        t.filter(last == "5").withColumn("target_id", F.lit(None).cast("string")), t.filter(last == "9").withColumn("drug_id", F.lit("")),
+    ]
+    assert d.columns == t.columns
+    assert _rows(d) == sorted((tuple(r) for w in want for r in w.collect()), key=repr)
+
+
 def test_targets_are_ordered_without_the_columns_nobody_asks_for(spark, monkeypatch):
     given = []
     real = profiles.ordered_targets
