@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -119,3 +120,26 @@ def test_forest_facts_tell_a_forest_that_breaks_its_settings(spark, planted, ws,
     monkeypatch.setattr(model, "LEAF_ROWS", 10_000)
     r = model.forest_facts(forest, ws).first()
     assert r["n_deep"] > 0 and r["n_small_leaves"] > 0
+
+
+def test_rows_walk_a_forest_as_in_the_model_of_spark(spark, planted, ws):
+    odd = planted.withColumns(
+        {
+            MODEL_COLUMNS[3]: F.when(F.col("drug_id") < "DRUG:005", None).otherwise(F.col(MODEL_COLUMNS[3])),
+            MODEL_COLUMNS[4]: F.when(F.col("drug_id") < "DRUG:007", float("inf")).otherwise(F.col(MODEL_COLUMNS[4])),
+        }
+    )
+    for trees in (1, 25):
+        forest = model.fit(odd, "random_forest", trees=trees)
+        pair, p = ["disease_id", "drug_id"], vector_to_array("probability")[1]
+        told = forest.model.transform(model._vector(odd, forest.name, forest.stats)).select(*pair, p.alias("p"))
+        both = model.score(odd, forest).join(told, pair)
+        assert both.count() == 320 and both.filter("abs(model_output - p) > 6e-7").isEmpty()
+        assert "features" not in both.columns and "probability" not in both.columns
+
+
+def test_a_forest_of_single_leaves_walks_nowhere(spark, planted, ws):
+    forest = model.fit(planted.filter("drug_id < 'DRUG:001'"), "random_forest", trees=3)
+    d = model.score(model.forest_attribution(planted, forest, ws), forest)
+    assert d.filter("model_output between 0 and 1").count() == 320
+    assert d.agg(F.max(F.aggregate("contributions", F.lit(0.0), lambda a, c: a + F.abs(c)))).first()[0] == 0
