@@ -133,3 +133,13 @@ def test_landed_records_are_compressed_and_many_files_stay_where_they_are(spark,
     spark.range(64).selectExpr("string(id) value").coalesce(1).write.option("compression", "gzip").text(str(tmp_path / "one"))
     assert "Exchange" in _plan(files.read_lines(spark, str(tmp_path / "one"), spread=True))
     assert files.read_lines(spark, str(tmp_path / "many"), spread=True).count() == 64
+
+
+def test_keys_are_worked_out_once_and_not_again_for_the_filter_on_them(spark):
+    raw = spark.createDataFrame(
+        [("ENSG1", "R-HSA-1"), (" ensg1.4 ", "r-hsa-1"), (None, "R-1"), ("G2", "R-2"), ("ENSG3", None)], "ensembl_id string, p string"
+    ).withColumn("reactome_id", F.regexp_replace("p", "^HSA", "R"))
+    edges = build.gene_pathway_edges(raw)
+    assert [tuple(r) for r in edges.collect()] == [("ENSG1", "R-HSA-1")]
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp_replace" in line]
