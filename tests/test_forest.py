@@ -46,7 +46,7 @@ def test_a_tree_on_all_rows_and_columns_is_that_of_spark(spark, rows, ws, monkey
         numTrees=1, maxDepth=6, minInstancesPerNode=10, featureSubsetStrategy="all", bootstrap=False,
         weightCol="weight", maxBins=256, seed=1,
     )
-    spark_fit = est.fit(train)
+    spark_fit = model._detached(est.fit(train), spark)  # a fresh fit holds the session
     ours = forest.fit(rows, _columns(), WEIGHTS, 3000, forest.Settings(1, 6, 10, 256, 1, columns=WIDTH, bootstrap=False))
     a, b = _nodes(spark_fit, ws), _nodes(ours, ws)
     assert len(a) == len(b) > 20
@@ -81,12 +81,13 @@ def test_the_forest_is_as_good_as_that_of_spark(spark, rows):
         numTrees=60, maxDepth=6, minInstancesPerNode=10, featureSubsetStrategy="sqrt", maxBins=256, seed=1
     )
     ours = forest.fit(rows, _columns(), (1.0, 1.0), 3000, forest.Settings(60, 6, 10, 256, 1))
-    right = [m.transform(train).filter("prediction = label").count() for m in (est.fit(train), ours)]
+    first, second = (model._detached(est.setSeed(seed).fit(train), spark) for seed in (1, 2))
+    right = [m.transform(train).filter("prediction = label").count() for m in (first, ours)]
     assert abs(right[0] - right[1]) < 60
     # draws are shared by no code with Spark's: outputs agree as those of two seeds do
     p = [
         np.array([r[0][1] for r in m.transform(train).select("probability").collect()])
-        for m in (est.fit(train), est.setSeed(2).fit(train), ours)
+        for m in (first, second, ours)
     ]
     assert np.abs(p[0] - p[2]).mean() < 1.5 * np.abs(p[0] - p[1]).mean()
 
